@@ -54,29 +54,34 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         *[F.percentile_approx(F.col(c), [max(0.0, p - slack), min(1.0, p + slack)], ACCURACY)
           .alias(f"b_{t}") for c, p, t in targets]).alias("s")).scalar()
 
+    # The subquery enters the plan as one column; naming it in every expression would copy it.
+    outer = F.col("_first")
+    bracketed = values.withColumn("_first", first)
+
     def in_first(c: str, t: str) -> Column:
-        return (F.col(c) >= first[f"b_{t}"][0]) & (F.col(c) <= first[f"b_{t}"][1])
+        return (F.col(c) >= outer[f"b_{t}"][0]) & (F.col(c) <= outer[f"b_{t}"][1])
 
     grid = [g / GRID for g in range(GRID + 1)]
-    narrowed = values.agg(
-        *[F.count_if(F.col(c) < first[f"b_{t}"][0]).alias(f"below_{t}") for c, p, t in targets],
+    narrowed = bracketed.agg(
+        F.max(outer).alias("_first"),
+        *[F.count_if(F.col(c) < outer[f"b_{t}"][0]).alias(f"below_{t}") for c, p, t in targets],
         *[F.count_if(in_first(c, t)).alias(f"m_{t}") for c, p, t in targets],
         *[F.percentile_approx(F.when(in_first(c, t), F.col(c)), grid, ACCURACY).alias(f"g_{t}")
           for c, p, t in targets])
 
     def bracket(c: str, p: float, t: str) -> Column:
         """The narrowed bracket: two ranks and two grid steps to either side of the wanted rank."""
-        wanted = F.lit(p) * (first[f"n_{c}"] - 1) - F.col(f"below_{t}")
+        wanted = F.lit(p) * (outer[f"n_{c}"] - 1) - F.col(f"below_{t}")
         step = F.greatest(F.col(f"m_{t}"), F.lit(1)) / GRID
         low = (F.floor((wanted - 2) / step) - 2).cast("int")
         high = (F.ceil((wanted + 2) / step) + 2).cast("int")
         return F.struct(
             F.lit(t).alias("t"), F.lit(c).alias("column"), F.lit(float(p)).alias("prob"),
-            first[f"n_{c}"].alias("n"), F.col(f"below_{t}").alias("below"),
-            F.when(low <= 0, first[f"b_{t}"][0]).otherwise(F.get(F.col(f"g_{t}"), low)).alias("lo"),
-            F.when(high >= GRID, first[f"b_{t}"][1])
+            outer[f"n_{c}"].alias("n"), F.col(f"below_{t}").alias("below"),
+            F.when(low <= 0, outer[f"b_{t}"][0]).otherwise(F.get(F.col(f"g_{t}"), low)).alias("lo"),
+            F.when(high >= GRID, outer[f"b_{t}"][1])
             .otherwise(F.get(F.col(f"g_{t}"), high)).alias("hi"),
-            first[f"b_{t}"][0].alias("outer"))
+            outer[f"b_{t}"][0].alias("outer"))
 
     brackets = narrowed.select(F.array(*[bracket(*t) for t in targets]).alias("b")).scalar()
     # Each row yields only the few brackets it falls into; all others drop out inside the scan.

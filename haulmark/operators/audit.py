@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -122,22 +123,29 @@ def fence_bounds(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACT
                     (F.col("q3") + spread).alias("hi"))
 
 
-def _outside(bounds: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
-    """Per column, whether a value lies outside its fence. Nulls lie inside."""
+def _flagged(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``_out_<column>``: whether the value lies outside its fence. Nulls lie inside."""
     fences = bounds.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lo", "hi"))))
                         .alias("m")).scalar()
-    return {c: F.coalesce((F.col(c) < fences[c]["lo"]) | (F.col(c) > fences[c]["hi"]), F.lit(False))
-            for c in columns}
+
+    def outside(c: str) -> Column:
+        fence = F.try_element_at(F.col("_fences"), F.lit(c))
+        return F.coalesce((F.col(c) < fence["lo"]) | (F.col(c) > fence["hi"]), F.lit(False))
+
+    return (df.withColumn("_fences", fences)
+            .withColumns({f"_out_{c}": outside(c) for c in columns}).drop("_fences"))
+
+
+def _any_out(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(f"_out_{c}") for c in columns])
 
 
 def fence_counts(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows, removals per column (each against the same rows) and in total."""
-    out = _outside(bounds, columns)
-    flags = df.select(*[f.alias(f"o_{c}") for c, f in out.items()])
-    any_out = F.greatest(*[F.col(f"o_{c}").cast("int") for c in columns], F.lit(0)) == 1
-    counts = flags.agg(F.count(F.lit(1)).alias("rows"),
-                       *[F.count_if(F.col(f"o_{c}")).alias(f"removed_{c}") for c in columns],
-                       F.count_if(any_out).alias("removed_total"))
+    counts = _flagged(df.select(*columns), bounds, columns).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col(f"_out_{c}")).alias(f"removed_{c}") for c in columns],
+        F.count_if(_any_out(columns)).alias("removed_total"))
     return counts.withColumns({
         "removed_pct": F.col("removed_total") * 100.0 / F.nullif(F.col("rows"), F.lit(0)),
         "rows_after": F.col("rows") - F.col("removed_total")})
@@ -145,9 +153,8 @@ def fence_counts(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> Da
 
 def apply_fence(df: DataFrame, bounds: DataFrame, columns: Sequence[str] = FINANCE) -> DataFrame:
     """Rows with every value inside its fence. Lead time is never among the columns."""
-    flagged = df.withColumns({f"_o_{c}": f for c, f in _outside(bounds, columns).items()})
-    keep = ~F.greatest(*[F.col(f"_o_{c}").cast("int") for c in columns], F.lit(0)).cast("boolean")
-    return flagged.where(keep).drop(*[f"_o_{c}" for c in columns])
+    return (_flagged(df, bounds, columns).where(~_any_out(columns))
+            .drop(*[f"_out_{c}" for c in columns]))
 
 
 def unexpected_members(products: DataFrame, known: DataFrame, key: str = "product_name"

@@ -77,8 +77,9 @@ def slow_routes(lanes: DataFrame, min_orders: int = LANE_MIN_ORDERS) -> DataFram
     average = lanes.agg(F.avg("mean_lead").alias("a")).scalar()
     worst = F.greatest("mean_lead", "p90_lead")
     eligible = F.col("order_count") >= min_orders
-    return lanes.withColumns({
-        "avg_lead": average,
+    measured = lanes.withColumn("avg_lead", average)
+    average = F.col("avg_lead")
+    return measured.withColumns({
         "slow_route": F.coalesce(eligible & (worst > average), F.lit(False)),
         "slow_by_mean": F.coalesce(eligible & (F.col("mean_lead") > average), F.lit(False)),
         "exposure": F.greatest(worst - average, F.lit(0.0)) * F.col("order_count"),
@@ -106,10 +107,10 @@ def congested_pairs(order_lines: DataFrame, pairs: DataFrame | None = None) -> D
     volume = histogram_quantiles(pairs, [], "order_count", [0.75], "q").select(
         F.col("q")[0]).scalar()
     overall = order_lines.agg(F.avg("lead_time_days").alias("a")).scalar()
-    return pairs.withColumns({
-        "volume_threshold": volume, "overall_mean_lead": overall,
-        "congested": F.coalesce((F.col("order_count") > volume) & (F.col("mean_lead") > overall),
-                                F.lit(False))})
+    limits = pairs.withColumns({"volume_threshold": volume, "overall_mean_lead": overall})
+    return limits.withColumn("congested", F.coalesce(
+        (F.col("order_count") > F.col("volume_threshold"))
+        & (F.col("mean_lead") > F.col("overall_mean_lead")), F.lit(False)))
 
 
 def by_congestion(pairs: DataFrame) -> DataFrame:

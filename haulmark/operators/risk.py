@@ -40,11 +40,16 @@ def baseline_residuals(cells: DataFrame) -> DataFrame:
         F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
+def overall_std(moments: DataFrame) -> Column:
+    """Deviation of all held-out residuals, as a scalar."""
+    return moments.agg(sample_std(F.sum("n"), F.sum("r"), F.sum("rr")).alias("g")).scalar()
+
+
 def residual_std(moments: DataFrame) -> DataFrame:
     """Residual deviation and hold-out count per product; below two rows the global deviation."""
-    overall = moments.agg(sample_std(F.sum("n"), F.sum("r"), F.sum("rr")).alias("g")).scalar()
     own = sample_std(F.col("n"), F.col("r"), F.col("rr"))
-    return moments.select("product_name", F.coalesce(own, overall).alias("residual_std"),
+    return moments.select("product_name",
+                          F.coalesce(own, overall_std(moments)).alias("residual_std"),
                           F.col("n").alias("holdout_count"))
 
 
@@ -57,9 +62,8 @@ def holdout_score(moments: DataFrame) -> DataFrame:
                     F.sqrt(F.col("rr") / F.nullif(F.col("n"), F.lit(0))).alias("rmse"))
 
 
-def with_residuals(moves: DataFrame, residuals: DataFrame) -> DataFrame:
-    """Attach residual deviations; products without held-out rows get the mean of the others."""
-    default = residuals.agg(F.avg("residual_std").alias("m")).scalar()
+def with_residuals(moves: DataFrame, residuals: DataFrame, default: Column) -> DataFrame:
+    """Attach residual deviations; a product without any gets the default."""
     return (moves.join(residuals.select("product_name", "residual_std"), "product_name", "left")
             .withColumn("residual_std", F.coalesce("residual_std", default)))
 
@@ -77,12 +81,11 @@ def risk_inputs(moves: DataFrame, a: Assumptions, draws: int = MONTE_CARLO_ITERA
     losing = F.size(F.filter(rates, lambda r: haul * r + fixed > 0))
     top = moves.agg(F.struct(F.max("residual_std").alias("std"),
                              F.max(F.abs("delta_distance_km")).alias("shift"))).scalar()
-    return moves.withColumns({
+    std, shift = F.nullif(F.col("_top.std"), F.lit(0.0)), F.nullif(F.col("_top.shift"), F.lit(0.0))
+    return moves.withColumn("_top", top).withColumns({
         "neg_profit": losing.cast("double") / draws,
-        "pred_variance": F.coalesce(F.col("residual_std") / F.nullif(top["std"], F.lit(0.0)),
-                                    F.lit(0.0)),
-        "distance_shift": F.coalesce(F.abs("delta_distance_km") / F.nullif(top["shift"], F.lit(0.0)),
-                                     F.lit(0.0))})
+        "pred_variance": F.coalesce(F.col("residual_std") / std, F.lit(0.0)),
+        "distance_shift": F.coalesce(F.abs("delta_distance_km") / shift, F.lit(0.0))}).drop("_top")
 
 
 def with_risk(moves: DataFrame, a: Mapping[str, Column], w: RiskWeights = RiskWeights()

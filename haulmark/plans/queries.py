@@ -18,6 +18,7 @@ from haulmark.functions.text import normalize_product_name
 from haulmark.operators import (audit, capacity, clean, derive, kpi, lanes, moves, ranking,
                                 reconcile, risk, slices, stats, sweeps)
 from haulmark.params import Assumptions, Network
+from haulmark.session import staged
 from haulmark.sources import warehouse as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,21 +52,52 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return W.order_lines(spark, d, NETWORK)
 
 
+# What the move and profile queries need of an order line.
+MOVE_COLUMNS = ("order_id", "line_key", "product_name", "division", "current_factory", "region",
+                "state", "lat", "lon", "ship_mode", "units", "gross_profit", "lead_time_days")
+PROFILE_COLUMNS = ("order_id", "product_name", "current_factory", "region", "ship_mode", "units",
+                   "gross_profit", "lead_time_days", "distance_km")
+
+
+def prepared(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
+    """Some columns of the order lines, staged: several scans of them share one join."""
+    return staged(lines(spark, d).select(*columns), "lines")
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """The order cells, kept while a query reads them several times: they are small sums."""
-    return moves.order_cells(lines(spark, d)).persist()
+    """The order cells, staged: one scan of the order lines, however often a query reads them."""
+    return staged(moves.order_cells(lines(spark, d)), "cells")
+
+
+def cells_and_orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The staged cells and the distinct orders per product, over one join of the tables."""
+    p = prepared(spark, d, MOVE_COLUMNS)
+    return staged(moves.order_cells(p), "cells"), moves.product_orders(p)
+
+
+def measured(c: DataFrame, orders: DataFrame) -> DataFrame:
+    """Moves with order counts and residual deviations, before anything is assumed."""
+    found = moves.candidate_moves(c, orders, NETWORK)
+    moments = risk.baseline_residuals(c)
+    return risk.with_residuals(found, risk.residual_std(moments), risk.overall_std(moments))
+
+
+def candidates_of(c: DataFrame, orders: DataFrame) -> DataFrame:
+    """Measured moves, staged (a row per product and other factory), with fixed risk inputs."""
+    return risk.risk_inputs(staged(measured(c, orders), "moves"), BASE)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Measured moves with residual deviations and fixed risk inputs, one row per candidate."""
-    c = cells(spark, d)
-    found = moves.candidate_moves(c, moves.product_orders(lines(spark, d)), NETWORK)
-    measured = risk.with_residuals(found, risk.residual_std(risk.baseline_residuals(c)))
-    return risk.risk_inputs(measured.persist(), BASE).persist()
+    return candidates_of(*cells_and_orders(spark, d))
+
 
+def scored_with_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c, orders = cells_and_orders(spark, d)
+    return ranking.score_moves(candidates_of(c, orders), BASE.columns()), c
 
-def scored(spark: SparkSession, d: str, a: Assumptions = BASE) -> DataFrame:
-    return ranking.score_moves(candidates(spark, d), a.columns())
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return scored_with_cells(spark, d)[0]
 
 
 def priced(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +105,9 @@ def priced(spark: SparkSession, d: str) -> DataFrame:
     return moves.gate_moves(moves.price_moves(candidates(spark, d), a), a)
 
 
-def baseline_r2(spark: SparkSession, d: str):
-    return risk.holdout_score(risk.baseline_residuals(cells(spark, d))).select("r2").scalar()
+def baseline_r2(c: DataFrame):
+    """Hold-out R2 of the baseline predictor, the scenario confidence of the oracle queries."""
+    return risk.holdout_score(risk.baseline_residuals(c)).select("r2").scalar()
 
 
 def catalogue(spark: SparkSession, d: str):
@@ -141,7 +174,7 @@ def iqr_fence_counts(spark, d):
 
 @query
 def iqr_bounds_lines(spark, d):
-    return tidy(audit.fence_bounds(lines(spark, d), clean.FINANCE), 4)
+    return tidy(audit.fence_bounds(prepared(spark, d, clean.FINANCE), clean.FINANCE), 4)
 
 
 @query
@@ -283,12 +316,12 @@ def value_counts(spark, d):
 
 @query
 def lane_profile(spark, d):
-    return tidy(lanes.lane_profile(lines(spark, d)), mean_profit=4)
+    return tidy(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=4)
 
 
 @query
 def slow_routes(spark, d):
-    found = lanes.slow_routes(lanes.lane_profile(lines(spark, d)), W.LANE_MIN_ORDERS)
+    found = lanes.slow_routes(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), W.LANE_MIN_ORDERS)
     return tidy(lanes.by_exposure(found).select(
         *lanes.LANE_KEYS, "order_count", "mean_lead", "p90_lead", "avg_lead", "slow_route",
         "slow_by_mean", "exposure", "min_orders_threshold"), exposure=4)
@@ -296,19 +329,19 @@ def slow_routes(spark, d):
 
 @query
 def top_exposure(spark, d):
-    found = lanes.slow_routes(lanes.lane_profile(lines(spark, d)), W.LANE_MIN_ORDERS)
+    found = lanes.slow_routes(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), W.LANE_MIN_ORDERS)
     return tidy(lanes.top_exposure(found).select(*lanes.LANE_KEYS, "order_count", "mean_lead",
                                                  "exposure"), exposure=4)
 
 
 @query
 def region_product_profile(spark, d):
-    return tidy(lanes.region_product_profile(lines(spark, d)), mean_profit=4)
+    return tidy(lanes.region_product_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=4)
 
 
 @query
 def congested_pairs(spark, d):
-    return tidy(lanes.by_congestion(lanes.congested_pairs(lines(spark, d))), mean_profit=4)
+    return tidy(lanes.by_congestion(lanes.congested_pairs(prepared(spark, d, PROFILE_COLUMNS))), mean_profit=4)
 
 
 @query
@@ -334,7 +367,7 @@ def lead_box_quartiles(spark, d):
 @query
 def lane_measures_long(spark, d):
     return tidy(stats.measures_long(
-        lanes.lane_profile(lines(spark, d)), lanes.LANE_KEYS,
+        lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), lanes.LANE_KEYS,
         ["order_count", "mean_lead", "p90_lead", "lead_std", "mean_distance", "mean_units"]))
 
 
@@ -347,9 +380,7 @@ def collinearity_check(spark, d):
 
 @query
 def candidate_moves(spark, d):
-    c = cells(spark, d)
-    found = moves.candidate_moves(c, moves.product_orders(lines(spark, d)), NETWORK)
-    return tidy(found.select(
+    return tidy(moves.candidate_moves(*cells_and_orders(spark, d), NETWORK).select(
         "product_name", "division", "current_factory", "candidate_factory", "orders", "lines",
         "units", "gross_profit", "current_distance_km", "candidate_distance_km",
         "delta_distance_km", "baseline_lead_days"), gross_profit=4)
@@ -539,44 +570,50 @@ def gate_summary(spark, d):
 
 @query
 def factory_load(spark, d):
-    picks = ranking.recommend(scored(spark, d))
-    return tidy(capacity.factory_load(cells(spark, d), picks, NETWORK, BASE.capacity_multiplier))
+    moved, c = scored_with_cells(spark, d)
+    picks = ranking.recommend(moved)
+    return tidy(capacity.factory_load(c, picks, NETWORK, BASE.capacity_multiplier))
 
 
 @query
 def assignment_audit(spark, d):
     """The plan that makes every product at its nearest factory."""
-    days = moves.factory_days(cells(spark, d), NETWORK, closed_form(spark))
+    c = cells(spark, d)
+    days = moves.factory_days(c, NETWORK, closed_form(spark))
     nearest = days.groupBy("product_name").agg(
         F.min(F.struct("distance_km", "factory", "units")).alias("m"))
     plan = nearest.select("product_name", "m.factory", "m.units")
-    return tidy(capacity.assignment_audit(plan, cells(spark, d), NETWORK, BASE.capacity_multiplier))
+    return tidy(capacity.assignment_audit(plan, c, NETWORK, BASE.capacity_multiplier))
 
 
 # ---- key figures and sweeps ---------------------------------------------------------------------
 
 @query
 def kpi_point(spark, d):
-    picks = ranking.recommend(scored(spark, d))
-    return tidy(kpi.compute_kpis(picks, catalogue(spark, d), baseline_r2(spark, d)))
+    moved, c = scored_with_cells(spark, d)
+    picks = ranking.recommend(moved)
+    return tidy(kpi.compute_kpis(picks, catalogue(spark, d), baseline_r2(c)))
 
 
 @query
 def kpi_point_gated(spark, d):
-    picks = ranking.recommend(scored(spark, d))
-    return tidy(kpi.compute_kpis(picks, catalogue(spark, d), baseline_r2(spark, d), gated=True))
+    moved, c = scored_with_cells(spark, d)
+    picks = ranking.recommend(moved)
+    return tidy(kpi.compute_kpis(picks, catalogue(spark, d), baseline_r2(c), gated=True))
 
 
 @query
 def kpi_bootstrap(spark, d):
-    picks = ranking.recommend(scored(spark, d))
-    return tidy(kpi.bootstrap_kpis(picks, baseline_r2(spark, d)), 5)
+    moved, c = scored_with_cells(spark, d)
+    picks = ranking.recommend(moved)
+    return tidy(kpi.bootstrap_kpis(picks, baseline_r2(c)), 5)
 
 
 @query
 def sensitivity_draws(spark, d):
-    picks = kpi.scenario_picks(candidates(spark, d), BASE)
-    return tidy(kpi.sensitivity(picks, catalogue(spark, d), baseline_r2(spark, d)), 5)
+    c, orders = cells_and_orders(spark, d)
+    picks = kpi.scenario_picks(candidates_of(c, orders), BASE)
+    return tidy(kpi.sensitivity(picks, catalogue(spark, d), baseline_r2(c)), 5)
 
 
 def _stability(spark, d):
@@ -610,22 +647,20 @@ def assumption_sweep(spark, d):
     return sweeps.assumption_sweep(candidates(spark, d), BASE, TARGET).drop("actionable_details")
 
 
-def region_based(spark, d):
-    """Candidates measured to the mean centroid of the region instead of the state."""
-    centres = W.state_table(spark, d).join(W.region_table(spark, d),
-                                           F.col("n_regionkey") == F.col("region_rank")
-                                           ).groupBy("region").agg(F.avg("lat").alias("lat"),
-                                                                   F.avg("lon").alias("lon"))
-    c = cells(spark, d).drop("lat", "lon").join(centres, "region")
-    found = moves.candidate_moves(c, moves.product_orders(lines(spark, d)), NETWORK)
-    measured = risk.with_residuals(found, risk.residual_std(risk.baseline_residuals(c)))
-    return risk.risk_inputs(measured.persist(), BASE)
+def regional_cells(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    """Cells placed at the mean centroid of their region instead of their state's."""
+    states, regions = W.state_table(spark, d), W.region_table(spark, d)
+    centres = (states.join(regions, F.col("n_regionkey") == F.col("region_rank")).groupBy("region")
+               .agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")))
+    return c.drop("lat", "lon").join(centres, "region")
 
 
 @query
 def alt_distance_gates(spark, d):
-    regional = ranking.score_moves(region_based(spark, d), BASE.columns())
-    return tidy(sweeps.compare_bases(scored(spark, d), regional, ("state", "region")))
+    c, orders = cells_and_orders(spark, d)
+    both = [ranking.score_moves(candidates_of(basis, orders), BASE.columns())
+            for basis in (c, regional_cells(spark, d, c))]
+    return tidy(sweeps.compare_bases(*both, ("state", "region")))
 
 
 @query

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE does the sizing: a generous initial partition count that coalesces on small inputs and
 # splits skewed join partitions on large ones.
@@ -33,16 +33,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a fresh temporary folder.
+    Only a local session without the setting gets a fresh temporary folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.environ.get("HAULMARK_LOCAL_DIR") or tempfile.mkdtemp(prefix="haulmark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="haulmark-")
+    return _local_dirs[context.applicationId]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    Used for small pre-aggregates that a plan reads several times: the order lines are scanned once,
+    a lost executor costs no recomputation of them, and the optimizer sees the table's real size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

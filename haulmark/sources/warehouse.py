@@ -27,8 +27,26 @@ BRANDS = range(1, 26)
 LAST_MAPPED_BRAND = 22
 
 
+# Declared schemas spare a footer-reading job per table and query.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def product_of(brand: int) -> str:
@@ -46,7 +64,8 @@ def explicit_map(spark: SparkSession, network: Network) -> DataFrame:
 
 
 def mode_table(spark: SparkSession) -> DataFrame:
-    return local_table(spark, ["ship_mode", "ship_mode_rank", "multiplier"], MODES)
+    return local_table(spark, ["ship_mode", "ship_mode_rank", "multiplier"], MODES).withColumn(
+        "ship_mode_rank", F.col("ship_mode_rank").cast("int"))
 
 
 def region_table(spark: SparkSession, folder: str) -> DataFrame:
