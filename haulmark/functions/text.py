@@ -18,7 +18,7 @@ CANADIAN_PROVINCES = (
 
 def normalize_product_name(name: Column) -> Column:
     """One spelling per product: parts around hyphens trimmed and rejoined with ``' - '``."""
-    return F.array_join(F.transform(F.split(name, "-"), F.trim), " - ")
+    return F.array_join(F.transform(F.split(name, "-"), lambda part: F.trim(part)), " - ")
 
 
 def blank_to_null(value: Column) -> Column:

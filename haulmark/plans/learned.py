@@ -1 +1,191 @@
-"""Registered queries that fit models."""
+"""Registered queries that fit models. They have no SQL equivalent; tests check invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haulmark.functions.portable import fold, is_holdout
+from haulmark.functions.text import calendar_features
+from haulmark.operators import clusters, derive, lanes, models, moves
+from haulmark.plans.queries import BASE, NETWORK, PROFILE_COLUMNS, cells, lines, prepared, query, tidy
+from haulmark.session import staged
+from haulmark.sources import warehouse as W
+
+FOLD_STREAM = 5  # fixed value: key of the fold draw
+
+
+def _training_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines with hold-out side, fold and proxy transit days, staged for repeated scans."""
+    a, b = F.col("order_id"), F.col("line_key")
+    modes = W.mode_table(spark).select("ship_mode", "multiplier")
+    marked = lines(spark, d).join(modes, "ship_mode").withColumns({
+        "is_holdout": is_holdout(a, b), "fold": fold(a * FOLD_STREAM, b),
+        "transit_days": derive.transit_days(F.col("distance_km"), F.col("multiplier"), a, b)})
+    return staged(marked.drop("lat", "lon", "ship_date", "cost", "gross_profit"), "training")
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where(~F.col("is_holdout")), rows.where("is_holdout")
+
+
+def _proxy(spark: SparkSession, d: str, target: str = "transit_days"):
+    """Report and models of the proxy feature set, trained on cells, tested on lines."""
+    train, test = _split(_training_lines(spark, d))
+    grid = staged(models.training_cells(train, target), "grid")
+    return models.holdout_report(grid, test.withColumn("label", F.col(target).cast("double")),
+                                 models.PROXY_FEATURES, models.estimators(weight="n"))
+
+
+@query
+def proxy_model_metrics(spark, d):
+    return tidy(_proxy(spark, d)[0])
+
+
+@query
+def observed_model_metrics(spark, d):
+    return tidy(_proxy(spark, d, "lead_time_days")[0])
+
+
+def _lead_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _training_lines(spark, d).withColumn("label", F.col("lead_time_days").cast("double"))
+    return models.numbers_as_double(rows, models.LEAD_FEATURES)
+
+
+@query
+def model_metrics(spark, d):
+    """The full feature set, line by line."""
+    train, test = _split(_lead_rows(spark, d))
+    return tidy(models.holdout_report(train, test, models.LEAD_FEATURES,
+                                      models.estimators(trees=20, rounds=20))[0])
+
+
+def _cv(spark: SparkSession, d: str) -> DataFrame:
+    grid = staged(models.training_cells(_training_lines(spark, d), "lead_time_days",
+                                        extra=["fold"]), "grid")
+    return models.cross_validate(grid, models.PROXY_FEATURES,
+                                 models.estimators(trees=20, rounds=20, weight="n"), cells=True)
+
+
+@query
+def cv_metrics(spark, d):
+    return tidy(models.cv_summary(_cv(spark, d)))
+
+
+@query
+def model_selection(spark, d):
+    tier = F.create_map(*[F.lit(x) for kv in models.TIERS.items() for x in kv])
+    report = models.cv_summary(_cv(spark, d)).withColumn("interpretability_tier",
+                                                         tier[F.col("model")])
+    return tidy(models.select_best(report))
+
+
+@query
+def residual_std(spark, d):
+    train, test = _split(_lead_rows(spark, d))
+    linear = models.fit(train, models.LEAD_FEATURES, models.estimators()["Linear Regression"])
+    return tidy(models.residual_std(linear.transform(test)))
+
+
+@query
+def permutation_importance(spark, d):
+    train, test = _split(_lead_rows(spark, d))
+    linear = models.fit(train, models.LEAD_FEATURES, models.estimators()["Linear Regression"])
+    key = F.concat_ws("-", "order_id", "line_key")
+    return tidy(models.permutation_importance(linear, test, models.LEAD_FEATURES, key), 9)
+
+
+@query
+def temporal_holdout(spark, d):
+    rows = models.temporal_split(_training_lines(spark, d))
+    early = staged(models.training_cells(rows.where(~F.col("is_late")), "lead_time_days"), "early")
+    late = rows.where("is_late").withColumn("label", F.col("lead_time_days").cast("double"))
+    return tidy(models.holdout_report(early, late, models.PROXY_FEATURES, models.estimators(
+        trees=20, rounds=20, weight="n", ridge=True))[0])
+
+
+# Nested feature sets: (name, numeric, categorical).
+ABLATION = (
+    ("Ship mode", [], ["ship_mode"]),
+    ("+ calendar", ["month", "weekday"], ["ship_mode"]),
+    ("+ order size", ["month", "weekday", "units"], ["ship_mode"]),
+    ("+ distance", ["month", "weekday", "units", "distance_km"], ["ship_mode"]),
+    ("+ region & factory", ["month", "weekday", "units", "distance_km"],
+     ["ship_mode", "region", "current_factory"]),
+)
+
+
+@query
+def feature_ablation(spark, d):
+    """Cross-validated R2 of growing feature sets, on state and on region distances."""
+    rows = _training_lines(spark, d).withColumns(calendar_features(F.col("order_date")))
+    by_region = rows.groupBy("region", "current_factory").agg(
+        F.avg("distance_km").alias("region_km"))
+    rows = staged(rows.join(by_region, ["region", "current_factory"]), "ablation")
+    out = []
+    for basis, column in (("state", "distance_km"), ("region", "region_km")):
+        for name, numeric, categorical in ABLATION:
+            if basis == "region" and "distance_km" not in numeric:
+                continue
+            features = models.Features([column if c == "distance_km" else c for c in numeric],
+                                       categorical)
+            keys = features.all()
+            grid = models.training_cells(models.numbers_as_double(rows, features),
+                                         "lead_time_days", keys, ["fold"])
+            out.append((basis, name, features, grid))
+
+    def one(basis, name, features, grid):
+        linear = {"Linear Regression": models.estimators(weight="n")["Linear Regression"]}
+        folds = models.cross_validate(staged(grid, "grid"), features, linear, cells=True)
+        return models.cv_summary(folds).select(
+            F.lit(basis).alias("distance_basis"), F.lit(name).alias("feature_set"), "cv_r2_mean",
+            "cv_r2_std")
+
+    found = models.in_parallel([lambda o=o: one(*o) for o in out])
+    both = models.union(found)
+    # Sets without a distance are the same on either basis.
+    shared = both.where(~F.col("feature_set").isin("+ distance", "+ region & factory"))
+    return tidy(both.unionByName(shared.withColumn("distance_basis", F.lit("region"))))
+
+
+@query
+def state_vs_distance(spark, d):
+    rows = _training_lines(spark, d)
+    sets = (("Ship mode + state dummies", [], ["ship_mode", "state"]),
+            ("Ship mode + distance", ["distance_km"], ["ship_mode"]),
+            ("Ship mode + state + distance", ["distance_km"], ["ship_mode", "state"]))
+
+    def one(name, numeric, categorical):
+        features = models.Features(numeric, categorical)
+        grid = staged(models.training_cells(rows, "lead_time_days", features.all(), ["fold"]), "grid")
+        linear = {"Linear Regression": models.estimators(weight="n")["Linear Regression"]}
+        folds = models.cross_validate(grid, features, linear, cells=True)
+        return models.cv_summary(folds).select(F.lit(name).alias("comparison"), "cv_r2_mean")
+
+    return tidy(models.union(models.in_parallel([lambda s=s: one(*s) for s in sets])))
+
+
+@query
+def model_reallocation(spark, d):
+    """Every product at every factory, days predicted by the best proxy model."""
+    report, fitted = _proxy(spark, d)
+    best = fitted[report.first()["model"]]
+    days = moves.factory_days(cells(spark, d), NETWORK, models.predictor(best))
+    return tidy(moves.simulate_reallocation(days, BASE.freight_cost_per_unit_per_1000km), 4)
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    profile = staged(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), "lanes")
+    return clusters.cluster_lanes(profile, W.LANE_MIN_ORDERS, starts=3)
+
+
+@query
+def lane_clusters(spark, d):
+    return tidy(_clustered(spark, d).select(*lanes.LANE_KEYS, "order_count", "cluster",
+                                            "selected_k", "silhouette_score"))
+
+
+@query
+def cluster_labels(spark, d):
+    labelled = clusters.label_clusters(_clustered(spark, d), W.LANE_MIN_ORDERS)
+    return labelled.select(*lanes.LANE_KEYS, "cluster", "cluster_label")

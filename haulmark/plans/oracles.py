@@ -426,7 +426,7 @@ add("candidate_moves", MOVES, f"""SELECT {_PC}, division, current_factory, order
   {rounded('units, gross_profit:4, current_distance_km, candidate_distance_km, delta_distance_km, '
            'baseline_lead_days')} FROM cand""")
 add("move_costs", MOVES, f"""SELECT {_PC}, {rounded('delta_lead_days, lead_gain_days, new_lead_days, '
-    'freight_delta:4, setup_net, delta_cost:4, profit_impact:4, new_profit:4')} FROM sc""")
+    'freight_delta:4, setup_net, delta_cost:4, profit_impact:4, new_profit:2')} FROM sc""")
 add("capability_gap", MOVES, f"SELECT {_PC}, division, capability_gap FROM cand")
 add("move_gates", MOVES, f"""SELECT {_PC}, orders, sufficient_evidence, materially_better, gate_result,
   {rounded('lead_gain_days, material_gap_days')} FROM sc""")
@@ -466,7 +466,7 @@ add("whatif_profit", _W + """, x AS (SELECT a.product_name, a.factory AS candida
   a.gross_profit-a.units*(a.distance_km-i.distance_km)/1000*0.15 AS whatif_profit
   FROM fd a JOIN fd i ON a.product_name=i.product_name AND i.is_incumbent AND NOT a.is_incumbent)""",
     f"""SELECT {_PC}, {rounded('baseline_days, new_days, days_reduced, gross_profit:4, '
-    'profit_impact:4, whatif_profit:4')} FROM x""")
+    'profit_impact:4, whatif_profit:2')} FROM x""")
 _VALUES = "|".join(f"{v:.6f}" for v in (900, 0.15, 0.2, 2, 2200, 0.25, 1.5))
 add("assumption_version", MOVES, f"""SELECT {_PC}, sha256({lit(_VALUES)}||'|'||(SELECT string_agg(
   factory||'='||printf('%.6f',setup),'|' ORDER BY factory) FROM fac)) AS assumption_version
@@ -647,8 +647,8 @@ add("alt_distance_gates", MOVES + "," + _REGIONAL + "," + _SECOND, f"""SELECT a.
   a.gate_result<>b.gate_result AS gate_changed FROM pk a JOIN pk_r b
   ON a.product_name=b.product_name AND a.candidate_factory=b.candidate_factory""")
 
-TWO = "SELECT * FROM (" + one("0", **{"w": "CAST(1 AS DOUBLE)"}) + " UNION ALL " + one(
-    "1", w="CAST(0 AS DOUBLE)") + ")"
+TWO = (one("0", w="CAST(1 AS DOUBLE)", rw="CAST(0 AS DOUBLE)") + " UNION ALL "
+       + one("1", w="CAST(0 AS DOUBLE)", rw="CAST(1 AS DOUBLE)"))
 add("scenario_flips", BASE + "," + scenarios(TWO), """SELECT a.product_name,
   a.candidate_factory AS left_pick, b.candidate_factory AS right_pick FROM pk a JOIN pk b
   ON a.trial=0 AND b.trial=1 AND a.pos=1 AND b.pos=1 AND a.product_name=b.product_name

@@ -321,7 +321,8 @@ def lane_profile(spark, d):
 
 @query
 def slow_routes(spark, d):
-    found = lanes.slow_routes(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), W.LANE_MIN_ORDERS)
+    profile = lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS))
+    found = lanes.slow_routes(profile, W.LANE_MIN_ORDERS)
     return tidy(lanes.by_exposure(found).select(
         *lanes.LANE_KEYS, "order_count", "mean_lead", "p90_lead", "avg_lead", "slow_route",
         "slow_by_mean", "exposure", "min_orders_threshold"), exposure=4)
@@ -329,7 +330,8 @@ def slow_routes(spark, d):
 
 @query
 def top_exposure(spark, d):
-    found = lanes.slow_routes(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), W.LANE_MIN_ORDERS)
+    profile = lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS))
+    found = lanes.slow_routes(profile, W.LANE_MIN_ORDERS)
     return tidy(lanes.top_exposure(found).select(*lanes.LANE_KEYS, "order_count", "mean_lead",
                                                  "exposure"), exposure=4)
 
@@ -341,7 +343,8 @@ def region_product_profile(spark, d):
 
 @query
 def congested_pairs(spark, d):
-    return tidy(lanes.by_congestion(lanes.congested_pairs(prepared(spark, d, PROFILE_COLUMNS))), mean_profit=4)
+    pairs = lanes.congested_pairs(prepared(spark, d, PROFILE_COLUMNS))
+    return tidy(lanes.by_congestion(pairs), mean_profit=4)
 
 
 @query
@@ -391,7 +394,7 @@ def move_costs(spark, d):
     return tidy(priced(spark, d).select(
         "product_name", "candidate_factory", "delta_lead_days", "lead_gain_days", "new_lead_days",
         "freight_delta", "setup_net", "delta_cost", "profit_impact", "new_profit"),
-        freight_delta=4, delta_cost=4, profit_impact=4, new_profit=4)
+        freight_delta=4, delta_cost=4, profit_impact=4, new_profit=2)
 
 
 @query
@@ -476,7 +479,7 @@ def whatif_profit(spark, d):
     return tidy(moves.simulate_reallocation(days, BASE.freight_cost_per_unit_per_1000km).select(
         "product_name", "candidate_factory", "baseline_days", "new_days", "days_reduced",
         "gross_profit", "profit_impact", "whatif_profit"), gross_profit=4, profit_impact=4,
-        whatif_profit=4)
+        whatif_profit=2)
 
 
 @query
@@ -666,10 +669,10 @@ def alt_distance_gates(spark, d):
 @query
 def scenario_flips(spark, d):
     moved = candidates(spark, d)
-    by_days = ranking.top_picks(ranking.score_moves(moved, BASE.replace(speed_weight=1.0).columns()))
-    by_money = ranking.top_picks(ranking.score_moves(moved,
-                                                     BASE.replace(speed_weight=0.0).columns()))
-    return reconcile.scenario_flips(by_days, by_money)
+    fast = BASE.replace(speed_weight=1.0, risk_weight=0.0)
+    safe = BASE.replace(speed_weight=0.0, risk_weight=1.0)
+    picks = [ranking.top_picks(ranking.score_moves(moved, a.columns())) for a in (fast, safe)]
+    return reconcile.scenario_flips(*picks)
 
 
 def _stored_and_computed(spark, d):
