@@ -49,10 +49,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     targets = [(c, p, f"{i}_{j}") for i, c in enumerate(columns) for j, p in enumerate(probs)]
     values = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
 
+    def around(c: str, p: float) -> Column:
+        """Two values around the quantile; for few rows, the whole range."""
+        sketch = F.percentile_approx(F.col(c), [max(0.0, p - slack), min(1.0, p + slack)], ACCURACY)
+        return F.when(F.count(c) <= 2 * ACCURACY, F.array(F.min(c), F.max(c))).otherwise(sketch)
+
     first = values.agg(F.struct(
         *[F.count(c).alias(f"n_{c}") for c in dict.fromkeys(columns)],
-        *[F.percentile_approx(F.col(c), [max(0.0, p - slack), min(1.0, p + slack)], ACCURACY)
-          .alias(f"b_{t}") for c, p, t in targets]).alias("s")).scalar()
+        *[around(c, p).alias(f"b_{t}") for c, p, t in targets]).alias("s")).scalar()
 
     # The subquery enters the plan as one column; naming it in every expression would copy it.
     outer = F.col("_first")
@@ -86,13 +90,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     brackets = narrowed.select(F.array(*[bracket(*t) for t in targets]).alias("b")).scalar()
     # Each row yields only the few brackets it falls into; all others drop out inside the scan.
     def tested(i: int, c: str, p: float, t: str) -> Column:
-        b = F.col("b")[i]
+        b = F.col("_brackets")[i]
         return F.when((F.col(c) >= b["outer"]) & (F.col(c) <= b["hi"]), F.struct(
             b["t"].alias("t"), b["column"].alias("column"), b["prob"].alias("prob"),
             b["n"].alias("n"), b["below"].alias("below"),
             F.when(F.col(c) >= b["lo"], F.col(c)).alias("v")))
 
-    hits = (values.withColumn("b", brackets)
+    hits = (values.withColumn("_brackets", brackets)
             .select(F.explode(F.array_compact(F.array(
                 *[tested(i, *target) for i, target in enumerate(targets)]))).alias("h"))
             .select("h.*"))

@@ -15,7 +15,7 @@ from haulmark.operators.clean import (FINANCE, clean_orders, collapse_copies, is
                                       type_orders)
 from haulmark.operators.derive import resolve_factory
 from haulmark.params import IQR_FACTOR
-from haulmark.sources.orders import missing_columns
+from haulmark.sources.orders import CORRUPT, missing_columns
 
 LONG_LEAD_DAYS = 365  # fixed value: threshold of the long-lead share
 SYNTHETIC_PRODUCT = "^Product_"  # fixed value: pattern of a made-up product name
@@ -39,6 +39,7 @@ def audit_summary(raw: DataFrame, ship_modes: DataFrame, regions: DataFrame, pla
     that and collapse to one row each. Everything else is counted per product name and then summed,
     which also yields the number of products without a second pass.
     """
+    raw = raw.drop(CORRUPT)
     content = list(raw.columns)
     flagged = raw.withColumns({"_header": is_header(), "_blank": is_blank(content)})
     rows = type_orders(collapse_copies(flagged))

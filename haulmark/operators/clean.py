@@ -29,7 +29,8 @@ def is_blank(columns: list[str]) -> Column:
 
 def data_rows(raw: DataFrame) -> DataFrame:
     """Rows that are neither repeated headers nor blank."""
-    return raw.where(~is_header() & ~is_blank(_content(raw)))
+    content = _content(raw)
+    return raw.select(*content).where(~is_header() & ~is_blank(content))
 
 
 def collapse_copies(raw: DataFrame, row_id: str = "row_id") -> DataFrame:

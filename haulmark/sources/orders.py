@@ -68,5 +68,7 @@ def field_count_drift(raw: DataFrame) -> DataFrame:
 
     Needs a scan with ``keep_corrupt=True``.
     """
-    return raw.agg(F.count(F.lit(1)).alias("rows"),
-                   F.count(F.col(CORRUPT)).alias("drifted_rows"))
+    # All fields are read, since a pruned scan would not notice that one is missing.
+    content = F.concat_ws("", *[c for c in raw.columns if c != CORRUPT])
+    drifted = F.col(CORRUPT).isNotNull() & (F.length(content) >= 0)
+    return raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(drifted).alias("drifted_rows"))
