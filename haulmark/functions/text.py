@@ -27,8 +27,8 @@ def blank_to_null(value: Column) -> Column:
 
 def finite(value: Column) -> Column:
     """NaN and infinities as null, so that Spark's aggregates skip them."""
-    bad = F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(~bad, value)
+    # NaN compares greater than infinity, so one comparison rules out both.
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def parse_date(text: Column, strict: bool = False) -> Column:

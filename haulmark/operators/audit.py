@@ -36,8 +36,8 @@ def audit_summary(raw: DataFrame, ship_modes: DataFrame, regions: DataFrame, pla
     """One row with every cleaning count.
 
     The raw rows are shuffled once, to collapse copies. Headers and blank rows are flagged before
-    that and collapse to one row each. Everything else is counted per product name and then summed,
-    which also yields the number of products without a second pass.
+    that and collapse to one row each. Everything else is counted per combination of categories,
+    then per product, then in total, which also yields the number of products in the same pass.
     """
     raw = raw.drop(CORRUPT)
     content = list(raw.columns)
@@ -45,18 +45,16 @@ def audit_summary(raw: DataFrame, ship_modes: DataFrame, regions: DataFrame, pla
     rows = type_orders(collapse_copies(flagged))
     data = ~F.col("_header") & ~F.col("_blank")
     valid = data & F.col("valid")
-    known = (resolve_factory(rows.withColumn("product_name",
-                                             normalize_product_name(F.col("product_name"))),
-                             product_factory, division_factory)
-             .join(ship_modes.select("ship_mode", F.lit(True).alias("_mode")), "ship_mode", "left")
-             .join(regions.select("region", F.lit(True).alias("_region")), "region", "left")
-             .join(places.select("state", F.lit(True).alias("_place")), "state", "left"))
     lead = F.when(valid, lead_days(F.col("order_date"), F.col("ship_date")))
 
     def n(condition: Column) -> Column:
         return F.sum(F.when(condition, 1).otherwise(0))
 
-    parts = known.groupBy("product_name").agg(
+    # Sums per combination of categories come first, so the lookups meet a small table and a
+    # frequent category is no hot join key.
+    keys = ["product_name", "division", "ship_mode", "region", "state"]
+    cells = (rows.withColumn("product_name", normalize_product_name(F.col("product_name")))
+             .groupBy(*keys).agg(
         F.sum("copies").alias("input_rows"),
         F.sum(F.when(F.col("_header"), F.col("copies")).otherwise(0)).alias("stray_header_rows"),
         F.sum(F.when(F.col("_blank"), F.col("copies")).otherwise(0)).alias("blank_rows"),
@@ -68,19 +66,31 @@ def audit_summary(raw: DataFrame, ship_modes: DataFrame, regions: DataFrame, pla
         n(valid).alias("rows_after_valid"),
         n(data & ~F.col("valid")).alias("dropped_parse_errors"),
         n(valid & F.col("cost_missing")).alias("cost_imputed"),
-        n(valid & F.col("_mode").isNull()).alias("unmapped_ship_modes"),
-        n(valid & F.col("_region").isNull()).alias("unmapped_regions"),
-        n(valid & (F.col("factory_provenance") == "unmapped")).alias("unmapped_products"),
-        n(valid & (F.col("factory_provenance") == "division-fallback")).alias("fallback_products"),
-        n(valid & F.col("_place").isNull()).alias("unresolved_centroids"),
         F.min(lead).alias("lead_min"), F.max(lead).alias("lead_max"),
         F.sum(lead.cast("bigint")).alias("lead_sum"), n(lead < 0).alias("lead_negative"),
-        n(lead >= LONG_LEAD_DAYS).alias("lead_long"))
+        n(lead >= LONG_LEAD_DAYS).alias("lead_long")))
+    known = (resolve_factory(cells, product_factory, division_factory)
+             .join(ship_modes.select("ship_mode", F.lit(True).alias("_mode")), "ship_mode", "left")
+             .join(regions.select("region", F.lit(True).alias("_region")), "region", "left")
+             .join(places.select("state", F.lit(True).alias("_place")), "state", "left"))
+
+    def valid_where(condition: Column) -> Column:
+        return F.when(condition, F.col("rows_after_valid")).otherwise(0)
+
+    known = known.withColumns({
+        "unmapped_ship_modes": valid_where(F.col("_mode").isNull()),
+        "unmapped_regions": valid_where(F.col("_region").isNull()),
+        "unresolved_centroids": valid_where(F.col("_place").isNull()),
+        "unmapped_products": valid_where(F.col("factory_provenance") == "unmapped"),
+        "fallback_products": valid_where(F.col("factory_provenance") == "division-fallback")})
     counts = ["input_rows", "stray_header_rows", "blank_rows", "duplicate_rows", "rows_after_dedup",
               "unparseable_order_dates", "unparseable_ship_dates", "unparseable_financial_rows",
               "rows_after_valid", "dropped_parse_errors", "cost_imputed", "unmapped_ship_modes",
               "unmapped_regions", "unmapped_products", "fallback_products", "unresolved_centroids",
               "lead_negative"]
+    parts = known.groupBy("product_name").agg(
+        *[F.sum(c).alias(c) for c in (*counts, "lead_sum", "lead_long")],
+        F.min("lead_min").alias("lead_min"), F.max("lead_max").alias("lead_max"))
     used = F.col("rows_after_valid") > 0
     total = parts.agg(
         *[F.sum(c).cast("bigint").alias(c) for c in counts],

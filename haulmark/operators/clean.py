@@ -54,17 +54,18 @@ def type_orders(rows: DataFrame) -> DataFrame:
     Amounts are parsed before a missing cost is imputed; a blank cost is missing, a cost that is
     not a number is a defect.
     """
-    order_date, ship_date = parse_date(F.col("order_date")), parse_date(F.col("ship_date"))
+    # Each text is parsed once; the flags only look at the parsed columns.
+    dates = {c: parse_date(F.col(c)) for c in ("order_date", "ship_date")}
     amounts = {c: parse_number(F.col(c)) for c in FINANCE}
-    cost_given = blank_to_null(F.col("cost")).isNotNull()
-    bad_finance = (amounts["sales"].isNull() | amounts["units"].isNull()
-                   | amounts["gross_profit"].isNull() | (cost_given & amounts["cost"].isNull()))
-    return (rows.withColumns({
-        "bad_order_date": order_date.isNull(), "bad_ship_date": ship_date.isNull(),
-        "bad_finance": bad_finance, "cost_missing": ~cost_given})
-        .withColumns({"order_date": order_date, "ship_date": ship_date, **amounts})
-        .withColumn("valid", ~(F.col("bad_order_date") | F.col("bad_ship_date")
-                               | F.col("bad_finance"))))
+    typed = (rows.withColumn("cost_missing", blank_to_null(F.col("cost")).isNull())
+             .withColumns({**dates, **amounts}))
+    bad_finance = (F.col("sales").isNull() | F.col("units").isNull() | F.col("gross_profit").isNull()
+                   | (~F.col("cost_missing") & F.col("cost").isNull()))
+    return typed.withColumns({
+        "bad_order_date": F.col("order_date").isNull(),
+        "bad_ship_date": F.col("ship_date").isNull(), "bad_finance": bad_finance,
+    }).withColumn("valid", ~(F.col("bad_order_date") | F.col("bad_ship_date")
+                             | F.col("bad_finance")))
 
 
 def rejected_rows(typed: DataFrame) -> DataFrame:

@@ -286,8 +286,8 @@ add("iqr_fence_counts", _Q, """SELECT count(*) AS rows, count(*) FILTER (WHERE v
   count(*) FILTER (WHERE value<lo OR value>hi) AS removed_total,
   round(100.0*count(*) FILTER (WHERE value<lo OR value>hi)/count(*),6) AS removed_pct,
   count(*)-count(*) FILTER (WHERE value<lo OR value>hi) AS rows_after FROM events, f""")
-add("iqr_bounds_lines", BASE, f"""SELECT "column", n, {rounded('q1:4, q3:4')},
-  {R('q1-3*(q3-q1)', 4)} AS lo, {R('q3+3*(q3-q1)', 4)} AS hi FROM ("""
+add("iqr_bounds_lines", BASE, f"""SELECT "column", n, {rounded('q1, q3')},
+  {R('q1-3*(q3-q1)')} AS lo, {R('q3+3*(q3-q1)')} AS hi FROM ("""
     + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, quantile_cont({c},0.25) AS q1,
   quantile_cont({c},0.75) AS q3 FROM ol""" for c in ("sales", "units", "gross_profit", "cost")) + ")")
 add("pinned_assertions", BASE + "," + RAW, """SELECT e.order_id, expected, observed,

@@ -64,6 +64,11 @@ def prepared(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame
     return staged(lines(spark, d).select(*columns), "lines")
 
 
+def export(spark: SparkSession, d: str) -> DataFrame:
+    """The all-text rows as a stored export, the form in which cleaning meets them."""
+    return staged(W.raw_order_lines(spark, d), "export")
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """The order cells, staged: one scan of the order lines, however often a query reads them."""
     return staged(moves.order_cells(lines(spark, d)), "cells")
@@ -130,12 +135,12 @@ def dedup_orders(spark, d):
 
 @query
 def clean_orders(spark, d):
-    return tidy(clean.clean_orders(W.raw_order_lines(spark, d)), 4)
+    return tidy(clean.clean_orders(export(spark, d)), 4)
 
 
 @query
 def rejected_rows(spark, d):
-    bad = clean.rejected_rows(clean.type_orders(clean.dedup_orders(W.raw_order_lines(spark, d))))
+    bad = clean.rejected_rows(clean.type_orders(clean.dedup_orders(export(spark, d))))
     return bad.select("row_id", "order_id", F.array_join("reasons", "+").alias("reasons"))
 
 
@@ -174,7 +179,7 @@ def iqr_fence_counts(spark, d):
 
 @query
 def iqr_bounds_lines(spark, d):
-    return tidy(audit.fence_bounds(prepared(spark, d, clean.FINANCE), clean.FINANCE), 4)
+    return tidy(audit.fence_bounds(prepared(spark, d, clean.FINANCE), clean.FINANCE))
 
 
 @query
@@ -186,7 +191,7 @@ def pinned_assertions(spark, d):
         F.min("l_shipdate").alias("first_ship"))
     expected = (first.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                 .select("order_id", F.datediff("first_ship", "o_orderdate").alias("expected")))
-    observed = clean.clean_orders(W.raw_order_lines(spark, d)).groupBy("order_id").agg(
+    observed = clean.clean_orders(export(spark, d)).groupBy("order_id").agg(
         F.min("lead_time_days").alias("observed"))
     return audit.pinned_assertions(expected, observed, ["order_id"])
 
