@@ -373,18 +373,18 @@ sl AS (SELECT *, order_count>=320 AND (mean_lead>avg_lead OR p90_lead>avg_lead)
 PAIR = BASE + ", pp AS (" + profile("region, product_name") + ")"
 _L = "current_factory, region, ship_mode, order_count"
 add("lane_profile", LANE, f"""SELECT {_L}, {rounded(
-    'mean_lead, p90_lead, lead_std, mean_distance, mean_units, mean_profit:4')} FROM lp""")
+    'mean_lead, p90_lead, lead_std, mean_distance, mean_units, mean_profit:2')} FROM lp""")
 add("slow_routes", LANE, f"""SELECT {_L}, slow_route, slow_by_mean, 320 AS min_orders_threshold,
   {rounded('mean_lead, p90_lead, avg_lead, exposure:4')} FROM sl""")
 add("top_exposure", LANE, f"""SELECT {_L}, {rounded('mean_lead, exposure:4')} FROM sl WHERE slow_route
   ORDER BY sl.exposure DESC, {_L} LIMIT 5""")
 add("region_product_profile", PAIR, f"""SELECT region, product_name, order_count, {rounded(
-    'mean_lead, p90_lead, mean_units, mean_profit:4')} FROM pp""")
+    'mean_lead, p90_lead, mean_units, mean_profit:2')} FROM pp""")
 add("congested_pairs", PAIR + """, cg AS (SELECT *, (SELECT quantile_cont(order_count,0.75) FROM pp)
   AS volume_threshold, (SELECT avg(lead_time_days) FROM ol) AS overall_mean_lead FROM pp)""",
     f"""SELECT region, product_name, order_count, order_count>volume_threshold
   AND mean_lead>overall_mean_lead AS congested, {rounded('mean_lead, p90_lead, mean_units, '
-    'mean_profit:4, volume_threshold, overall_mean_lead')} FROM cg""")
+    'mean_profit:2, volume_threshold, overall_mean_lead')} FROM cg""")
 _P = ("0.319381530", "-0.356563782", "1.781477937", "-1.821255978", "1.330274429")
 add("mode_slopes", BASE + """, g AS (SELECT ship_mode, regr_slope(lead_time_days,distance_km) AS slope,
   regr_r2(lead_time_days,distance_km) AS r2, regr_count(lead_time_days,distance_km) AS n FROM ol

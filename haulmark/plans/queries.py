@@ -321,7 +321,7 @@ def value_counts(spark, d):
 
 @query
 def lane_profile(spark, d):
-    return tidy(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=4)
+    return tidy(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=2)
 
 
 @query
@@ -343,13 +343,13 @@ def top_exposure(spark, d):
 
 @query
 def region_product_profile(spark, d):
-    return tidy(lanes.region_product_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=4)
+    return tidy(lanes.region_product_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=2)
 
 
 @query
 def congested_pairs(spark, d):
     pairs = lanes.congested_pairs(prepared(spark, d, PROFILE_COLUMNS))
-    return tidy(lanes.by_congestion(pairs), mean_profit=4)
+    return tidy(lanes.by_congestion(pairs), mean_profit=2)
 
 
 @query
