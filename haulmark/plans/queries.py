@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulmark.functions.text import calendar_features, is_canadian
+from haulmark.functions.text import calendar_days, calendar_features, is_canadian
 from haulmark.functions.text import normalize_product_name
 from haulmark.operators import (audit, capacity, clean, derive, kpi, lanes, moves, ranking,
                                 reconcile, risk, slices, stats, sweeps)
@@ -292,13 +292,14 @@ def country_flag(spark, d):
 
 @query
 def utc_calendar_days(spark, d):
-    span = W.table(spark, d, "events").groupBy("user_id").agg(
-        F.min("ts").cast("timestamp").alias("first"), F.max("ts").cast("timestamp").alias("last"))
-    # The stored times are zone-less UTC; read them as UTC whatever the session's zone is.
-    utc = [F.to_utc_timestamp(c, F.current_timezone()) for c in ("first", "last")]
-    shifted = [F.from_utc_timestamp(u, F.current_timezone()) for u in utc]
-    return span.select("user_id", F.datediff(F.to_date(shifted[1]), F.to_date(shifted[0]))
-                       .alias("days"))
+    """Days between a user's first and last event; the stored wall-clock times are UTC."""
+    def instant(c: str):
+        local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c))
+        return local.cast("timestamp")
+
+    span = W.table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"),
+                                                              F.max("ts").alias("last"))
+    return span.select("user_id", calendar_days(instant("first"), instant("last")).alias("days"))
 
 
 # ---- slices, lanes, statistics ------------------------------------------------------------------
