@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import licenses, mixing, quality, secrets, url_rules
+from haulmark.llm import licenses, mixing, packing, quality, secrets, simhash, url_rules
 from haulmark.llm.text import n_words, text_of
 from haulmark.session import staged
 
@@ -55,6 +55,18 @@ def op1_source_mix(spark: SparkSession, d: str) -> DataFrame:
                       "taken")
 
 
+@query
+def op2_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack_documents(documents(spark, d).select("doc_id", "text"))
+
+
+@query
+def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
+    return simhash.deduplicated(documents(spark, d))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its measures, base verdict and final verdict."""
