@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import licenses, mixing, packing, quality, secrets, simhash, url_rules
+from haulmark.llm import (licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
+                          simhash, token_counts, url_rules)
 from haulmark.llm.text import n_words, text_of
 from haulmark.session import staged
 
@@ -79,6 +80,46 @@ def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         "base_failed", "kept")
 
 
+@query
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's tokens, and its tokens after two edits: its first 40 characters replace those
+    from the middle on, then its last 20 are appended."""
+    docs = documents(spark, d).select("doc_id", text_of("text").alias("text"))
+    n = F.length("text")
+    docs = docs.withColumn("edits", F.array(
+        F.struct(F.floor(n / 2).cast("int").alias("start"), F.lit(40).alias("length"),
+                 F.substring("text", 1, 40).alias("replacement")),
+        F.struct((n + 40).alias("start"), F.lit(0).alias("length"),
+                 F.substring("text", -20, 20).alias("replacement"))))
+    before = token_counts.counted(docs).withColumnRenamed("n_tokens", "tokens_before")
+    return token_counts.edited(before, "edits").select(
+        "doc_id", F.col("tokens_before").alias("n_tokens"),
+        F.col("n_tokens").alias("edited_tokens"), "reencoded_chars",
+        F.length("text").cast("bigint").alias("edited_chars"))
+
+
+@query
+def op6_order_minhash(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its fingerprint, that of its edited text, and likenesses."""
+    docs = documents(spark, d).select("doc_id", text_of("text").alias("text"))
+    width = order_minhash.range_width(docs)
+    edited = order_minhash.with_edit(order_minhash.with_next(docs, width))
+    out = edited.withColumn("edited_sig", order_minhash.signature(F.col("edited")))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.as_text(F.col("sig")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        order_minhash.likeness(F.col("sig"), F.col("next.sig")).alias("near_next"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the number of lines dropped and its text without them."""
+    docs = documents(spark, d).select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select("doc_id", "n_dropped_lines", "text")
+
+
 @query
 def op8_license_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its licence phrases, labels and score."""
