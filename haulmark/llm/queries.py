@@ -37,9 +37,9 @@ def symbol_free(text) -> "F.Column":
     return (words + 1.0) / (words + 1.0 + symbols)
 
 
-def mix_items(docs: DataFrame) -> DataFrame:
+def mix_items(docs: DataFrame, *more: str) -> DataFrame:
     """The narrow table that mixing works on."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
+    return docs.select("doc_id", "source", *more, n_words(F.col("text")).alias("size"),
                        symbol_free(F.col("text")).alias("weight"))
 
 

@@ -151,14 +151,29 @@ def linked(nodes: DataFrame) -> DataFrame:
                                  some.mapInArrow(_members, schema)), near)
 
 
+def roots(rows: DataFrame) -> DataFrame:
+    """(node, root): every fingerprint of ``rows`` (node) and the smallest one that it reaches."""
+    nodes = rows.select("node").distinct()
+    return nodes.join(connected(linked(rows)), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"))
+
+
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (doc_id, ``text``) with fingerprint and component_id, without the text."""
     rows = staged(fingerprints(docs.select("doc_id", text), text).drop(text), "simhash")
-    roots = connected(linked(rows))
-    named = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(
-        roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    named = staged(named, "named")
+    named = staged(rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(roots(rows), "node"),
+                   "named")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     component = named.join(least, "root").select("node", "component_id")
     return rows.join(component, "node").select(
         "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keepers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The ``key`` of one row of ``docs`` (doc_id, ``text``) for each component: the smallest id, nulls
+    last, then the smallest key."""
+    rows = staged(fingerprints(docs.select("doc_id", key, text), text).drop(text), "simhash")
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("key"))
+    of_node = rows.groupBy("node").agg(F.min(best).alias("best"))
+    chosen = of_node.join(roots(rows), "node").groupBy("root").agg(F.min("best").alias("best"))
+    return chosen.select(F.col("best.key").alias(key))
