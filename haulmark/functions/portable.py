@@ -28,6 +28,11 @@ def uniform(a: Column, b: Column | int = 0) -> Column:
     return x.cast("double") / F.lit(float(MODULUS))
 
 
+def text_number(text: Column) -> Column:
+    """48 bits of a text's MD5 as a number, a key for the draws of rows whose ids are text."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 12), 16, 10).cast("bigint")
+
+
 def is_holdout(a: Column, b: Column | int = 0, share: float = 0.2) -> Column:
     """True for a seeded ``share`` of the rows."""
     return uniform(a, b) >= F.lit(1.0 - share)
@@ -39,17 +44,17 @@ def fold(a: Column, b: Column | int = 0, folds: int = 5) -> Column:
 
 
 def with_hash_index(df: DataFrame, key: Column, index: str, tie: list[Column] | None = None,
-                    by: list[str] | None = None) -> DataFrame:
+                    by: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Number the rows 0..n-1 in the order of ``md5(key)``, without a single-partition sort.
 
-    The first three hex digits of the hash cut the order into 4096 even ranges. Rows are numbered
-    inside their range by a partitioned window; the range's offset is the running total of 4096
-    range counts, computed on that bounded table. A key that repeats stays within one range, so
-    keys should be unique or nearly so. ``by`` numbers each group of the given columns on its own.
+    The first ``digits`` hex digits of the hash cut the order into even ranges, 65,536 by default:
+    enough for a million rows each at 6e10 rows. Rows are numbered inside their range by a partitioned
+    window; the range's offset is the running total of the range counts, computed on that bounded
+    table. A key that repeats stays within one range, so keys should be unique or nearly so. ``by`` numbers each group of the given columns on its own.
     """
     by = by or []
     digest = F.md5(key.cast("string"))
-    marked = df.withColumn("_h", digest).withColumn("_r", F.substring("_h", 1, 3))
+    marked = df.withColumn("_h", digest).withColumn("_r", F.substring("_h", 1, digits))
     counts = marked.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_r", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_o"))

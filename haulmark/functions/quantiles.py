@@ -35,24 +35,41 @@ def histogram_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: S
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row ``(column, prob, n, quantile)`` per column and probability, linearly interpolated.
 
-    1. A sketch brackets every quantile between two values whose ranks are at most a few parts in
-       ten thousand away.
+    1. A sketch brackets every quantile between two of its ranks, a few parts in a thousand and at
+       least two ranks away.
     2. A second sketch of the bracketed rows alone narrows the bracket by another factor of about
        a thousand, and the rows below the first bracket are counted.
-    3. The rows left, about n * 1e-6, are counted per value and the two neighbours of the wanted
-       rank are read off their running count.
+    3. The rows left are counted per value and the two neighbours of the wanted rank are read off
+       their running count.
 
-    The brackets are checked against the exact counts; the job fails rather than return a value
-    whose bracket did not hold.
+    The exact counts tell whether a bracket held. If one did not, all are widened and counted again, up
+    to the whole range, which always holds. The result, one row per target, is read to decide that.
     """
-    slack = 2.0 / ACCURACY
+    spark = df.sparkSession
+    for slack in (2.0 / ACCURACY, 100.0 / ACCURACY, 1.0):
+        rows = _bracketed_quantiles(df, columns, probs, slack).collect()
+        if all(r["held"] for r in rows):
+            break
+    return spark.createDataFrame(
+        [(r["column"], r["prob"], r["n"], r["quantile"]) for r in rows],
+        "column string, prob double, n bigint, quantile double")
+
+
+def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                         slack: float) -> DataFrame:
+    """The quantiles with ``held``: whether the bracket of this width has the wanted ranks."""
     targets = [(c, p, f"{i}_{j}") for i, c in enumerate(columns) for j, p in enumerate(probs)]
     values = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    grid = [g / GRID for g in range(GRID + 1)]
 
     def around(c: str, p: float) -> Column:
-        """Two values around the quantile; for few rows, the whole range."""
-        sketch = F.percentile_approx(F.col(c), [max(0.0, p - slack), min(1.0, p + slack)], ACCURACY)
-        return F.when(F.count(c) <= 2 * ACCURACY, F.array(F.min(c), F.max(c))).otherwise(sketch)
+        """Two values around the quantile, at steps of the column's sketch."""
+        ranks = F.percentile_approx(c, grid, ACCURACY)
+        pad = F.lit(slack) + F.lit(3.0) / F.greatest(F.count(c), F.lit(1))
+        low = F.floor((F.lit(p) - pad) * GRID).cast("int") - 1
+        high = F.ceil((F.lit(p) + pad) * GRID).cast("int") + 1
+        return F.array(F.when(low <= 0, F.min(c)).otherwise(F.get(ranks, low)),
+                       F.when(high >= GRID, F.max(c)).otherwise(F.get(ranks, high)))
 
     first = values.agg(F.struct(
         *[F.count(c).alias(f"n_{c}") for c in dict.fromkeys(columns)],
@@ -65,7 +82,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     def in_first(c: str, t: str) -> Column:
         return (F.col(c) >= outer[f"b_{t}"][0]) & (F.col(c) <= outer[f"b_{t}"][1])
 
-    grid = [g / GRID for g in range(GRID + 1)]
     narrowed = bracketed.agg(
         F.max(outer).alias("_first"),
         *[F.count_if(F.col(c) < outer[f"b_{t}"][0]).alias(f"below_{t}") for c, p, t in targets],
@@ -74,11 +90,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
           for c, p, t in targets])
 
     def bracket(c: str, p: float, t: str) -> Column:
-        """The narrowed bracket: two ranks and two grid steps to either side of the wanted rank."""
+        """The narrowed bracket: two ranks and two grid steps or more around the wanted rank."""
         wanted = F.lit(p) * (outer[f"n_{c}"] - 1) - F.col(f"below_{t}")
         step = F.greatest(F.col(f"m_{t}"), F.lit(1)) / GRID
-        low = (F.floor((wanted - 2) / step) - 2).cast("int")
-        high = (F.ceil((wanted + 2) / step) + 2).cast("int")
+        more = max(2.0, slack * GRID)
+        low = (F.floor((wanted - 2) / step) - more).cast("int")
+        high = (F.ceil((wanted + 2) / step) + more).cast("int")
         return F.struct(
             F.lit(t).alias("t"), F.lit(c).alias("column"), F.lit(float(p)).alias("prob"),
             outer[f"n_{c}"].alias("n"), F.col(f"below_{t}").alias("below"),
@@ -117,6 +134,5 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             & (F.col("a.upto") - F.col("a.cnt") <= F.floor(F.col("prob") * (F.col("n") - 1))))
     return found.select(
         "column", "prob", F.col("n").cast("bigint").alias("n"),
-        F.when(held, F.col("a.v") + (F.col("b.v") - F.col("a.v")) * fraction)
-        .otherwise(F.raise_error(F.lit("quantile bracket did not hold")).cast("double"))
-        .alias("quantile"))
+        (F.col("a.v") + (F.col("b.v") - F.col("a.v")) * fraction).alias("quantile"),
+        F.coalesce(held | (F.col("n") == 0), F.lit(False)).alias("held"))

@@ -15,7 +15,7 @@ from haulmark.operators.clean import (FINANCE, clean_orders, collapse_copies, is
                                       type_orders)
 from haulmark.operators.derive import resolve_factory
 from haulmark.params import IQR_FACTOR
-from haulmark.sources.orders import CORRUPT, missing_columns
+from haulmark.sources.orders import CORRUPT, SOURCE_COLUMNS, missing_columns
 
 LONG_LEAD_DAYS = 365  # fixed value: threshold of the long-lead share
 SYNTHETIC_PRODUCT = "^Product_"  # fixed value: pattern of a made-up product name
@@ -190,7 +190,8 @@ def audit_record(raw: DataFrame, summary: DataFrame, pinned: DataFrame, fences:
     removed = fences.select(F.struct(*fences.columns).alias("f")).scalar()
     return summary.withColumns({
         "input_columns": F.array(*[F.lit(c) for c in raw.columns]),
-        "missing_columns": F.array(*[F.lit(c) for c in missing_columns(raw, raw.columns)])
+        "missing_columns": F.array(*[
+            F.lit(c) for c in missing_columns(raw, SOURCE_COLUMNS.values())])
         .cast("array<string>"),
         "assertions": checks, "iqr": removed})
 

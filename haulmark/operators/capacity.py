@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.params import Network
+from haulmark.sources.dims import factories
 
 
 def _current(cells: DataFrame, network: Network) -> DataFrame:
     """Units made per factory today, one row per site of the network."""
     made = cells.groupBy(F.col("current_factory").alias("factory")).agg(
         F.sum("units").alias("current_units"))
-    sites = (cells.sparkSession.range(1).select(F.explode(network.array()).alias("s"))
-             .select(F.col("s.factory").alias("factory")))
+    sites = factories(cells.sparkSession, network).select("factory")
     return sites.join(made, "factory", "left").select(
         "factory", F.coalesce("current_units", F.lit(0.0)).alias("current_units"))
 

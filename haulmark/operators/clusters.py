@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.text import finite
@@ -57,18 +57,87 @@ def cluster_lanes(lanes: DataFrame, min_orders: int = LANE_MIN_ORDERS, k_max: in
                             "silhouette_score": F.lit(float(scores[at]))})
 
 
+def cluster_summary(clustered: DataFrame, min_orders: int = LANE_MIN_ORDERS) -> DataFrame:
+    """Per cluster, over its eligible lanes: their number, mean order count and mean lead."""
+    return clustered.where(F.col("order_count") >= min_orders).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("lanes"), F.avg("order_count").alias("mean_orders"),
+        F.avg("mean_lead").alias("mean_days"))
+
+
 def label_clusters(clustered: DataFrame, min_orders: int = LANE_MIN_ORDERS) -> DataFrame:
-    """Label clusters slow or fast and high or low volume against the median cluster."""
-    means = clustered.where(F.col("order_count") >= min_orders).groupBy("cluster").agg(
-        F.avg("order_count").alias("volume"), F.avg("mean_lead").alias("slow"))
-    middle = means.agg(F.struct(F.median("volume").alias("volume"),
-                                F.median("slow").alias("slow"))).scalar()
-    named = means.withColumn("_m", middle).select("cluster", F.concat(
-        F.when(F.col("slow") >= F.col("_m.slow"), "Slow").otherwise("Fast"), F.lit(" / "),
-        F.when(F.col("volume") >= F.col("_m.volume"), "high volume").otherwise("low volume"))
-        .alias("_label"))
-    return clustered.join(named, "cluster", "left").withColumn(
-        "cluster_label", F.when(F.col("selected_k") == 1, SINGLE)
-        .otherwise(F.coalesce("_label", F.lit(UNCLUSTERED)))).drop("_label")
+    """Label clusters slow or fast and high or low volume against the median cluster.
+
+    The medians run over one row per cluster.
+    """
+    every = Window.partitionBy()
+
+    def above(measure: str) -> Column:
+        return F.col(measure) >= F.median(measure).over(every)
+
+    speed = F.when(above("mean_days"), "Slow").otherwise("Fast")
+    volume = F.when(above("mean_orders"), "high volume").otherwise("low volume")
+    named = cluster_summary(clustered, min_orders).select(
+        "cluster", F.concat_ws(" / ", speed, volume).alias("_label"))
+    label = (F.when(F.col("selected_k") == 1, SINGLE)
+             .otherwise(F.coalesce("_label", F.lit(UNCLUSTERED))))
+    return (clustered.join(named, "cluster", "left").withColumn("cluster_label", label)
+            .drop("_label"))
+
+
+def standardised(lanes: DataFrame, min_orders: int = LANE_MIN_ORDERS) -> DataFrame:
+    """``lanes`` with ``z_<measure>``: measures in deviations from the mean of the eligible lanes."""
+    numbers = {c: F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)) for c in CLUSTER_FEATURES}
+    eligible = F.col("order_count") >= min_orders
+    spread = lanes.agg(F.struct(*[F.struct(
+        F.avg(F.when(eligible, v)).alias("mean"), F.stddev_samp(F.when(eligible, v)).alias("std"))
+        .alias(c) for c, v in numbers.items()]).alias("s")).scalar()
+    held = lanes.withColumn("_s", spread)
+    return held.withColumns({
+        f"z_{c}": F.coalesce((v - F.col(f"_s.{c}.mean")) / F.nullif(F.col(f"_s.{c}.std"), F.lit(0.0)),
+                             F.lit(0.0)) for c, v in numbers.items()}).drop("_s")
+
+
+def assign_clusters(scaled: DataFrame, centres: DataFrame) -> DataFrame:
+    """``scaled`` with ``cluster``, the number of the nearest centre (cluster, z_<measure>...), and its
+    squared ``distance``; ties go to the smaller number. The few centres are read as one array."""
+    names = [f"z_{c}" for c in CLUSTER_FEATURES]
+    every = centres.agg(F.collect_list(F.struct("cluster", *names)).alias("c")).scalar()
+
+    def apart(centre: Column) -> Column:
+        return sum(((F.col(n) - centre[n]) ** 2 for n in names[1:]), (F.col(names[0])
+                                                                      - centre[names[0]]) ** 2)
+
+    nearest = F.array_min(F.transform("_c", lambda c: F.struct(
+        apart(c).alias("distance"), c["cluster"].alias("cluster"))))
+    return (scaled.withColumn("_c", every).withColumn("_n", nearest)
+            .withColumns({"cluster": F.col("_n.cluster"), "distance": F.col("_n.distance")})
+            .drop("_c", "_n"))
+
+
+def silhouette(clustered: DataFrame) -> DataFrame:
+    """One row: the mean silhouette with squared Euclidean distance.
+
+    The mean squared distance of a point to a cluster follows from the cluster's size, sums and sum
+    of squares, so one row per cluster meets each point instead of all other points.
+    """
+    names = [f"z_{c}" for c in CLUSTER_FEATURES]
+    norm = sum((F.col(n) ** 2 for n in names[1:]), F.col(names[0]) ** 2)
+    sums = clustered.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"),
+        F.array(*[F.sum(n) for n in names]).alias("s"))
+    every = sums.agg(F.collect_list(F.struct("cluster", "n", "q", "s")).alias("c")).scalar()
+    point = F.array(*names)
 
+    def total(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with(point, c["s"], lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        return c["n"] * F.col("_norm") - dot * 2 + c["q"]
 
+    own = F.col("cluster")
+    inside = F.get(F.filter("_c", lambda c: c["cluster"] == own), F.lit(0))
+    a = total(inside) / F.nullif(inside["n"] - 1, F.lit(0))
+    b = F.array_min(F.transform(F.filter("_c", lambda c: c["cluster"] != own),
+                                lambda c: total(c) / c["n"]))
+    held = clustered.withColumn("_c", every).withColumn("_norm", norm)
+    score = F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
+    return held.agg(F.avg(score).alias("silhouette_score"),
+                    F.count(F.lit(1)).alias("points"))

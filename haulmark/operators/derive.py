@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.geo import haversine_km
 from haulmark.functions.portable import uniform
 from haulmark.params import Network
+from haulmark.session import staged, staged_path
+from haulmark.sources.dims import factories
 
 KM_PER_DAY = 800.0  # fixed value: distance covered in one proxy transit day
 
@@ -45,48 +47,79 @@ def unresolved_places(df: DataFrame, centroids: DataFrame, key: str = "state") -
     return df.select(key).distinct().join(centroids.select(key), key, "left_anti")
 
 
-def require_resolved(df: DataFrame, centroids: DataFrame, key: str = "state", show: int = 20
-                     ) -> DataFrame:
-    """The geocoded frame, or a ``ValueError`` naming places without a centroid."""
-    names = [r[0] for r in unresolved_places(df, centroids, key).orderBy(key).take(show)]
-    if names:
-        raise ValueError(f"no centroid for {key}: {', '.join(map(str, names))}")
+def require_resolved(df: DataFrame, centroids: DataFrame, key: str = "state") -> DataFrame:
+    """The geocoded frame, or a ``ValueError`` with the number of places without a centroid and the
+    table that lists them all."""
+    path = staged_path(unresolved_places(df, centroids, key), "unresolved")
+    count = df.sparkSession.read.parquet(path).count()
+    if count:
+        raise ValueError(f"no centroid for {count} values of {key}, listed in {path}")
     return geocode(df, centroids, key)
 
 
+def unmapped_products(df: DataFrame) -> DataFrame:
+    """Products that neither the explicit map nor their division's factory resolves, with their rows."""
+    return (df.where(F.col("current_factory").isNull()).groupBy("product_name", "division")
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
+def require_mapped(df: DataFrame) -> DataFrame:
+    """The resolved frame, or a ``ValueError`` with the number of products without a factory and the
+    table that lists them all."""
+    path = staged_path(unmapped_products(df), "unmapped")
+    count = df.sparkSession.read.parquet(path).count()
+    if count:
+        raise ValueError(f"no factory mapping for {count} products, listed in {path}")
+    return df
+
+
 def geocode_chain(df: DataFrame, postal: DataFrame, state: DataFrame) -> DataFrame:
-    """Add ``lat``, ``lon`` and ``geo_source``: postal-code centroid first, then state centroid."""
+    """Add ``lat``, ``lon`` and ``geo_source``: postal-code centroid first, then state centroid.
+
+    Places are many times fewer than rows: the distinct (postal code, state) pairs are resolved
+    first and stored, so that Spark knows their size when the rows meet them, in one join on the
+    pair rather than one on each of its hot halves.
+    """
     p = postal.select("postal_code", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     s = state.select("state", F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    return (df.join(p, "postal_code", "left").join(s, "state", "left")
-            .withColumns({
-                "lat": F.coalesce("_plat", "_slat"), "lon": F.coalesce("_plon", "_slon"),
-                "geo_source": F.when(F.col("_plat").isNotNull(), "postal")
-                .when(F.col("_slat").isNotNull(), "state").otherwise("unresolved")})
-            .drop("_plat", "_plon", "_slat", "_slon"))
+    places = (df.select("postal_code", "state").distinct()
+              .join(p, "postal_code", "left").join(s, "state", "left")
+              .select(F.col("postal_code").alias("_code"), F.col("state").alias("_state"),
+                      F.coalesce("_plat", "_slat").alias("lat"),
+                      F.coalesce("_plon", "_slon").alias("lon"),
+                      F.when(F.col("_plat").isNotNull(), "postal")
+                      .when(F.col("_slat").isNotNull(), "state").otherwise("unresolved")
+                      .alias("geo_source")))
+    found = staged(places, "places")
+    return df.join(found, F.col("postal_code").eqNullSafe(F.col("_code"))
+                   & F.col("state").eqNullSafe(F.col("_state")), "left").drop("_code", "_state")
 
 
 def share_by(df: DataFrame, key: str) -> DataFrame:
-    """Rows and percentage share per value of ``key``."""
+    """Rows and percentage share per value of ``key``; the total is taken over the few counts."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("n")).scalar()
+    total = F.sum("rows").over(Window.partitionBy())
     return counts.select(key, "rows", (F.col("rows") * 100.0 / total).alias("share_pct"))
 
 
 def with_distance(df: DataFrame, network: Network, factory: str = "current_factory",
                   name: str = "distance_km") -> DataFrame:
     """Add the great-circle distance from a factory column to the destination."""
-    site = F.col(factory)
-    return df.withColumn(name, haversine_km(network.lookup(site, "lat"), network.lookup(site, "lon"),
-                                            F.col("lat"), F.col("lon")))
+    sites = factories(df.sparkSession, network).select(
+        F.col("factory").alias("_site"), F.col("lat").alias("_flat"), F.col("lon").alias("_flon"))
+    km = haversine_km(F.col("_flat"), F.col("_flon"), F.col("lat"), F.col("lon"))
+    return (df.join(sites, F.col(factory) == F.col("_site"), "left").withColumn(name, km)
+            .drop("_site", "_flat", "_flon"))
 
 
 def each_factory(df: DataFrame, network: Network, name: str = "candidate_factory") -> DataFrame:
     """Every row next to every factory, with the distance between destination and factory.
 
-    The sites are a literal array, so this is an ``explode`` inside the row's own stage.
+    The site table is read once, as one array that is exploded inside the row's own stage.
     """
-    return (df.withColumn("_site", F.explode(network.array()))
+    sites = factories(df.sparkSession, network)
+    every = sites.agg(F.collect_list(F.struct(*sites.columns)).alias("s")).scalar()
+    return (df.withColumn("_sites", every).withColumn("_site", F.explode("_sites")).drop("_sites")
             .withColumns({
                 name: F.col("_site.factory"),
                 "candidate_setup_cost": F.col("_site.setup_cost"),
@@ -119,14 +152,15 @@ def with_rank(df: DataFrame, ranks: DataFrame, key: str, rank: str) -> DataFrame
     return df.join(ranks.select(key, rank), key, "left")
 
 
-def repaired_lead(df: DataFrame) -> DataFrame:
+def repaired_lead(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Add ``year_gap`` and ``repaired_lead_days``: lead minus the least lead of its year gap.
 
     The offset table has one row per year difference, at most the calendar's range of years, so
-    it is looked up as a map; the rows themselves are not shuffled.
+    it is looked up as a map; the rows themselves are not shuffled. ``dates`` may be a cheaper source
+    of the same dates and lead times.
     """
     gap = F.year("ship_date") - F.year("order_date")
-    least = (df.where(F.col("lead_time_days").isNotNull()).groupBy(gap.alias("g"))
+    least = ((df if dates is None else dates).where(F.col("lead_time_days").isNotNull()).groupBy(gap.alias("g"))
              .agg(F.min("lead_time_days").alias("m")))
     offsets = least.agg(F.map_from_entries(F.collect_list(F.struct("g", "m"))).alias("o")).scalar()
     return (df.withColumn("year_gap", gap)

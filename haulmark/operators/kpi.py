@@ -54,13 +54,15 @@ def compute_kpis(picks: DataFrame, catalogue: Column, confidence: Column, gated:
     return kpi_long(kpi_ratios(kpi_terms(picks, gated), catalogue, confidence))
 
 
-def bootstrap_kpis(picks: DataFrame, confidence: Column, replicates: int = BOOTSTRAP_ITERATIONS,
-                   gated: bool = False) -> DataFrame:
+def bootstrap_kpis(picks: DataFrame, catalogue: Column, confidence: Column,
+                   replicates: int = BOOTSTRAP_ITERATIONS, gated: bool = False) -> DataFrame:
     """``(kpi, point, lo, hi)``: 5th and 95th percentile over resamples of the products.
 
     Products are numbered by the hash of their name. Each product stands for one slot of every
     replicate, and the slot's draw names the product to take, so a resample is an equi join on the
-    product number and only sums per replicate are shuffled.
+    product number and only sums per replicate are shuffled. Coverage counts the distinct products of a
+    resample against the catalogue; a resample can only miss products, so the upper end of its
+    interval is the point itself.
     """
     terms = kpi_terms(picks, gated)
     numbered = with_hash_index(terms, F.col("product_name"), "slot")
@@ -70,27 +72,40 @@ def bootstrap_kpis(picks: DataFrame, confidence: Column, replicates: int = BOOTS
              .select("replicate", "n", F.floor(
                  uniform(F.col("replicate") * BOOTSTRAP_STREAM, F.col("slot")) * F.col("n"))
                  .cast("bigint").alias("slot")))
-    resampled = draws.join(numbered.drop("product_name"), "slot")
-    per_replicate = kpi_ratios(resampled, F.col("n"), confidence, ["replicate"])
+    taken = draws.groupBy("replicate", "slot").agg(F.count(F.lit(1)).alias("times"))
+    resampled = taken.join(numbered.drop("product_name"), "slot")
+    times = F.col("times")
+    per_replicate = resampled.groupBy("replicate").agg(
+        (F.sum(F.col("gain") * times) * 100 / F.nullif(F.sum(F.col("baseline") * times), F.lit(0.0)))
+        .alias("lead_time_reduction_pct"),
+        (F.sum(F.col("stable") * times) * 100.0 / F.sum(times)).alias("profit_stability_pct"),
+        F.max(confidence).alias("scenario_confidence"),
+        (F.sum("covered") * 100.0 / F.max(catalogue)).alias("coverage_pct"))
     ends = per_replicate.unpivot(["replicate"], list(KPIS), "kpi", "value").groupBy("kpi").agg(
         F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("ci"))
-    point = kpi_long(kpi_ratios(terms, size, confidence))
+    point = kpi_long(kpi_ratios(terms, catalogue, confidence))
+    hi = F.when(F.col("kpi") == "coverage_pct", F.col("point")).otherwise(F.col("ci")[1])
     return point.join(ends, "kpi").select("kpi", "point", F.col("ci")[0].alias("lo"),
-                                          F.col("ci")[1].alias("hi"))
+                                          hi.alias("hi"))
 
 
-def draw_scenarios(moves: DataFrame, a: Assumptions, draws: int = MONTE_CARLO_ITERATIONS
-                   ) -> DataFrame:
-    """Every candidate under every draw of freight speed and rate, as ``scenario_id``/``scenario``."""
+def drawn(draw: Column) -> tuple[Column, Column]:
+    """Freight speed and rate of a numbered draw, uniform over their ranges."""
     def between(limits: tuple[float, float], u: Column) -> Column:
         return u * (limits[1] - limits[0]) + limits[0]
 
+    return (between(SPEED_RANGE, uniform(draw, SPEED_STREAM)),
+            between(RATE_RANGE, uniform(draw, COST_STREAM)))
+
+
+def draw_scenarios(moves: DataFrame, a: Assumptions, draws: int = MONTE_CARLO_ITERATIONS
+                   ) -> DataFrame:
+    """Every candidate under every draw of freight speed and rate, as ``scenario_id``/``scenario``."""
     numbered = moves.withColumn("scenario_id",
                                 F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     fields = a.columns()
-    fields["freight_speed_km_day"] = between(SPEED_RANGE, uniform(F.col("scenario_id"), SPEED_STREAM))
-    fields["freight_cost_per_unit_per_1000km"] = between(
-        RATE_RANGE, uniform(F.col("scenario_id"), COST_STREAM))
+    (fields["freight_speed_km_day"],
+     fields["freight_cost_per_unit_per_1000km"]) = drawn(F.col("scenario_id"))
     return numbered.withColumn("scenario", F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
@@ -104,9 +119,11 @@ def scenario_picks(moves: DataFrame, a: Assumptions, draws: int = MONTE_CARLO_IT
 
 def sensitivity(picks: DataFrame, catalogue: Column, confidence: Column, gated: bool = False
                 ) -> DataFrame:
-    """Key figures per draw."""
+    """Key figures per draw, with the freight speed and rate drawn."""
+    speed, rate = drawn(F.col("iteration"))
     return (kpi_ratios(kpi_terms(picks, gated), catalogue, confidence, ["scenario_id"])
-            .withColumnRenamed("scenario_id", "iteration"))
+            .withColumnRenamed("scenario_id", "iteration")
+            .withColumns({"speed_km_day": speed, "freight_rate": rate}))
 
 
 def choice_stability(picks: DataFrame, default: DataFrame) -> DataFrame:

@@ -3,50 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.functions.quantiles import histogram_quantiles
+from haulmark.functions.quantiles import exact_quantiles
 from haulmark.params import LANE_MIN_ORDERS
+from haulmark.session import staged
 
 LANE_KEYS = ("current_factory", "region", "ship_mode")
 PAIR_KEYS = ("region", "product_name")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys: groups with a null key match each other."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def first_of_order(keys: Sequence[str]) -> Column:
+    """1 for one line of every order in a group, else 0: its sum counts the group's distinct orders.
 
-
-def order_counts(order_lines: DataFrame, keys: Sequence[str], name: str = "order_count"
-                 ) -> DataFrame:
-    """Distinct orders per group.
-
-    Duplicates collapse on (group, order) first, so one hot group is spread over all tasks by its
-    order numbers and only counts meet at the group.
+    The window is cut by order, so a hot group is spread over all tasks, and lines that were joined
+    to their orders are already dealt that way.
     """
-    pairs = order_lines.where(F.col("order_id").isNotNull()).select(*keys, "order_id").distinct()
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    one = Window.partitionBy("order_id", *keys).orderBy(F.lit(1))
+    return (F.col("order_id").isNotNull() & (F.row_number().over(one) == 1)).cast("int")
 
 
-def group_profile(order_lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _measured(order_lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Order count and lead, distance, unit and profit measures per group; null keys are kept.
 
-    Lines are first reduced to one row per (group, lead day), which combines on the map side
-    whatever the skew. Means, sample deviation and the interpolated 90th percentile are then
-    taken over at most one row per distinct day.
+    The lines are read once. They are first reduced to one row per (group, lead day), which
+    combines on the map side whatever the skew. Means, sample deviation, the interpolated 90th
+    percentile and the number of orders are then taken over at most one row per distinct day.
     """
     measures = {"distance": "distance_km", "units": "units", "profit": "gross_profit"}
-    days = order_lines.groupBy(*keys, "lead_time_days").agg(
-        F.count(F.lit(1)).alias("n"),
+    flagged = order_lines.select(*keys, "lead_time_days", *measures.values(),
+                                 first_of_order(keys).alias("_first"))
+    days = flagged.groupBy(*keys, "lead_time_days").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_first").alias("orders"),
         *[F.sum(c).alias(f"{m}_sum") for m, c in measures.items()],
         *[F.count(c).alias(f"{m}_n") for m, c in measures.items()])
     lead = F.col("lead_time_days").cast("double")
     n = F.when(lead.isNotNull(), F.col("n"))
     profile = days.groupBy(*keys).agg(
-        F.sum(n).alias("lead_n"), F.sum(lead * n).alias("lead_sum"),
+        F.sum("orders").alias("order_count"), F.sum(n).alias("lead_n"), F.sum(lead * n).alias("lead_sum"),
         F.sum(lead * lead * n).alias("lead_sq"),
         F.percentile(lead, F.lit(0.9), F.coalesce(n, F.lit(0))).alias("p90_lead"),
         *[(F.sum(f"{m}_sum") / F.nullif(F.sum(f"{m}_n"), F.lit(0))).alias(f"mean_{m}")
@@ -54,15 +50,15 @@ def group_profile(order_lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     mean = F.col("lead_sum") / F.nullif(F.col("lead_n"), F.lit(0))
     spread = F.greatest(F.col("lead_sq") - F.col("lead_sum") * mean, F.lit(0.0))
     std = F.when(F.col("lead_n") > 1, F.sqrt(spread / (F.col("lead_n") - 1)))
-    profile = profile.select(
-        *keys, mean.alias("mean_lead"), "p90_lead",
-        F.coalesce(std, F.lit(0.0)).alias("lead_std"), "mean_distance", "mean_units", "mean_profit")
-    orders = order_counts(order_lines, keys)
-    joined = profile.join(orders, same_keys(profile, orders, keys), "left")
-    return joined.select(*[profile[k] for k in keys],
-                         F.coalesce(orders["order_count"], F.lit(0)).alias("order_count"),
-                         "mean_lead", "p90_lead", "lead_std", "mean_distance", "mean_units",
-                         "mean_profit")
+    return profile.select(
+        *keys, "order_count", mean.alias("mean_lead"), "p90_lead",
+        F.coalesce(std, F.lit(0.0)).alias("lead_std"), "mean_distance", "mean_units", "mean_profit",
+        "lead_n", "lead_sum")
+
+
+def group_profile(order_lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Order count and mean measures per group."""
+    return _measured(order_lines, keys).drop("lead_n", "lead_sum")
 
 
 def lane_profile(order_lines: DataFrame) -> DataFrame:
@@ -95,18 +91,22 @@ def top_exposure(lanes: DataFrame, k: int = 5) -> DataFrame:
     return by_exposure(lanes.where("slow_route")).limit(k)
 
 
+PAIR_MEASURES = ("order_count", "mean_lead", "p90_lead", "mean_units", "mean_profit")
+
+
 def region_product_profile(order_lines: DataFrame) -> DataFrame:
-    return (group_profile(order_lines, PAIR_KEYS)
-            .select(*PAIR_KEYS, "order_count", "mean_lead", "p90_lead", "mean_units",
-                    "mean_profit"))
+    return _measured(order_lines, PAIR_KEYS).select(*PAIR_KEYS, *PAIR_MEASURES)
 
 
-def congested_pairs(order_lines: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Flag pairs above the 75th percentile of volume and above the row-level mean lead."""
-    pairs = region_product_profile(order_lines) if pairs is None else pairs
-    volume = histogram_quantiles(pairs, [], "order_count", [0.75], "q").select(
-        F.col("q")[0]).scalar()
-    overall = order_lines.agg(F.avg("lead_time_days").alias("a")).scalar()
+def congested_pairs(order_lines: DataFrame) -> DataFrame:
+    """Flag pairs above the 75th percentile of volume and above the row-level mean lead.
+
+    The profile is stored, so that the threshold, the overall mean and the flags share one scan.
+    """
+    profile = staged(_measured(order_lines, PAIR_KEYS), "pairs")
+    pairs = profile.select(*PAIR_KEYS, *PAIR_MEASURES)
+    volume = exact_quantiles(pairs, ["order_count"], [0.75]).select("quantile").scalar()
+    overall = profile.agg(F.sum("lead_sum") / F.nullif(F.sum("lead_n"), F.lit(0))).scalar()
     limits = pairs.withColumns({"volume_threshold": volume, "overall_mean_lead": overall})
     return limits.withColumn("congested", F.coalesce(
         (F.col("order_count") > F.col("volume_threshold"))

@@ -1,8 +1,9 @@
 """Regression models of lead and transit time, fitted, compared and explained with Spark ML.
 
 When all features are categories plus a distance between known places, the lines collapse into
-weighted cells (mean target, number of lines). Squared-error fits on the cells equal fits on the
-lines, so training cost follows the number of cells, not the number of lines.
+weighted cells (mean target, number of lines), so training cost follows the number of cells, not the
+number of lines. Least squares on the cells equals least squares on the lines. Trees weigh their splits
+by the lines, too, but a forest bags cells, and medians and modes that fill missing values count cells.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.portable import with_hash_index
@@ -48,16 +49,21 @@ LEAD_FEATURES = Features(LEAD_NUMERIC, LEAD_CATEGORICAL)
 
 
 def estimators(trees: int = 100, rounds: int = 100, label: str = "label",
-               weight: str | None = None, ridge: bool = False) -> dict[str, object]:
-    """The compared regressors, by name."""
+               weight: str | None = None, ridge: bool = False, depth: int = 30
+               ) -> dict[str, object]:
+    """The compared regressors, by name.
+
+    ``depth`` limits the forest's trees; the default is the deepest that Spark grows. A leaf holds at
+    least three rows, or one weighted cell.
+    """
     common = {"featuresCol": "features", "labelCol": label}
     if weight:
         common["weightCol"] = weight
     models = {
         "Linear Regression": LinearRegression(**common),
         "Random Forest": RandomForestRegressor(
-            numTrees=trees, featureSubsetStrategy="all", minInstancesPerNode=3, maxDepth=8,
-            seed=SEED, **common),
+            numTrees=trees, featureSubsetStrategy="all", minInstancesPerNode=1 if weight else 3,
+            maxDepth=depth, seed=SEED, **common),
         "Gradient Boosting": GBTRegressor(maxIter=rounds, stepSize=0.1, maxDepth=3, seed=SEED,
                                           **common),
     }
@@ -168,15 +174,18 @@ def holdout_report(train: DataFrame, test: DataFrame, features: Features,
 
 
 def cross_validate(rows: DataFrame, features: Features, models: Mapping[str, object],
-                   folds: int = FOLDS, label: str = "label", cells: bool = False) -> DataFrame:
+                   folds: int = FOLDS, label: str = "label", cells: bool = False,
+                   lines: DataFrame | None = None) -> DataFrame:
     """``(model, fold, r2, rmse[, mae])``: each fold scored by a fit on the others.
 
-    ``rows`` carries a ``fold`` column. With ``cells``, rows are weighted cells.
+    ``rows`` carries a ``fold`` column. With ``cells``, rows are weighted cells and give R2 and RMSE
+    only; with ``lines``, fits use ``rows`` and the folds of the lines are scored.
     """
     def one(name: str, k: int) -> DataFrame:
         model = fit(rows.where(F.col("fold") != k), features, models[name])
-        scored = model.transform(rows.where(F.col("fold") == k))
-        out = cell_metrics(scored) if cells else metrics(scored, label=label)
+        scored = model.transform((rows if lines is None else lines).where(F.col("fold") == k))
+        out = (cell_metrics(scored) if cells and lines is None
+               else metrics(scored, label=label))
         return out.withColumns({"model": F.lit(name), "fold": F.lit(k)})
 
     return union(in_parallel([lambda n=n, k=k: one(n, k) for n in models for k in range(folds)]))
@@ -189,6 +198,25 @@ def cv_summary(per_fold: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame
         F.avg(m).alias(f"cv_{m}_mean"), F.stddev_samp(m).alias(f"cv_{m}_std"))])
 
 
+def mode_means(train: DataFrame, test: DataFrame, label: str, by: Sequence[str] = ("ship_mode",)
+               ) -> DataFrame:
+    """``test`` with the mean label of its group in ``train`` as prediction: the simplest model."""
+    means = train.groupBy(*by).agg(F.avg(label).alias("prediction"))
+    return test.join(means, list(by))
+
+
+def cross_validated_means(rows: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the mean label of their group over the other folds as prediction.
+
+    Sums per (group, fold) give every fold's prediction by subtraction, in one scan.
+    """
+    sums = rows.groupBy(*by, "fold").agg(F.sum(label).alias("s"), F.count(label).alias("n"))
+    group = Window.partitionBy(*by)
+    others = ((F.sum("s").over(group) - F.col("s"))
+              / F.nullif(F.sum("n").over(group) - F.col("n"), F.lit(0)))
+    return rows.join(sums.select(*by, "fold", others.alias("prediction")), [*by, "fold"])
+
+
 def select_best(report: DataFrame, tolerance: float = SELECTION_TOLERANCE,
                 score: str = "cv_r2_mean") -> DataFrame:
     """The simplest model within ``tolerance`` of the best score."""

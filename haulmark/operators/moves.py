@@ -14,26 +14,32 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.portable import is_holdout
 from haulmark.operators.derive import each_factory, with_distance
-from haulmark.operators.lanes import order_counts
+from haulmark.operators.lanes import first_of_order
 from haulmark.params import Network
+from haulmark.sources.dims import factories
 
 CELL_KEYS = ("product_name", "division", "current_factory", "region", "state", "lat", "lon",
              "ship_mode", "is_holdout")
 
 
 def order_cells(order_lines: DataFrame) -> DataFrame:
-    """Sums per product, destination, ship mode and hold-out side.
+    """Sums per product, destination, ship mode and hold-out side, in one scan of the lines.
 
-    ``weight`` counts a line's units, at least 1. The hold-out side is a hash of the line's keys.
+    ``weight`` counts a line's units, at least 1. ``orders`` counts an order in the cell of one of
+    its product's lines, so that the sum over a product's cells is its number of distinct orders. The
+    hold-out side is the lines' own ``is_holdout``, or a hash of their numeric keys.
     """
     weight = F.greatest(F.col("units"), F.lit(1.0))
     lead = F.col("lead_time_days").cast("double")
-    marked = order_lines.withColumn("is_holdout", is_holdout(F.col("order_id"), F.col("line_key")))
+    side = (F.col("is_holdout") if "is_holdout" in order_lines.columns
+            else is_holdout(F.col("order_id"), F.col("line_key")))
+    marked = order_lines.withColumns({"is_holdout": side,
+                                      "_first": first_of_order(["product_name"])})
     return marked.groupBy(*CELL_KEYS).agg(
         F.count(F.lit(1)).alias("lines"), F.count("lead_time_days").alias("lead_n"),
         F.sum(lead).alias("lead_sum"), F.sum(lead * lead).alias("lead_sq"),
         F.sum(weight).alias("weight"), F.sum("units").alias("units"),
-        F.sum("gross_profit").alias("gross_profit"))
+        F.sum("gross_profit").alias("gross_profit"), F.sum("_first").alias("orders"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -46,7 +52,7 @@ def sample_std(n: Column, total: Column, squares: Column) -> Column:
     return F.when(n > 1, F.sqrt(spread / (n - 1)))
 
 
-def candidate_moves(cells: DataFrame, product_orders: DataFrame, network: Network) -> DataFrame:
+def candidate_moves(cells: DataFrame, network: Network) -> DataFrame:
     """One row per (product, other factory) with everything that is measured, nothing assumed."""
     products = with_distance(cells, network, name="current_distance_km")
     every = each_factory(products, network)
@@ -61,20 +67,22 @@ def candidate_moves(cells: DataFrame, product_orders: DataFrame, network: Networ
                   .alias("candidate_distance_km"),
                   F.sum("lead_n").alias("lead_n"), F.sum("lead_sum").alias("lead_sum"),
                   F.sum("lead_sq").alias("lead_sq")))
-    setup = F.col("candidate_setup_cost") - network.lookup(F.col("current_factory"), "setup_cost")
-    moves = moves.withColumns({
+    own = factories(cells.sparkSession, network).select(
+        F.col("factory").alias("current_factory"), F.col("setup_cost").alias("_own_setup"))
+    setup = F.col("candidate_setup_cost") - F.col("_own_setup")
+    moves = moves.join(own, "current_factory", "left").withColumns({
         "delta_distance_km": F.col("candidate_distance_km") - F.col("current_distance_km"),
         "setup_net": setup,
         "baseline_lead_days": F.col("lead_sum") / F.nullif(F.col("lead_n"), F.lit(0)),
         "lead_std": F.coalesce(sample_std(F.col("lead_n"), F.col("lead_sum"), F.col("lead_sq")),
-                               F.lit(0.0))}).drop("lead_n", "lead_sum", "lead_sq")
+                               F.lit(0.0))}).drop("lead_n", "lead_sum", "lead_sq", "_own_setup")
     return (with_capability_gap(moves, cells)
-            .join(product_orders.withColumnRenamed("order_count", "orders"), "product_name"))
+            .join(product_orders(cells), "product_name"))
 
 
-def product_orders(order_lines: DataFrame) -> DataFrame:
+def product_orders(cells: DataFrame) -> DataFrame:
     """Distinct orders per product."""
-    return order_counts(order_lines, ["product_name"])
+    return cells.groupBy("product_name").agg(F.sum("orders").alias("orders"))
 
 
 def with_capability_gap(moves: DataFrame, cells: DataFrame) -> DataFrame:

@@ -23,10 +23,6 @@ def set_difference(left: DataFrame, right: DataFrame, key: str = "product_name")
     return left.select(key).subtract(right.select(key))
 
 
-def all_keys(left: DataFrame, right: DataFrame, key: str = "product_name") -> DataFrame:
-    return left.select(key).union(right.select(key)).distinct()
-
-
 def reconcile(computed: DataFrame, stored: DataFrame, keys: Sequence[str], labels: Sequence[str],
               measures: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
     """Per key, whether labels are equal and measures agree within the tolerance.

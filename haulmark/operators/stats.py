@@ -65,7 +65,7 @@ def residual_bins(order_lines: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Counts over equal-width bins between the least and the greatest value."""
+    """Counts over equal-width bins between the least and the greatest value, empty bins included."""
     span = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
     value = df.where(F.col(column).isNotNull()).select(
         F.col(column).cast("double").alias("v"), span["lo"].cast("double").alias("lo"),
@@ -73,9 +73,14 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     bucket = F.least(F.lit(bins - 1), F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width))
                      .otherwise(0)).cast("int")
-    return (value.groupBy(bucket.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-            .select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins)
-                    .alias("from_value"), "n"))
+    counts = value.groupBy(bucket.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    # At most one row per bin is left: their map fills the gaps.
+    filled = counts.groupBy("lo", "hi").agg(F.map_from_entries(F.collect_list(
+        F.struct("bin", "n"))).alias("m")).select("lo", "hi", "m", F.explode(
+            F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return filled.select(
+        "bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("from_value"),
+        F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).cast("bigint").alias("n"))
 
 
 def box_quartiles(df: DataFrame, key: str, value: str = "lead_time_days") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.operators.ranking import flag_top_pick, gate_counts, score_moves, top_picks
+from haulmark.operators.ranking import flag_top_pick, score_moves, top_picks
 from haulmark.params import Assumptions, scenario_columns
 
 # Swept assumptions, their settings and category, in sweep order.
@@ -41,35 +41,30 @@ def sweep_picks(moves: DataFrame, a: Assumptions,
     return top_picks(scored, ["trial", "assumption", "value", "category", "product_name"])
 
 
-def names_where(condition: Column, name: str = "product_name") -> Column:
-    """Sorted names meeting a condition, joined with ``'; '``: at most one per product."""
-    return F.array_join(F.array_sort(F.collect_set(F.when(condition, F.col(name)))), "; ")
+TRIAL = ("trial", "assumption", "value", "category")
 
 
-def details_where(condition: Column) -> Column:
-    """Records of the picks meeting a condition, as JSON text in product order."""
-    record = F.struct("product_name", "candidate_factory", "orders",
-                      F.round("lead_gain_days", 6).alias("lead_gain_days"),
-                      F.round("profit_impact", 4).alias("profit_impact"))
-    return F.to_json(F.array_sort(F.collect_list(F.when(condition, record))))
+def actionable_rows(picks: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
+    """The actionable picks, a row per trial and product, in the order of their keys."""
+    return (picks.where(F.col("gate_result") == "actionable")
+            .select(*by, "product_name", "candidate_factory", "orders", "lead_gain_days",
+                    "profit_impact").orderBy(*by[:1], "product_name"))
 
 
 def trial_summary(picks: DataFrame, target: int) -> DataFrame:
-    """Actionable products per trial and whether their number equals the target."""
+    """Number of actionable products per trial and whether it equals the target."""
     go = F.col("gate_result") == "actionable"
-    return (picks.groupBy("trial", "assumption", "value", "category")
-            .agg(F.count_if(go).alias("actionable_count"),
-                 names_where(go).alias("actionable_products"),
-                 details_where(go).alias("actionable_details"))
+    return (picks.groupBy(*TRIAL).agg(F.count_if(go).alias("actionable_count"))
             .withColumn("matches_target", F.col("actionable_count") == target))
 
 
-def weight_sweep(moves: DataFrame, a: Assumptions, target: int, weights: Sequence[float] = WEIGHTS
-                 ) -> DataFrame:
-    """Actionable products, flips, entries and exits per speed weight, against the default weight.
+def weight_changes(moves: DataFrame, a: Assumptions, weights: Sequence[float] = WEIGHTS
+                   ) -> DataFrame:
+    """(speed_weight, product, pick, change) for every way a product differs from the default weight:
+    actionable now, flipped to another factory, entering or leaving the actionable set.
 
     The default is one more scenario of the same job; each product's picks under all weights meet
-    their default pick on the product.
+    their default pick on the product. A product without a change has a row with a null change.
     """
     picks = sweep_picks(moves, a, [("speed_weight", [a.speed_weight, *weights], "weight")])
     default = picks.where("trial = 0").select(
@@ -78,15 +73,25 @@ def weight_sweep(moves: DataFrame, a: Assumptions, target: int, weights: Sequenc
     swept = picks.where("trial > 0").select(
         F.col("value").alias("speed_weight"), "product_name", "candidate_factory",
         (F.col("gate_result") == "actionable").alias("now"))
-    both = swept.join(default, "product_name", "full").where(F.col("speed_weight").isNotNull())
+    both = swept.join(default, "product_name", "left")
     flip = ~F.col("candidate_factory").eqNullSafe(F.col("default_factory"))
     was = F.coalesce("was", F.lit(False))
-    return (both.groupBy("speed_weight")
-            .agg(F.count_if("now").alias("actionable_count"),
-                 names_where(F.col("now")).alias("actionable_products"),
-                 names_where(flip).alias("flipped_products"), F.count_if(flip).alias("flip_count"),
-                 names_where(F.col("now") & ~was).alias("entering_products"),
-                 names_where(~F.col("now") & was).alias("leaving_products"))
+    changes = F.array_compact(F.array(
+        F.when(F.col("now"), "actionable"), F.when(flip, "flipped"),
+        F.when(F.col("now") & ~was, "entering"), F.when(~F.col("now") & was, "leaving")))
+    return both.select("speed_weight", "product_name", "candidate_factory",
+                       F.explode_outer(changes).alias("change"))
+
+
+def weight_sweep(moves: DataFrame, a: Assumptions, target: int, weights: Sequence[float] = WEIGHTS
+                 ) -> DataFrame:
+    """Numbers of actionable, flipped, entering and leaving products per speed weight."""
+    def count(change: str) -> Column:
+        return F.count_if(F.col("change") == change)
+
+    return (weight_changes(moves, a, weights).groupBy("speed_weight")
+            .agg(count("actionable").alias("actionable_count"), count("flipped").alias("flip_count"),
+                 count("entering").alias("entering_count"), count("leaving").alias("leaving_count"))
             .withColumn("matches_target", F.col("actionable_count") == target))
 
 
@@ -100,25 +105,23 @@ def speed_sweep(moves: DataFrame, a: Assumptions, target: int, speeds: Sequence[
 def assumption_sweep(moves: DataFrame, a: Assumptions, target: int, sweeps=SWEEPS) -> DataFrame:
     """One assumption at a time over its grid; ``first_hit`` marks the first trial at the target.
 
-    The whole grid is evaluated; the order of trials replaces stopping early.
+    The whole grid is evaluated; the order of trials replaces stopping early. The first hit is a
+    window over the few trials.
     """
     trials = trial_summary(sweep_picks(moves, a, sweeps), target)
-    first = trials.agg(F.min(F.when(F.col("matches_target"), F.col("trial"))).alias("t")).scalar()
+    first = F.min(F.when(F.col("matches_target"), F.col("trial"))).over(Window.partitionBy())
     return trials.withColumn("first_hit", F.coalesce(F.col("trial") == first, F.lit(False)))
 
 
-def gates_summary(scored: DataFrame) -> DataFrame:
-    """Gate counts of the top picks, the actionable names and the map product -> top factory."""
-    picks = top_picks(scored)
-    go = F.col("gate_result") == "actionable"
-    counts = gate_counts(picks)
-    lists = picks.agg(names_where(go).alias("actionable_products"),
-                      details_where(go).alias("actionable_details"),
-                      F.map_from_entries(F.array_sort(F.collect_list(
-                          F.struct("product_name", "candidate_factory")))).alias("top_factories"))
-    return counts.withColumns({
-        n: lists.select(n).scalar()
-        for n in ("actionable_products", "actionable_details", "top_factories")})
+def names_by_factory(picks: DataFrame) -> DataFrame:
+    """Per recommended factory and gate, the number of picks and their names in order, joined by '; '.
+
+    A factory's list is as long as the products picked for it under one gate; as rows they are
+    :func:`actionable_rows`.
+    """
+    return picks.groupBy("candidate_factory", "gate_result").agg(
+        F.count(F.lit(1)).alias("products"),
+        F.array_join(F.array_sort(F.collect_list("product_name")), "; ").alias("product_names"))
 
 
 def compare_bases(first: DataFrame, second: DataFrame, names: tuple[str, str]) -> DataFrame:

@@ -113,19 +113,13 @@ DEFAULT_SITES = (
 
 @dataclass(frozen=True)
 class Network:
-    """The production sites a product may be made at.
-
-    The site list is inlined in plans as a literal array, so its size is bounded by ``MAX_SITES``
-    and checked when the network is built.
-    """
+    """The production sites a product may be made at; plans read them as ``dims.factories``."""
 
     sites: Sequence[Site] = field(default=DEFAULT_SITES)
 
-    MAX_SITES = 1000
-
     def __post_init__(self) -> None:
-        if not 0 < len(self.sites) <= self.MAX_SITES:
-            raise ValueError(f"a network needs 1..{self.MAX_SITES} sites, got {len(self.sites)}")
+        if not self.sites:
+            raise ValueError("a network needs a site")
         names = [s.name for s in self.sites]
         if len(set(names)) != len(names):
             raise ValueError("site names must be unique")
@@ -133,15 +127,3 @@ class Network:
     @classmethod
     def of(cls, rows: Iterable[tuple[str, float, float, float]]) -> "Network":
         return cls(tuple(Site(*r) for r in rows))
-
-    def array(self) -> Column:
-        """All sites as one literal array of structs, for ``explode``."""
-        return F.array(*[
-            F.struct(F.lit(s.name).alias("factory"), F.lit(s.lat).alias("lat"),
-                     F.lit(s.lon).alias("lon"), F.lit(s.setup_cost).alias("setup_cost"))
-            for s in self.sites])
-
-    def lookup(self, name: Column, attribute: str) -> Column:
-        """A site attribute by site name, null for an unknown site."""
-        pairs = [p for s in self.sites for p in (F.lit(s.name), F.lit(getattr(s, attribute)))]
-        return F.try_element_at(F.create_map(*pairs), name)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.functions.portable import fold, is_holdout
+from haulmark.functions.portable import fold, is_holdout, text_number
 from haulmark.operators import (audit, clean, clusters, derive, kpi, lanes, models, moves, ranking,
                                 risk)
 from haulmark.params import LANE_MIN_ORDERS, MONTE_CARLO_ITERATIONS, Assumptions, Network
@@ -35,6 +35,10 @@ class Dimensions:
                    dims.state_centroids(spark))
 
 
+LINE_CONTENT = ("order_id", "customer_id", "product_id", "product_name", "order_date", "ship_date",
+                "ship_mode", "state", "sales", "units", "gross_profit", "cost")
+
+
 def prepare(clean_rows: DataFrame, d: Dimensions, network: Network) -> DataFrame:
     """Cleaned rows with factory, ranks, destination, distance, folds and proxy transit days."""
     division_factory = derive.modal_factory(d.product_factory, d.product_division)
@@ -43,8 +47,9 @@ def prepare(clean_rows: DataFrame, d: Dimensions, network: Network) -> DataFrame
                      "left")
     rows = derive.with_rank(rows, d.regions, "region", "region_rank")
     rows = derive.with_distance(derive.geocode(rows, d.places), network)
-    # The row id is the line's own number; it keys the seeded draws.
-    key = F.col("row_id")
+    # Ids are opaque text and row ids may be missing: a line's content, which cleaning has made
+    # unique, keys the seeded draws.
+    key = text_number(F.concat_ws("|", *[F.col(c).cast("string") for c in LINE_CONTENT]))
     return rows.withColumns({
         "line_key": key, "is_holdout": is_holdout(key), "fold": fold(key * 5, 1),
         "transit_days": derive.transit_days(F.col("distance_km"), F.col("multiplier"), key)})
@@ -79,7 +84,8 @@ def run(raw: DataFrame, d: Dimensions, network: Network, out: str, a: Assumption
     paths = {"audit": results.write_table(summary, f"{out}/audit", fmt)}
 
     cleaned = clean.clean_orders(raw)
-    stored = results.write_table(prepare(cleaned, d, network), f"{out}/cleaned_orders")
+    prepared = derive.require_mapped(prepare(cleaned, d, network))
+    stored = results.write_table(prepared, f"{out}/cleaned_orders")
     cleaned = results.read_table(spark, stored)
     bounds = audit.fence_bounds(cleaned, clean.FINANCE)
     paths["prepared_orders"] = results.write_table(audit.apply_fence(cleaned, bounds),
@@ -90,8 +96,11 @@ def run(raw: DataFrame, d: Dimensions, network: Network, out: str, a: Assumption
     paths["model_metrics"] = f"{out}/model_metrics"
     held = models.numbers_as_double(lines.where("is_holdout"), models.LEAD_FEATURES).withColumn(
         "label", F.col("lead_time_days").cast("double"))
-    residuals = models.residual_std(best.transform(held))
-    importance = models.permutation_importance(best, held, models.LEAD_FEATURES, F.col("row_id"))
+    tested = best.transform(held)
+    residuals = models.residual_std(tested)
+    # A product without held-out rows gets the deviation of all of them.
+    spread = F.lit(tested.agg(F.stddev_samp(F.col("label") - F.col("prediction"))).first()[0])
+    importance = models.permutation_importance(best, held, models.LEAD_FEATURES, F.col("line_key"))
 
     profile = clusters.cluster_lanes(lanes.lane_profile(lines), lane_min_orders)
     routes = lanes.slow_routes(clusters.label_clusters(profile, lane_min_orders), lane_min_orders)
@@ -101,8 +110,7 @@ def run(raw: DataFrame, d: Dimensions, network: Network, out: str, a: Assumption
     paths["per_product_residual_std"] = results.write_table(residuals,
                                                             f"{out}/per_product_residual_std")
     residuals = results.read_table(spark, paths["per_product_residual_std"])
-    spread = residuals.agg(F.max("residual_std").alias("s")).scalar()
-    found = moves.candidate_moves(cells, moves.product_orders(lines), network)
+    found = moves.candidate_moves(cells, network)
     paths["moves"] = results.write_table(risk.with_residuals(found, residuals, spread),
                                          f"{out}/moves")
     base = risk.risk_inputs(results.read_table(spark, paths["moves"]), a, draws)
@@ -118,5 +126,5 @@ def run(raw: DataFrame, d: Dimensions, network: Network, out: str, a: Assumption
         "sensitivity": kpi.sensitivity(kpi.scenario_picks(base, a, draws), catalogue, chosen),
         "kpi_points": kpi.compute_kpis(picks, catalogue, chosen)}
     paths |= results.write_tables(tables, out, fmt)
-    paths["kpis"] = results.write_kpis(kpi.bootstrap_kpis(picks, chosen), f"{out}/kpis")
+    paths["kpis"] = results.write_kpis(kpi.bootstrap_kpis(picks, catalogue, chosen), f"{out}/kpis")
     return paths

@@ -1,14 +1,19 @@
-"""Registered queries that fit models. They have no SQL equivalent; tests check invariants."""
+"""Registered queries that fit models or group lanes.
+
+Fitted forests, boosted trees and k-means have no SQL equivalent; tests check their invariants. Every
+operator around them (splits, metrics, cross-validation, selection, residuals, standardisation,
+assignment, labels, silhouette) is also registered over a predictor or centres that SQL can follow.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.portable import fold, is_holdout
 from haulmark.functions.text import calendar_features
 from haulmark.operators import clusters, derive, lanes, models, moves
-from haulmark.plans.queries import BASE, NETWORK, PROFILE_COLUMNS, cells, lines, prepared, query, tidy
+from haulmark.plans.queries import BASE, NETWORK, cells, lines, query, tidy
 from haulmark.session import staged
 from haulmark.sources import warehouse as W
 
@@ -56,15 +61,15 @@ def _lead_rows(spark: SparkSession, d: str) -> DataFrame:
 def model_metrics(spark, d):
     """The full feature set, line by line."""
     train, test = _split(_lead_rows(spark, d))
-    return tidy(models.holdout_report(train, test, models.LEAD_FEATURES,
-                                      models.estimators(trees=20, rounds=20))[0])
+    return tidy(models.holdout_report(train, test, models.LEAD_FEATURES, models.estimators())[0])
 
 
 def _cv(spark: SparkSession, d: str) -> DataFrame:
-    grid = staged(models.training_cells(_training_lines(spark, d), "lead_time_days",
-                                        extra=["fold"]), "grid")
-    return models.cross_validate(grid, models.PROXY_FEATURES,
-                                 models.estimators(trees=20, rounds=20, weight="n"), cells=True)
+    """Fits on cells, scored on the lines of the fold left out."""
+    lines = _training_lines(spark, d).withColumn("label", F.col("lead_time_days").cast("double"))
+    grid = staged(models.training_cells(lines, "lead_time_days", extra=["fold"]), "grid")
+    return models.cross_validate(grid, models.PROXY_FEATURES, models.estimators(weight="n"),
+                                 lines=lines)
 
 
 @query
@@ -80,19 +85,25 @@ def model_selection(spark, d):
     return tidy(models.select_best(report))
 
 
+def _selected(spark: SparkSession, d: str):
+    """The selected model on the full feature set and the held-out rows: the simplest model whose
+    hold-out R2 is within the tolerance of the best."""
+    train, test = _split(_lead_rows(spark, d))
+    report, fitted = models.holdout_report(train, test, models.LEAD_FEATURES, models.estimators())
+    return fitted[models.select_best(report, score="r2").first()["model"]], test
+
+
 @query
 def residual_std(spark, d):
-    train, test = _split(_lead_rows(spark, d))
-    linear = models.fit(train, models.LEAD_FEATURES, models.estimators()["Linear Regression"])
-    return tidy(models.residual_std(linear.transform(test)))
+    best, test = _selected(spark, d)
+    return tidy(models.residual_std(best.transform(test)))
 
 
 @query
 def permutation_importance(spark, d):
-    train, test = _split(_lead_rows(spark, d))
-    linear = models.fit(train, models.LEAD_FEATURES, models.estimators()["Linear Regression"])
+    best, test = _selected(spark, d)
     key = F.concat_ws("-", "order_id", "line_key")
-    return tidy(models.permutation_importance(linear, test, models.LEAD_FEATURES, key), 9)
+    return tidy(models.permutation_importance(best, test, models.LEAD_FEATURES, key), 9)
 
 
 @query
@@ -101,7 +112,7 @@ def temporal_holdout(spark, d):
     early = staged(models.training_cells(rows.where(~F.col("is_late")), "lead_time_days"), "early")
     late = rows.where("is_late").withColumn("label", F.col("lead_time_days").cast("double"))
     return tidy(models.holdout_report(early, late, models.PROXY_FEATURES, models.estimators(
-        trees=20, rounds=20, weight="n", ridge=True))[0])
+        weight="n", ridge=True))[0])
 
 
 # Nested feature sets: (name, numeric, categorical).
@@ -119,9 +130,10 @@ ABLATION = (
 def feature_ablation(spark, d):
     """Cross-validated R2 of growing feature sets, on state and on region distances."""
     rows = _training_lines(spark, d).withColumns(calendar_features(F.col("order_date")))
-    by_region = rows.groupBy("region", "current_factory").agg(
-        F.avg("distance_km").alias("region_km"))
-    rows = staged(rows.join(by_region, ["region", "current_factory"]), "ablation")
+    # A bounded table, stored so that Spark knows its size before it plans the join of the lines.
+    by_region = staged(rows.groupBy("region", "current_factory").agg(
+        F.avg("distance_km").alias("region_km")), "region-km")
+    rows = rows.join(by_region, ["region", "current_factory"])
     out = []
     for basis, column in (("state", "distance_km"), ("region", "region_km")):
         for name, numeric, categorical in ABLATION:
@@ -175,8 +187,8 @@ def model_reallocation(spark, d):
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    profile = staged(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), "lanes")
-    return clusters.cluster_lanes(profile, W.LANE_MIN_ORDERS, starts=3)
+    profile = staged(lanes.lane_profile(lines(spark, d)), "lanes")
+    return clusters.cluster_lanes(profile, W.LANE_MIN_ORDERS)
 
 
 @query
@@ -189,3 +201,111 @@ def lane_clusters(spark, d):
 def cluster_labels(spark, d):
     labelled = clusters.label_clusters(_clustered(spark, d), W.LANE_MIN_ORDERS)
     return labelled.select(*lanes.LANE_KEYS, "cluster", "cluster_label")
+
+
+# ---- the same operators over predictors and centres that SQL can follow ---------------------------
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with hold-out side, fold and the lead time as label."""
+    a, b = F.col("order_id"), F.col("line_key")
+    return lines(spark, d).withColumns({
+        "is_holdout": is_holdout(a, b), "fold": fold(a * FOLD_STREAM, b),
+        "label": F.col("lead_time_days").cast("double")})
+
+
+@query
+def mode_mean_holdout(spark, d):
+    """Hold-out metrics of the ship mode's training mean."""
+    train, test = _split(_marked(spark, d))
+    return tidy(models.metrics(models.mode_means(train, test, "label")))
+
+
+def _mean_cv(spark: SparkSession, d: str) -> DataFrame:
+    """Per fold, the mean of the ship mode and of (ship mode, product) as models."""
+    rows = staged(_marked(spark, d).select("ship_mode", "product_name", "fold", "label"), "folds")
+    return models.union([
+        models.metrics(models.cross_validated_means(rows, "label", by), ["fold"]).withColumn(
+            "model", F.lit(name))
+        for name, by in (("Mode mean", ["ship_mode"]),
+                         ("Mode and product mean", ["ship_mode", "product_name"]))])
+
+
+@query
+def mode_mean_cv(spark, d):
+    return tidy(models.cv_summary(_mean_cv(spark, d)))
+
+
+@query
+def mean_model_selection(spark, d):
+    tier = F.when(F.col("model") == "Mode mean", 0).otherwise(1)
+    report = models.cv_summary(_mean_cv(spark, d)).withColumn("interpretability_tier", tier)
+    return tidy(models.select_best(report).select("model", "interpretability_tier", "cv_r2_mean",
+                                                  "best_score"))
+
+
+@query
+def mode_mean_temporal(spark, d):
+    """Metrics on the late lines of the means of the early ones."""
+    rows = models.temporal_split(_marked(spark, d))
+    return tidy(models.metrics(models.mode_means(rows.where(~F.col("is_late")),
+                                                 rows.where("is_late"), "label")))
+
+
+@query
+def mode_mean_residuals(spark, d):
+    train, test = _split(_marked(spark, d))
+    return tidy(models.residual_std(models.mode_means(train, test, "label")))
+
+
+@query
+def training_cells(spark, d):
+    """The weighted cells on which the proxy models are trained, for the observed target."""
+    train, _ = _split(_marked(spark, d))
+    return tidy(models.training_cells(train, "lead_time_days"), label_sq=0)
+
+
+@query
+def linear_distance_fit(spark, d):
+    """Least squares of lead time on distance, fitted on cells, at every lane's distance."""
+    train, _ = _split(_marked(spark, d))
+    grid = staged(models.training_cells(train, "lead_time_days", ["distance_km"]), "grid")
+    model = models.fit(grid, models.Features(["distance_km"], []),
+                       models.estimators(weight="n")["Linear Regression"])
+    return tidy(model.transform(grid.select("distance_km")).select("distance_km", "prediction"))
+
+
+ELIGIBLE = 30  # fixed value: least orders of a lane here, met at every scale of the tables
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    """Standardised lanes assigned to the first three eligible lanes as centres."""
+    profile = staged(lanes.lane_profile(lines(spark, d)), "lanes")
+    scaled = staged(clusters.standardised(profile, ELIGIBLE), "scaled")
+    first = scaled.where(F.col("order_count") >= ELIGIBLE).orderBy(*lanes.LANE_KEYS).limit(3)
+    number = F.row_number().over(Window.orderBy(*lanes.LANE_KEYS)) - 1
+    return clusters.assign_clusters(scaled, first.withColumn("cluster", number))
+
+
+@query
+def standardised_lanes(spark, d):
+    profile = staged(lanes.lane_profile(lines(spark, d)), "lanes")
+    scaled = clusters.standardised(profile, ELIGIBLE)
+    return tidy(scaled.select(*lanes.LANE_KEYS, *[f"z_{c}" for c in clusters.CLUSTER_FEATURES]))
+
+
+@query
+def assigned_lanes(spark, d):
+    assigned = _assigned(spark, d).withColumn("selected_k", F.lit(3))
+    labelled = clusters.label_clusters(assigned, ELIGIBLE)
+    return tidy(labelled.select(*lanes.LANE_KEYS, "cluster", "cluster_label", "distance"))
+
+
+@query
+def assigned_summary(spark, d):
+    return tidy(clusters.cluster_summary(_assigned(spark, d), ELIGIBLE))
+
+
+@query
+def assigned_silhouette(spark, d):
+    eligible = _assigned(spark, d).where(F.col("order_count") >= ELIGIBLE)
+    return tidy(clusters.silhouette(staged(eligible, "assigned")))

@@ -290,6 +290,40 @@ add("iqr_bounds_lines", BASE, f"""SELECT "column", n, {rounded('q1, q3')},
   {R('q1-3*(q3-q1)')} AS lo, {R('q3+3*(q3-q1)')} AS hi FROM ("""
     + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, quantile_cont({c},0.25) AS q1,
   quantile_cont({c},0.75) AS q3 FROM ol""" for c in ("sales", "units", "gross_profit", "cost")) + ")")
+_FENCED = ("sales", "units", "gross_profit", "cost")
+
+
+def fences(source: str) -> str:
+    """Half-range fences of the money columns of ``source`` and the rows outside each."""
+    quartiles = ", ".join(f"quantile_cont({c},0.25) AS {c}1, quantile_cont({c},0.75) AS {c}3"
+                          for c in _FENCED)
+    out = ", ".join(f"({c}<{c}1-0.5*({c}3-{c}1) OR {c}>{c}3+0.5*({c}3-{c}1)) AS o_{c}" for c in _FENCED)
+    return f"fq AS (SELECT {quartiles} FROM {source}), fo AS (SELECT {out} FROM {source}, fq)"
+
+
+_ANY = " OR ".join(f"o_{c}" for c in _FENCED)
+add("iqr_fence_finance", BASE + "," + fences("ol"), "SELECT count(*) AS rows, " + ", ".join(
+    f"count(*) FILTER (WHERE o_{c}) AS removed_{c}" for c in _FENCED) + f""",
+  count(*) FILTER (WHERE {_ANY}) AS removed_total,
+  round(100.0*count(*) FILTER (WHERE {_ANY})/count(*),6) AS removed_pct,
+  count(*)-count(*) FILTER (WHERE {_ANY}) AS rows_after FROM fo""")
+add("audit_record", BASE + "," + RAW + """, cl AS (SELECT state, sales_n AS sales, units_n AS units,
+  profit_n AS gross_profit, coalesce(cost_n, sales_n-profit_n) AS cost FROM typ WHERE valid), """
+    + fences("cl"), f"""SELECT (SELECT count(*) FROM raw) AS input_rows,
+  (SELECT count(*) FROM typ WHERE valid) AS rows_after_valid,
+  (SELECT round(avg(lead),6) FROM typ WHERE valid) AS lead_mean, 17 AS "columns", 'city' AS missing,
+  st.state, n AS observed, coalesce(n=0,false) AS pass,
+  (SELECT count(*) FILTER (WHERE o_sales) FROM fo) AS removed_sales,
+  (SELECT count(*) FILTER (WHERE {_ANY}) FROM fo) AS removed_total
+  FROM st LEFT JOIN (SELECT state, count(*) AS n FROM cl GROUP BY 1) c ON c.state=st.state""")
+add("field_count_drift", BASE + "," + RAW, """SELECT count(*) AS rows, count(*) FILTER (WHERE
+  TRY_CAST(order_id AS BIGINT)%211=0 OR TRY_CAST(order_id AS BIGINT)%223=0) AS drifted_rows FROM raw""")
+add("strict_dates", BASE + "," + RAW, """SELECT strftime(od,'%Y-%m-%d') AS order_date, count(*) AS rows,
+  strftime(max(sd),'%Y-%m-%d') AS last_shipped FROM (
+  SELECT try_strptime(order_date,'%d-%m-%Y') AS od, try_strptime(ship_date,'%d-%m-%Y') AS sd FROM dat)
+  WHERE od IS NOT NULL AND sd IS NOT NULL GROUP BY od""")
+add("unmapped_products", BASE, """SELECT product_name, division, count(*) AS rows FROM prt
+  WHERE CAST(replace(product_name,'Brand - ','') AS INTEGER)>=12 AND division='div_1' GROUP BY 1,2""")
 add("pinned_assertions", BASE + "," + RAW, """SELECT e.order_id, expected, observed,
   expected IS NOT DISTINCT FROM observed AS pass FROM (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
@@ -401,9 +435,10 @@ add("distance_bins", BASE + """, m AS (SELECT ship_mode, avg(lead_time_days) AS
   FROM ol JOIN m USING (ship_mode), e)""", f"""SELECT bin, round(min(e[bin+1]),6) AS lo,
   round(min(e[bin+2]),6) AS hi, count(*) AS n, {R('avg(r)')} AS mean_residual_days FROM b
   GROUP BY bin""")
-add("value_histogram", "s AS (SELECT min(value) AS lo, max(value) AS hi FROM events)", """SELECT bin,
-  round(lo+bin*(hi-lo)/20,6) AS from_value, count(*) AS n FROM (SELECT CAST(least(19,
-  floor((value-lo)/((hi-lo)/20))) AS INTEGER) AS bin, lo, hi FROM events, s) GROUP BY bin, lo, hi""")
+add("value_histogram", "s AS (SELECT min(value) AS lo, max(value) AS hi FROM events)", """SELECT
+  CAST(b AS INTEGER) AS bin, round(lo+b*(hi-lo)/20,6) AS from_value, count(value) AS n
+  FROM range(0,20) t(b), s LEFT JOIN events ON least(19, floor((value-lo)/((hi-lo)/20)))=b
+  GROUP BY b, lo, hi""")
 add("lead_box_quartiles", BASE, """SELECT ship_mode, CAST(min(lead_time_days) AS DOUBLE) AS least,
   quantile_cont(lead_time_days,0.25) AS q1, quantile_cont(lead_time_days,0.5) AS median,
   quantile_cont(lead_time_days,0.75) AS q3, CAST(max(lead_time_days) AS DOUBLE) AS greatest
@@ -468,9 +503,12 @@ add("whatif_profit", _W + """, x AS (SELECT a.product_name, a.factory AS candida
     f"""SELECT {_PC}, {rounded('baseline_days, new_days, days_reduced, gross_profit:4, '
     'profit_impact:4, whatif_profit:2')} FROM x""")
 _VALUES = "|".join(f"{v:.6f}" for v in (900, 0.15, 0.2, 2, 2200, 0.25, 1.5))
-add("assumption_version", MOVES, f"""SELECT {_PC}, sha256({lit(_VALUES)}||'|'||(SELECT string_agg(
+add("assumption_version", BASE + "," + scenarios(one("'base'") + " UNION ALL " + one(
+    "'slow'", speed="CAST(450 AS DOUBLE)")), f"""SELECT {_PC}, trial AS scenario,
+  {rounded('lead_gain_days')}, sha256(CASE trial WHEN 'base' THEN {lit(_VALUES)}
+    ELSE {lit(_VALUES.replace('900.0', '450.0', 1))} END||'|'||(SELECT string_agg(
   factory||'='||printf('%.6f',setup),'|' ORDER BY factory) FROM fac)) AS assumption_version
-  FROM cand""")
+  FROM sc""")
 
 # ---- risk, ranking, capacity --------------------------------------------------------------------
 
@@ -501,21 +539,17 @@ add("top_recommendations", MOVES + "," + _TOP, f"""SELECT {_PC}, current_factory
 add("recommended_factories", MOVES + "," + _TOP, """SELECT count(DISTINCT candidate_factory)
   AS factories, count(*) AS rows FROM top""")
 add("top_pick_flag", MOVES, f"SELECT {_PC}, pos=1 AS is_top_scored_pick, {rounded('score')} FROM pk")
-_JSON = ("coalesce('['||string_agg('{\"product_name\":\"'||product_name||'\",\"candidate_factory\":\"'||"
-         "candidate_factory||'\",\"orders\":'||orders||',\"lead_gain_days\":'||"
-         "CAST(round(lead_gain_days,6) AS VARCHAR)||',\"profit_impact\":'||"
-         "CAST(round(profit_impact,4) AS VARCHAR)||'}',',' ORDER BY product_name) FILTER "
-         "(gate_result='actionable')||']','[]')")
-_NAMES = "coalesce(string_agg({0},'; ' ORDER BY {0}) FILTER ({1}),'')"
-add("gate_summary", MOVES, f"""SELECT count(*) AS product_count,
+add("gate_summary", MOVES, """SELECT count(*) AS product_count,
   count(*) FILTER (WHERE gate_result='actionable') AS actionable_count,
   count(*) FILTER (WHERE gate_result='materiality_only') AS materiality_only_count,
   count(*) FILTER (WHERE gate_result='evidence_only') AS evidence_only_count,
-  count(*) FILTER (WHERE gate_result='both') AS both_gates_fail_count,
-  {_NAMES.format('product_name', "gate_result='actionable'")} AS actionable_products,
-  {_JSON} AS actionable_details,
-  '{{'||string_agg('"'||product_name||'":"'||candidate_factory||'"',',' ORDER BY product_name)||'}}'
-    AS top_factories FROM pk WHERE pos=1""")
+  count(*) FILTER (WHERE gate_result='both') AS both_gates_fail_count FROM pk WHERE pos=1""")
+add("gate_products", MOVES, f"SELECT {_PC}, gate_result FROM pk WHERE pos=1")
+add("actionable_products", MOVES, f"""SELECT {_PC}, orders, {rounded('lead_gain_days, profit_impact:4')}
+  FROM pk WHERE pos=1 AND gate_result='actionable'""")
+add("picks_by_factory", MOVES, """SELECT candidate_factory, gate_result, count(*) AS products,
+  string_agg(product_name,'; ' ORDER BY product_name) AS product_names FROM pk WHERE pos=1
+  GROUP BY 1,2""")
 _NOW = "now AS (SELECT current_factory, sum(units) AS u FROM ol GROUP BY 1)"
 add("factory_load", MOVES + "," + _NOW + """, ld AS (SELECT factory, coalesce(u,0) AS current_units,
   coalesce(u,0)*1.5 AS capacity, coalesce((SELECT sum(units) FROM rec WHERE candidate_factory=factory
@@ -561,18 +595,23 @@ add("kpi_bootstrap", MOVES + f""", nb AS (SELECT *, row_number() OVER (ORDER BY
   dr AS (SELECT replicate, CAST(floor({U('replicate*11', 'slot')}*total) AS BIGINT) AS pick FROM nb,
     range(1,501) t(replicate)),
   rs AS (SELECT * FROM dr JOIN nb ON nb.slot=dr.pick),
-  kr AS ({kpis('rs', 'replicate, ', 'max(total)', 'count(*)')} GROUP BY replicate),
-  kp AS ({kpis('rec', '', 'count(*)', 'count(*)')})""", " UNION ALL ".join(
+  kr AS ({kpis('rs', 'replicate, ', _CAT, 'count(DISTINCT product_name)')} GROUP BY replicate),
+  kp AS ({kpis('rec', '', _CAT, 'count(*)')})""", " UNION ALL ".join(
     f"""SELECT '{k}' AS kpi, {R('(SELECT ' + k + ' FROM kp)', 5)} AS point,
-  {R(f'quantile_cont({k},0.05)', 5)} AS lo, {R(f'quantile_cont({k},0.95)', 5)} AS hi FROM kr"""
-    for k in ("lead_time_reduction_pct", "profit_stability_pct", "scenario_confidence",
-              "coverage_pct")))
+  {R(f'quantile_cont({k},0.05)', 5)} AS lo, {R(hi, 5)} AS hi FROM kr""" for k, hi in (
+        *((k, f"quantile_cont({k},0.95)") for k in (
+            "lead_time_reduction_pct", "profit_stability_pct", "scenario_confidence")),
+        ("coverage_pct", "(SELECT coverage_pct FROM kp)"))))  # no resample covers more than all
 DRAWS = BASE + "," + scenarios(one("t.d", " FROM range(0,300) t(d)",
                                    speed=f"400+1200*{U('t.d', '13')}",
                                    rate=f"0.05+0.25*{U('t.d', '17')}"))
-add("sensitivity_draws", DRAWS + ", kp AS (" + kpis("rec", "trial, ", _CAT, "count(*)")
-    + " GROUP BY trial)", f"""SELECT CAST(trial AS INTEGER) AS iteration, {rounded('lead_time_reduction_pct:5, '
-    'profit_stability_pct:5, scenario_confidence:5, coverage_pct:5')} FROM kp""")
+for _name, _counted in (("sensitivity_draws", "count(*)"),
+                        ("sensitivity_gated", "count(*) FILTER (WHERE gate_result='actionable')")):
+    add(_name, DRAWS + ", kp AS (" + kpis("rec", "trial, ", _CAT, _counted) + " GROUP BY trial)",
+        f"""SELECT CAST(trial AS INTEGER) AS iteration, {rounded(
+            'lead_time_reduction_pct:5, profit_stability_pct:5, scenario_confidence:5, coverage_pct:5')},
+  round(400+1200*{U('trial', '13')},5) AS speed_km_day,
+  round(0.05+0.25*{U('trial', '17')},5) AS freight_rate FROM kp""")
 STAB = BASE + "," + scenarios(
     one("-1") + " UNION ALL " + one("t.d", " FROM range(0,300) t(d)",
                                     speed=f"400+1200*{U('t.d', '13')}",
@@ -588,21 +627,22 @@ add("stability_summary", STAB, """SELECT round(avg(choice_agreement_pct),6)
 
 WEIGHT = BASE + "," + scenarios(one() + " UNION ALL " + one("t.i+1", " FROM range(0,21) t(i)",
                                                             w="t.i/20.0")) + """,
-  ws AS (SELECT s.w AS speed_weight, s.product_name, s.gate_result='actionable' AS go,
+  ws AS (SELECT s.w AS speed_weight, s.product_name, s.candidate_factory, s.gate_result='actionable' AS go,
     d.gate_result='actionable' AS was, s.candidate_factory<>d.candidate_factory AS flip
     FROM pk s JOIN pk d ON s.pos=1 AND d.pos=1 AND d.trial=0 AND s.trial>0
     AND s.product_name=d.product_name)"""
-add("weight_sweep", WEIGHT, f"""SELECT speed_weight, count(*) FILTER (WHERE go) AS actionable_count,
-  {_NAMES.format('product_name', 'go')} AS actionable_products,
-  {_NAMES.format('product_name', 'flip')} AS flipped_products, count(*) FILTER (WHERE flip) AS flip_count,
-  {_NAMES.format('product_name', 'go AND NOT was')} AS entering_products,
-  {_NAMES.format('product_name', 'was AND NOT go')} AS leaving_products,
+add("weight_sweep", WEIGHT, """SELECT speed_weight, count(*) FILTER (WHERE go) AS actionable_count,
+  count(*) FILTER (WHERE flip) AS flip_count, count(*) FILTER (WHERE go AND NOT was) AS entering_count,
+  count(*) FILTER (WHERE was AND NOT go) AS leaving_count,
   count(*) FILTER (WHERE go)=5 AS matches_target FROM ws GROUP BY 1""")
+add("weight_sweep_products", WEIGHT, " UNION ALL ".join(
+    f"""SELECT speed_weight, product_name, candidate_factory, '{change}' AS change FROM ws WHERE {where}"""
+    for change, where in (("actionable", "go"), ("flipped", "flip"), ("entering", "go AND NOT was"),
+                          ("leaving", "was AND NOT go"))))
 _GO = "gate_result='actionable'"
 add("speed_sweep", BASE + "," + scenarios(one("t.i", " FROM range(0,25) t(i)",
                                               speed="CAST(400+50*t.i AS DOUBLE)")),
     f"""SELECT speed AS freight_speed_km_day, count(*) FILTER (WHERE {_GO}) AS actionable_count,
-  {_NAMES.format('product_name', _GO)} AS actionable_products, {_JSON} AS actionable_details,
   count(*) FILTER (WHERE {_GO})=5 AS matches_target FROM pk WHERE pos=1 GROUP BY 1""")
 _GRID = (("freight_speed_km_day", "speed", 25, "400+50*t.i", "dashboard_slider"),
          ("freight_cost_per_unit_per_1000km", "rate", 26, "(5+t.i)/100.0", "dashboard_slider"),
@@ -623,9 +663,13 @@ def grid() -> str:
 
 add("assumption_sweep", BASE + "," + scenarios(grid()) + f""", ts AS (SELECT CAST(trial AS INTEGER)
   AS trial, assumption, value, category, count(*) FILTER (WHERE {_GO}) AS actionable_count,
-  {_NAMES.format('product_name', _GO)} AS actionable_products, count(*) FILTER (WHERE {_GO})=5 AS matches_target
+  count(*) FILTER (WHERE {_GO})=5 AS matches_target
   FROM pk WHERE pos=1 GROUP BY ALL)""", """SELECT *, coalesce(trial=(SELECT min(trial) FROM ts
   WHERE matches_target),false) AS first_hit FROM ts""")
+add("assumption_sweep_products", BASE + "," + scenarios(grid()), f"""SELECT CAST(trial AS INTEGER)
+  AS trial, assumption, {R('value')} AS value, category, {_PC}, orders,
+  {rounded('lead_gain_days, profit_impact:4')} FROM pk WHERE pos=1 AND {_GO}""")
+
 
 def suffixed(text: str, names: list[str], suffix: str) -> str:
     for name in names:
@@ -673,3 +717,93 @@ SLOW = BASE + "," + scenarios(one("0") + " UNION ALL " + one("1", speed="CAST(45
 _ACT = "SELECT product_name FROM pk WHERE pos=1 AND gate_result='actionable' AND trial="
 add("actionable_set_change", SLOW, f"""SELECT product_name, 'entering' AS change FROM (
   {_ACT}1 EXCEPT {_ACT}0) UNION ALL SELECT product_name, 'leaving' FROM ({_ACT}0 EXCEPT {_ACT}1)""")
+
+# ---- models and clusters over a predictor or centres that SQL can follow --------------------------
+
+MODEL = BASE + f""", ml AS (SELECT *, lead_time_days AS y, {U('order_id', 'line_key')}>=0.8 AS h,
+  CAST(floor({U('order_id*5', 'line_key')}*5) AS INTEGER) AS fold FROM ol),
+trained AS (SELECT ship_mode, avg(y) AS p FROM ml WHERE NOT h GROUP BY 1),
+tested AS (SELECT * FROM ml JOIN trained USING (ship_mode) WHERE h)"""
+
+
+def scores(source: str, by: str = "") -> str:
+    return f"""SELECT {by}1-sum((y-p)*(y-p))/(count(*)*var_pop(y)) AS r2,
+  sqrt(avg((y-p)*(y-p))) AS rmse, avg(abs(y-p)) AS mae FROM {source}"""
+
+
+_SCORES = rounded("r2, rmse, mae")
+add("mode_mean_holdout", MODEL, f"SELECT {_SCORES} FROM ({scores('tested')})")
+
+
+def folds(name: str, keys: str) -> str:
+    """Every line with the mean of its group over the other folds; scores per fold."""
+    match = " AND ".join(f"b.{k}=a.{k}" for k in keys.split(", "))
+    return f"""SELECT '{name}' AS model, * FROM ({scores(f"""(SELECT a.fold, a.y, b.p FROM ml a JOIN (
+  SELECT f.k, {', '.join(f'ml.{k}' for k in keys.split(', '))}, avg(y) AS p FROM ml, range(0,5) f(k)
+  WHERE fold<>f.k GROUP BY ALL) b ON b.k=a.fold AND {match})""", 'fold, ')} GROUP BY fold)"""
+
+
+CV = MODEL + f""", fs AS ({folds('Mode mean', 'ship_mode')} UNION ALL
+  {folds('Mode and product mean', 'ship_mode, product_name')}),
+cv AS (SELECT model, """ + ", ".join(
+    f"avg({m}) AS cv_{m}_mean, stddev_samp({m}) AS cv_{m}_std" for m in ("r2", "rmse", "mae")) + """
+  FROM fs GROUP BY model)"""
+add("mode_mean_cv", CV, "SELECT model, " + rounded(", ".join(
+    f"cv_{m}_mean, cv_{m}_std" for m in ("r2", "rmse", "mae"))) + " FROM cv")
+add("mean_model_selection", CV, f"""SELECT model, interpretability_tier, {rounded('cv_r2_mean, best_score')}
+  FROM (SELECT *, CASE WHEN model='Mode mean' THEN 0 ELSE 1 END AS interpretability_tier,
+    (SELECT max(cv_r2_mean) FROM cv) AS best_score FROM cv) s
+  WHERE s.cv_r2_mean>=s.best_score-0.02 ORDER BY interpretability_tier LIMIT 1""")
+add("mode_mean_temporal", BASE + """, dl AS (SELECT *, lead_time_days AS y,
+    date_diff('day', DATE '1970-01-01', order_date) AS day FROM ol),
+  lt AS (SELECT *, day>(SELECT quantile_cont(day,0.8) FROM dl) AS late FROM dl),
+  em AS (SELECT ship_mode, avg(y) AS p FROM lt WHERE NOT late GROUP BY 1),
+  lm AS (SELECT * FROM lt JOIN em USING (ship_mode) WHERE late)""",
+    f"SELECT {_SCORES} FROM ({scores('lm')})")
+add("mode_mean_residuals", MODEL, f"""SELECT product_name, holdout_count, {rounded('residual_std')} FROM (
+  SELECT product_name, count(*) AS holdout_count, CASE WHEN count(*)<2
+    THEN (SELECT stddev_samp(y-p) FROM tested) ELSE stddev_samp(y-p) END AS residual_std
+  FROM tested GROUP BY 1)""")
+add("training_cells", MODEL, f"""SELECT ship_mode, region, product_name, current_factory,
+  {rounded('distance_km, label, n, label_sq:0')} FROM (SELECT ship_mode, region, product_name,
+    current_factory, distance_km, avg(y) AS label, count(*) AS n, sum(y*y) AS label_sq
+  FROM ml WHERE NOT h GROUP BY ALL)""")
+add("linear_distance_fit", MODEL, f"""SELECT {rounded('distance_km, prediction')} FROM (
+  SELECT distance_km, a+b*distance_km AS prediction FROM (SELECT DISTINCT distance_km FROM ml WHERE NOT h),
+    (SELECT regr_intercept(y,distance_km) AS a, regr_slope(y,distance_km) AS b FROM ml WHERE NOT h))""")
+
+_MEASURES = ("order_count", "mean_lead", "p90_lead", "lead_std", "mean_distance", "mean_units")
+_Z = ", ".join(f"(lp.{m}-avg(lp.{m}) FILTER (WHERE order_count>=30) OVER ())"
+               f"/stddev_samp(lp.{m}) FILTER (WHERE order_count>=30) OVER () AS z_{m}"
+               for m in _MEASURES)
+
+
+def apart(a: str, b: str) -> str:
+    return "+".join(f"pow({a}.z_{m}-{b}.z_{m},2)" for m in _MEASURES)
+
+
+CLUSTERS = LANE + f""", zl AS (SELECT current_factory, region, ship_mode, order_count, mean_lead, {_Z} FROM lp),
+ce AS (SELECT *, row_number() OVER (ORDER BY current_factory, region, ship_mode)-1 AS cluster FROM zl
+  WHERE order_count>=30 ORDER BY cluster LIMIT 3),
+ca AS (SELECT * FROM (SELECT zl.*, ce.cluster, {apart('zl', 'ce')} AS distance, row_number() OVER (
+  PARTITION BY zl.current_factory, zl.region, zl.ship_mode ORDER BY {apart('zl', 'ce')}, ce.cluster) AS rn
+  FROM zl, ce) WHERE rn=1),
+cs AS (SELECT cluster, count(*) AS lanes, avg(order_count) AS mean_orders, avg(mean_lead) AS mean_days
+  FROM ca WHERE order_count>=30 GROUP BY 1)"""
+_LK = "current_factory, region, ship_mode"
+add("standardised_lanes", CLUSTERS, f"SELECT {_LK}, {rounded(', '.join(f'z_{m}' for m in _MEASURES))} FROM zl")
+add("assigned_lanes", CLUSTERS, f"""SELECT {_LK}, CAST(ca.cluster AS INTEGER) AS cluster,
+  {rounded('distance')}, coalesce(
+    CASE WHEN mean_days>=(SELECT median(mean_days) FROM cs) THEN 'Slow' ELSE 'Fast' END||' / '||
+    CASE WHEN mean_orders>=(SELECT median(mean_orders) FROM cs) THEN 'high volume' ELSE 'low volume' END,
+    'Unclustered lane') AS cluster_label FROM ca LEFT JOIN cs USING (cluster)""")
+add("assigned_summary", CLUSTERS, f"""SELECT CAST(cluster AS INTEGER) AS cluster, lanes,
+  {rounded('mean_orders, mean_days')} FROM cs""")
+add("assigned_silhouette", CLUSTERS + f""", pt AS (SELECT *, row_number() OVER () AS id FROM ca
+    WHERE order_count>=30),
+  pd AS (SELECT a.id, a.cluster AS own, b.cluster AS other, sum({apart('a', 'b')}) AS d, count(*) AS n
+    FROM pt a, pt b GROUP BY 1,2,3),
+  sp AS (SELECT id, max(CASE WHEN own=other THEN d/nullif(n-1,0) END) AS a,
+    min(CASE WHEN own<>other THEN d/n END) AS b FROM pd GROUP BY 1)""",
+    """SELECT round(avg(coalesce((b-a)/nullif(greatest(a,b),0),0)),6) AS silhouette_score,
+  count(*) AS points FROM sp""")

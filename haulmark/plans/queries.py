@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulmark.functions.text import calendar_days, calendar_features, is_canadian
-from haulmark.functions.text import normalize_product_name
+from haulmark.functions.text import normalize_product_name, parse_date
 from haulmark.operators import (audit, capacity, clean, derive, kpi, lanes, moves, ranking,
                                 reconcile, risk, slices, stats, sweeps)
-from haulmark.params import Assumptions, Network
+from haulmark.params import Assumptions, Network, scenario_columns
 from haulmark.session import staged
 from haulmark.sources import warehouse as W
+from haulmark.sources.orders import CORRUPT, text_schema
+from haulmark.sources.orders import field_count_drift as drift
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,53 +54,30 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return W.order_lines(spark, d, NETWORK)
 
 
-# What the move and profile queries need of an order line.
-MOVE_COLUMNS = ("order_id", "line_key", "product_name", "division", "current_factory", "region",
-                "state", "lat", "lon", "ship_mode", "units", "gross_profit", "lead_time_days")
-PROFILE_COLUMNS = ("order_id", "product_name", "current_factory", "region", "ship_mode", "units",
-                   "gross_profit", "lead_time_days", "distance_km")
-
-
-def prepared(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
-    """Some columns of the order lines, staged: several scans of them share one join."""
-    return staged(lines(spark, d).select(*columns), "lines")
-
-
-def export(spark: SparkSession, d: str) -> DataFrame:
-    """The all-text rows as a stored export, the form in which cleaning meets them."""
-    return staged(W.raw_order_lines(spark, d), "export")
-
-
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """The order cells, staged: one scan of the order lines, however often a query reads them."""
     return staged(moves.order_cells(lines(spark, d)), "cells")
 
 
-def cells_and_orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The staged cells and the distinct orders per product, over one join of the tables."""
-    p = prepared(spark, d, MOVE_COLUMNS)
-    return staged(moves.order_cells(p), "cells"), moves.product_orders(p)
-
-
-def measured(c: DataFrame, orders: DataFrame) -> DataFrame:
+def measured(c: DataFrame) -> DataFrame:
     """Moves with order counts and residual deviations, before anything is assumed."""
-    found = moves.candidate_moves(c, orders, NETWORK)
+    found = moves.candidate_moves(c, NETWORK)
     moments = risk.baseline_residuals(c)
     return risk.with_residuals(found, risk.residual_std(moments), risk.overall_std(moments))
 
 
-def candidates_of(c: DataFrame, orders: DataFrame) -> DataFrame:
+def candidates_of(c: DataFrame) -> DataFrame:
     """Measured moves, staged (a row per product and other factory), with fixed risk inputs."""
-    return risk.risk_inputs(staged(measured(c, orders), "moves"), BASE)
+    return risk.risk_inputs(staged(measured(c), "moves"), BASE)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return candidates_of(*cells_and_orders(spark, d))
+    return candidates_of(cells(spark, d))
 
 
 def scored_with_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c, orders = cells_and_orders(spark, d)
-    return ranking.score_moves(candidates_of(c, orders), BASE.columns()), c
+    c = cells(spark, d)
+    return ranking.score_moves(candidates_of(c), BASE.columns()), c
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +114,12 @@ def dedup_orders(spark, d):
 
 @query
 def clean_orders(spark, d):
-    return tidy(clean.clean_orders(export(spark, d)), 4)
+    return tidy(clean.clean_orders(W.raw_order_lines(spark, d)), 4)
 
 
 @query
 def rejected_rows(spark, d):
-    bad = clean.rejected_rows(clean.type_orders(clean.dedup_orders(export(spark, d))))
+    bad = clean.rejected_rows(clean.type_orders(clean.dedup_orders(W.raw_order_lines(spark, d))))
     return bad.select("row_id", "order_id", F.array_join("reasons", "+").alias("reasons"))
 
 
@@ -160,7 +139,8 @@ def lead_summary(spark, d):
 
 @query
 def repaired_lead(spark, d):
-    return derive.repaired_lead(lines(spark, d)).select(
+    """The offsets need dates alone, so they come from the two fact tables only."""
+    return derive.repaired_lead(lines(spark, d), W.order_dates(spark, d)).select(
         "order_id", "line_key", "year_gap", "lead_time_days", "repaired_lead_days")
 
 
@@ -179,7 +159,72 @@ def iqr_fence_counts(spark, d):
 
 @query
 def iqr_bounds_lines(spark, d):
-    return tidy(audit.fence_bounds(prepared(spark, d, clean.FINANCE), clean.FINANCE))
+    return tidy(audit.fence_bounds(staged(lines(spark, d).select(*clean.FINANCE), "finance"), clean.FINANCE))
+
+
+FENCE_FACTOR = 0.5  # fixed value: a narrow fence, so that all four columns have outliers here
+
+
+@query
+def iqr_fence_finance(spark, d):
+    """Removals per money column, each against the same rows, and in total."""
+    rows = staged(lines(spark, d).select(*clean.FINANCE), "finance")
+    bounds = audit.fence_bounds(rows, clean.FINANCE, FENCE_FACTOR)
+    return tidy(audit.fence_counts(rows, bounds, clean.FINANCE))
+
+
+@query
+def audit_record(spark, d):
+    """Summary, missing columns, assertions and fence in one nested row, read back as columns."""
+    raw = W.raw_order_lines(spark, d).drop("city")
+    rows = staged(clean.clean_orders(raw).select("state", "lead_time_days", *clean.FINANCE), "clean")
+    seen = rows.groupBy("state").agg(F.count(F.lit(1)).alias("observed"))
+    expected = W.state_table(spark, d).select(F.col("state"), F.lit(0).cast("bigint")
+                                              .alias("expected"))
+    pinned = audit.pinned_assertions(expected, seen, ["state"]).withColumnRenamed("state", "key")
+    divisions, explicit = W.product_divisions(spark, d), W.explicit_map(spark, NETWORK)
+    summary = audit.audit_summary(raw, W.mode_table(spark), W.region_table(spark, d),
+                                  W.state_table(spark, d), explicit,
+                                  derive.modal_factory(explicit, divisions))
+    bounds = audit.fence_bounds(rows, clean.FINANCE, FENCE_FACTOR)
+    record = audit.audit_record(raw, summary, pinned,
+                                audit.fence_counts(rows, bounds, clean.FINANCE))
+    return tidy(record.select(
+        "input_rows", "rows_after_valid", "lead_mean", F.size("input_columns").alias("columns"),
+        F.array_join("missing_columns", ",").alias("missing"), F.explode("assertions").alias(
+            "state", "check"), "iqr").select(
+        "input_rows", "rows_after_valid", "lead_mean", "columns", "missing", "state",
+        "check.observed", "check.pass", "iqr.removed_sales", "iqr.removed_total"))
+
+
+def _source_text(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as delimited text; some lines have a field too many, some one too few."""
+    raw = W.raw_order_lines(spark, d)
+    order = F.col("order_id").try_cast("bigint")
+    line = F.concat_ws(",", *raw.columns)
+    return raw.select(F.when(order % 211 == 0, F.concat(line, F.lit(",more")))
+                      .when(order % 223 == 0, F.concat_ws(",", *raw.columns[:-1]))
+                      .otherwise(line).alias("line"))
+
+
+@query
+def field_count_drift(spark, d):
+    text = _source_text(spark, d)
+    schema = text_schema(W.RAW_COLUMNS, corrupt=True)
+    parsed = text.select(F.from_csv("line", schema.toDDL(), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+    return drift(parsed)
+
+
+@query
+def strict_dates(spark, d):
+    """Rows per order date after strict parsing, which fails the job on any bad date left."""
+    rows = clean.data_rows(W.raw_order_lines(spark, d))
+    good = rows.where(parse_date(F.col("order_date")).isNotNull()
+                      & parse_date(F.col("ship_date")).isNotNull())
+    days = staged(good.groupBy("order_date", "ship_date").agg(F.count(F.lit(1)).alias("n")), "days")
+    return tidy(clean.strict_dates(days).groupBy("order_date").agg(
+        F.sum("n").alias("rows"), F.max("ship_date").alias("last_shipped")))
 
 
 @query
@@ -191,7 +236,7 @@ def pinned_assertions(spark, d):
         F.min("l_shipdate").alias("first_ship"))
     expected = (first.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                 .select("order_id", F.datediff("first_ship", "o_orderdate").alias("expected")))
-    observed = clean.clean_orders(export(spark, d)).groupBy("order_id").agg(
+    observed = clean.clean_orders(W.raw_order_lines(spark, d)).groupBy("order_id").agg(
         F.min("lead_time_days").alias("observed"))
     return audit.pinned_assertions(expected, observed, ["order_id"])
 
@@ -248,14 +293,22 @@ def order_distance(spark, d):
                                        "distance_km"))
 
 
+def ordered_places(spark: SparkSession, d: str) -> DataFrame:
+    """Destinations with an order line: keys meet before anything else is joined."""
+    keys = W.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"))
+    return W.placed_orders(spark, d).join(keys, "order_id", "left_semi").select(
+        "state", "lat", "lon")
+
+
 @query
 def factory_distance_matrix(spark, d):
-    return tidy(derive.distance_matrix(lines(spark, d), NETWORK))
+    return tidy(derive.distance_matrix(ordered_places(spark, d), NETWORK))
 
 
 @query
 def factory_distance_wide(spark, d):
-    wide = derive.distance_matrix_wide(derive.distance_matrix(lines(spark, d), NETWORK), NETWORK)
+    wide = derive.distance_matrix_wide(derive.distance_matrix(ordered_places(spark, d), NETWORK),
+                                       NETWORK)
     return tidy(wide.toDF("state", *[f"site_{i}_km" for i in range(len(NETWORK.sites))]))
 
 
@@ -312,7 +365,19 @@ def sliced_orders(spark, d):
 
 @query
 def product_domain(spark, d):
-    return slices.domain(lines(spark, d), "product_name")
+    """Products with an order line: the part table is reduced to the keys that occur."""
+    keys = W.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return slices.domain(W.products(spark, d).join(keys, "p_partkey", "left_semi"), "product_name")
+
+
+@query
+def unmapped_products(spark, d):
+    """Products that no map resolves, if only the first half of the brands is mapped."""
+    explicit = W.explicit_map(spark, NETWORK).where(
+        F.regexp_extract("product_name", r"(\d+)$", 1).cast("int") < 12)
+    parts = derive.resolve_factory(W.products(spark, d), explicit, derive.modal_factory(
+        explicit, W.product_divisions(spark, d)).where("division <> 'div_1'"))
+    return derive.unmapped_products(parts)
 
 
 @query
@@ -322,12 +387,12 @@ def value_counts(spark, d):
 
 @query
 def lane_profile(spark, d):
-    return tidy(lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=2)
+    return tidy(lanes.lane_profile(lines(spark, d)), mean_profit=2)
 
 
 @query
 def slow_routes(spark, d):
-    profile = lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS))
+    profile = lanes.lane_profile(lines(spark, d))
     found = lanes.slow_routes(profile, W.LANE_MIN_ORDERS)
     return tidy(lanes.by_exposure(found).select(
         *lanes.LANE_KEYS, "order_count", "mean_lead", "p90_lead", "avg_lead", "slow_route",
@@ -336,7 +401,7 @@ def slow_routes(spark, d):
 
 @query
 def top_exposure(spark, d):
-    profile = lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS))
+    profile = lanes.lane_profile(lines(spark, d))
     found = lanes.slow_routes(profile, W.LANE_MIN_ORDERS)
     return tidy(lanes.top_exposure(found).select(*lanes.LANE_KEYS, "order_count", "mean_lead",
                                                  "exposure"), exposure=4)
@@ -344,12 +409,12 @@ def top_exposure(spark, d):
 
 @query
 def region_product_profile(spark, d):
-    return tidy(lanes.region_product_profile(prepared(spark, d, PROFILE_COLUMNS)), mean_profit=2)
+    return tidy(lanes.region_product_profile(lines(spark, d)), mean_profit=2)
 
 
 @query
 def congested_pairs(spark, d):
-    pairs = lanes.congested_pairs(prepared(spark, d, PROFILE_COLUMNS))
+    pairs = lanes.congested_pairs(lines(spark, d))
     return tidy(lanes.by_congestion(pairs), mean_profit=2)
 
 
@@ -376,7 +441,7 @@ def lead_box_quartiles(spark, d):
 @query
 def lane_measures_long(spark, d):
     return tidy(stats.measures_long(
-        lanes.lane_profile(prepared(spark, d, PROFILE_COLUMNS)), lanes.LANE_KEYS,
+        lanes.lane_profile(lines(spark, d)), lanes.LANE_KEYS,
         ["order_count", "mean_lead", "p90_lead", "lead_std", "mean_distance", "mean_units"]))
 
 
@@ -389,7 +454,7 @@ def collinearity_check(spark, d):
 
 @query
 def candidate_moves(spark, d):
-    return tidy(moves.candidate_moves(*cells_and_orders(spark, d), NETWORK).select(
+    return tidy(moves.candidate_moves(cells(spark, d), NETWORK).select(
         "product_name", "division", "current_factory", "candidate_factory", "orders", "lines",
         "units", "gross_profit", "current_distance_km", "candidate_distance_km",
         "delta_distance_km", "baseline_lead_days"), gross_profit=4)
@@ -490,8 +555,15 @@ def whatif_profit(spark, d):
 
 @query
 def assumption_version(spark, d):
-    return candidates(spark, d).select("product_name", "candidate_factory",
-                                       BASE.version(NETWORK).alias("assumption_version"))
+    """Fingerprint of the assumptions behind each row, for the base and for a slower network."""
+    versions = F.array(*[F.struct(F.lit(name).alias("scenario"), a.version(NETWORK).alias("version"),
+                                  *[c.alias(n) for n, c in a.columns().items()])
+                         for name, a in (("base", BASE),
+                                         ("slow", BASE.replace(freight_speed_km_day=450.0)))])
+    each = candidates(spark, d).withColumn("s", F.explode(versions))
+    priced = moves.price_moves(each, scenario_columns("s"))
+    return tidy(priced.select("product_name", "candidate_factory", "s.scenario", "lead_gain_days",
+                              F.col("s.version").alias("assumption_version")))
 
 
 # ---- risk, ranking, capacity --------------------------------------------------------------------
@@ -573,8 +645,24 @@ def top_pick_flag(spark, d):
 
 @query
 def gate_summary(spark, d):
-    found = sweeps.gates_summary(scored(spark, d))
-    return found.withColumn("top_factories", F.to_json("top_factories"))
+    return ranking.gate_counts(ranking.top_picks(scored(spark, d)))
+
+
+@query
+def gate_products(spark, d):
+    """The top factory and gate of every product."""
+    return ranking.top_picks(scored(spark, d)).select("product_name", "candidate_factory",
+                                                      "gate_result")
+
+
+@query
+def actionable_products(spark, d):
+    return tidy(sweeps.actionable_rows(ranking.top_picks(scored(spark, d)), []), profit_impact=4)
+
+
+@query
+def picks_by_factory(spark, d):
+    return sweeps.names_by_factory(ranking.top_picks(scored(spark, d)))
 
 
 @query
@@ -615,16 +703,23 @@ def kpi_point_gated(spark, d):
 def kpi_bootstrap(spark, d):
     moved, c = scored_with_cells(spark, d)
     picks = ranking.recommend(moved)
-    return tidy(kpi.bootstrap_kpis(picks, baseline_r2(c)), 5)
+    return tidy(kpi.bootstrap_kpis(picks, catalogue(spark, d), baseline_r2(c)), 5)
 
 
 @query
 def sensitivity_draws(spark, d):
-    c, orders = cells_and_orders(spark, d)
-    picks = kpi.scenario_picks(candidates_of(c, orders), BASE)
+    c = cells(spark, d)
+    picks = kpi.scenario_picks(candidates_of(c), BASE)
     return tidy(kpi.sensitivity(picks, catalogue(spark, d), baseline_r2(c)), 5)
 
 
+@query
+def sensitivity_gated(spark, d):
+    c = cells(spark, d)
+    picks = kpi.scenario_picks(candidates_of(c), BASE)
+    return tidy(kpi.sensitivity(picks, catalogue(spark, d), baseline_r2(c), gated=True), 5)
+
+
 def _stability(spark, d):
     moved = candidates(spark, d)
     default = ranking.recommend(ranking.score_moves(moved, BASE.columns()))
@@ -653,7 +748,20 @@ def speed_sweep(spark, d):
 
 @query
 def assumption_sweep(spark, d):
-    return sweeps.assumption_sweep(candidates(spark, d), BASE, TARGET).drop("actionable_details")
+    return sweeps.assumption_sweep(candidates(spark, d), BASE, TARGET)
+
+
+@query
+def weight_sweep_products(spark, d):
+    """Each product's changes against the default weight, under every weight."""
+    return sweeps.weight_changes(candidates(spark, d), BASE).where("change is not null")
+
+
+@query
+def assumption_sweep_products(spark, d):
+    """The actionable products of every trial."""
+    return tidy(sweeps.actionable_rows(sweeps.sweep_picks(candidates(spark, d), BASE, sweeps.SWEEPS)),
+                profit_impact=4)
 
 
 def regional_cells(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
@@ -666,8 +774,8 @@ def regional_cells(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
 
 @query
 def alt_distance_gates(spark, d):
-    c, orders = cells_and_orders(spark, d)
-    both = [ranking.score_moves(candidates_of(basis, orders), BASE.columns())
+    c = cells(spark, d)
+    both = [ranking.score_moves(candidates_of(basis), BASE.columns())
             for basis in (c, regional_cells(spark, d, c))]
     return tidy(sweeps.compare_bases(*both, ("state", "region")))
 

@@ -53,16 +53,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def staged_path(df: DataFrame, name: str) -> str:
+    """The path of the frame, written to the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back.
 
-    Used for small pre-aggregates that a plan reads several times: the order lines are scanned once,
-    a lost executor costs no recomputation of them, and the optimizer sees the table's real size.
+    Used for tables that a plan reads several times, pre-aggregates for the most part: their source is
+    scanned once, a lost executor costs no recomputation, and the optimizer sees the real size.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name))
 
 
 def discard_staged(spark: SparkSession) -> int:

@@ -140,6 +140,17 @@ def order_lines(spark: SparkSession, folder: str, network: Network | None = None
         "lead_time_days", lead_days(F.col("order_date"), F.col("ship_date")))
 
 
+def order_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Order date, ship date and lead time of every line."""
+    orders = table(spark, folder, "orders").select("o_orderkey",
+                                                   F.to_date("o_orderdate").alias("order_date"))
+    dated = (table(spark, folder, "lineitem").select("l_orderkey",
+                                                     F.to_date("l_shipdate").alias("ship_date"))
+             .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+    return dated.select("order_date", "ship_date", lead_days(
+        F.col("order_date"), F.col("ship_date")).alias("lead_time_days"))
+
+
 RAW_COLUMNS = ("row_id", "order_id", "order_date", "ship_date", "ship_mode", "customer_id",
                "country", "city", "state", "postal_code", "division", "region", "product_id",
                "product_name", "sales", "units", "gross_profit", "cost")

@@ -150,3 +150,23 @@ def test_batch_run_writes_every_table(spark, small, tmp_path):
     assert rec.count() == 25 and rec.where("assumption_version is null").count() == 0
     assert models.load_model(f"{tmp_path}/best_model").stages
     assert dims.state_centroids(spark).count() == 61
+
+
+def test_batch_run_on_text_ids(spark, small, tmp_path):
+    """Order and row ids are opaque text: every line still falls on one side of the hold-out."""
+    raw = W.raw_order_lines(spark, small).where("order_id <> '' and order_id <> 'Order ID'")
+    raw = raw.withColumns({"order_id": F.concat(F.lit("US-2021-"), "order_id"),
+                           "row_id": F.concat(F.lit("R"), "row_id")})
+    d = batch.Dimensions(W.explicit_map(spark, Q.NETWORK), W.product_divisions(spark, small),
+                         W.mode_table(spark), W.region_table(spark, small),
+                         W.state_table(spark, small).select("state", "lat", "lon"))
+    paths = batch.run(raw, d, Q.NETWORK, str(tmp_path), W.ASSUMPTIONS, lane_min_orders=20, draws=5,
+                      trees=2, rounds=2)
+    prepared = results.read_table(spark, paths["prepared_orders"])
+    assert prepared.where("is_holdout is null or fold is null").count() == 0
+    share = prepared.where("is_holdout").count() / prepared.count()
+    assert 0.15 < share < 0.25
+    cells = results.read_table(spark, paths["cells"])
+    assert cells.where("is_holdout").agg(F.sum("lines")).first()[0] == prepared.where(
+        "is_holdout").count()
+    assert results.read_table(spark, paths["recommendations"]).count() == 25

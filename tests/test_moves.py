@@ -17,7 +17,7 @@ A = W.ASSUMPTIONS.replace(min_orders_for_recommendation=225.0)
 
 @pytest.fixture(scope="module")
 def candidates(moves_fixture):
-    return moves_fixture[2]
+    return moves_fixture[1]
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +81,7 @@ def test_scores_do_not_depend_on_layout(candidates):
 
 
 def test_cells_do_not_depend_on_layout(spark, small):
-    lines = Q.prepared(spark, small, Q.MOVE_COLUMNS)
+    lines = Q.lines(spark, small)
     def cells(df):
         return {tuple(r[k] for k in moves.CELL_KEYS): (r.lines, r.lead_sum, r.weight)
                 for r in moves.order_cells(df).collect()}
@@ -90,12 +90,12 @@ def test_cells_do_not_depend_on_layout(spark, small):
 
 def test_hot_product_changes_nothing_for_others(spark, small):
     """A third of all rows in one product and order: counts stay exact."""
-    lines = Q.prepared(spark, small, Q.MOVE_COLUMNS)
+    lines = Q.lines(spark, small)
     hot = (lines.where("product_name = 'Brand - 1'")
            .withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(12)))).drop("c"))
     both = lines.unionByName(hot)
-    before = {r[0]: r[1] for r in moves.product_orders(lines).collect()}
-    after = {r[0]: r[1] for r in moves.product_orders(both).collect()}
+    before = {r[0]: r[1] for r in moves.product_orders(moves.order_cells(lines)).collect()}
+    after = {r[0]: r[1] for r in moves.product_orders(moves.order_cells(both)).collect()}
     assert before == after
 
 
@@ -147,12 +147,12 @@ def test_kpis_and_bootstrap(scored):
     picks = ranking.recommend(scored).cache()
     one = F.lit(0.25)
     point = {r.kpi: r.point for r in kpi.compute_kpis(picks, F.lit(25), one).collect()}
-    boot = {r.kpi: r for r in kpi.bootstrap_kpis(picks, one, 200).collect()}
+    boot = {r.kpi: r for r in kpi.bootstrap_kpis(picks, F.lit(25), one, 200).collect()}
     assert set(point) == set(kpi.KPIS) == set(boot)
     assert point["coverage_pct"] == 100 and boot["scenario_confidence"].lo == 0.25
     for name in kpi.KPIS:
         assert boot[name].lo <= boot[name].hi and boot[name].point == pytest.approx(point[name])
-    again = {r.kpi: (r.lo, r.hi) for r in kpi.bootstrap_kpis(picks.repartition(7), one, 200)
+    again = {r.kpi: (r.lo, r.hi) for r in kpi.bootstrap_kpis(picks.repartition(7), F.lit(25), one, 200)
              .collect()}
     assert all(again[k] == pytest.approx((boot[k].lo, boot[k].hi)) for k in boot)
 
@@ -169,13 +169,16 @@ def test_assumption_sweep_marks_first_hit(candidates):
     assert len(rows) == 3 and rows[2].actionable_count == 0
     hits = [r.trial for r in rows if r.matches_target]
     assert [r.trial for r in rows if r.first_hit] == hits[:1]
-    for r in rows:
-        assert len(json.loads(r.actionable_details)) == r.actionable_count
+    each = sweeps.actionable_rows(sweeps.sweep_picks(
+        candidates, A, (("min_material_days", (0.0, 0.2, 9.0), "x"),)))
+    counts = {r.trial: r["count"] for r in each.groupBy("trial").count().collect()}
+    assert {r.trial: counts.get(r.trial, 0) for r in rows} == {
+        r.trial: r.actionable_count for r in rows}
 
 
 def test_weight_sweep_at_default_has_no_flip(candidates):
     rows = {r.speed_weight: r for r in sweeps.weight_sweep(candidates, A, 5).collect()}
-    assert len(rows) == 21 and rows[0.5].flip_count == 0 and rows[0.5].entering_products == ""
+    assert len(rows) == 21 and rows[0.5].flip_count == 0 and rows[0.5].entering_count == 0
 
 
 def test_assumptions(spark):
@@ -189,13 +192,28 @@ def test_assumptions(spark):
     assert versions.a != versions.b and versions.a == versions.c and len(versions.a) == 64
 
 
-def test_network_is_bounded():
+def test_bootstrap_coverage_counts_distinct_products(spark):
+    """15 products, all covered: the published interval starts at 8 of 15 and ends at the point."""
+    picks = spark.createDataFrame(
+        [(f"p{i}", 1.0, 10, 5.0, 1.0, "actionable") for i in range(15)],
+        "product_name string, lead_gain_days double, orders long, baseline_lead_days double, "
+        "profit_impact double, gate_result string")
+    rows = {r.kpi: r for r in kpi.bootstrap_kpis(picks, F.lit(15), F.lit(0.5)).collect()}
+    coverage = rows["coverage_pct"]
+    assert coverage.point == coverage.hi == 100 and round(coverage.lo, 1) == 53.3
+
+
+def test_networks_of_any_size(spark, moves_fixture):
     with pytest.raises(ValueError):
         Network(())
     with pytest.raises(ValueError):
         Network((Site("x", 0, 0, 0), Site("x", 1, 1, 0)))
-    with pytest.raises(ValueError):
-        Network(tuple(Site(str(i), 0, 0, 0) for i in range(1001)))
+    many = Network((*Q.NETWORK.sites, *[Site(f"site {i}", i % 80, i % 170, 1.0)
+                                        for i in range(1200)]))
+    few = moves_fixture[0].where("product_name in ('Brand - 1', 'Brand - 2')")
+    found = moves.candidate_moves(few, many)
+    assert found.count() == 2 * (len(many.sites) - 1)
+    assert found.where("setup_net is null or delta_distance_km is null").count() == 0
 
 
 def test_null_groups_are_kept(spark):

@@ -54,9 +54,15 @@ def test_cleaned_rows(spark, csv):
     assert rows["O1"].row_id == 1 and rows["O1"].copies == 2
     assert rows["O2"].cost == 6.0 and rows["O2"].cost_imputed
     assert rows["O1"].product_name == "Thing - One" and rows["O1"].postal_code == "78701"
-    with pytest.raises(ValueError, match="Nowhere"):
+    with pytest.raises(ValueError, match="no centroid for 1 values of state, listed in (.*)") as e:
         derive.require_resolved(clean.clean_orders(O.scan_order_lines(spark, csv)),
                                 dims.state_centroids(spark))
+    listed = spark.read.parquet(str(e.value).rpartition(" in ")[2]).collect()
+    assert [r.state for r in listed] == ["Nowhere"]
+    resolved = derive.resolve_factory(clean.clean_orders(O.scan_order_lines(spark, csv)),
+                                      *[t.limit(0) for t in dimensions(spark)[3:]])
+    with pytest.raises(ValueError, match="no factory mapping for 1 products"):
+        derive.require_mapped(resolved)
 
 
 def test_missing_columns_fail_before_any_action(spark, tmp_path):
@@ -131,6 +137,10 @@ def test_audit_record_is_nested(spark, csv):
     record = audit.audit_record(raw, audit.audit_summary(raw, *dimensions(spark)), pinned,
                                 audit.fence_counts(rows, bounds, clean.FINANCE)).first()
     assert len(record.input_columns) == 18 and record.missing_columns == []
+    short = raw.drop("city", "country")
+    record_short = audit.audit_record(short, audit.audit_summary(short, *dimensions(spark)), pinned,
+                                      audit.fence_counts(rows, bounds, clean.FINANCE)).first()
+    assert record_short.missing_columns == ["city", "country"]
     assert record.assertions["1"]["pass"] and not record.assertions["3"]["pass"]
     assert not record.assertions["99"]["pass"] and record.iqr.rows_after == 3
 
