@@ -33,6 +33,16 @@ def text_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 12), 16, 10).cast("bigint")
 
 
+def hashed_uniform(*keys: Column) -> Column:
+    """A uniform number in (0, 1) from the MD5 of the keys.
+
+    :func:`uniform` is linear in its keys: along one of them it covers the range evenly, which suits
+    single draws but not resampling, where draws have to be independent.
+    """
+    text = F.concat_ws(":", *[k.cast("string") for k in keys])
+    return (text_number(text) + 0.5) / float(1 << 48)
+
+
 def is_holdout(a: Column, b: Column | int = 0, share: float = 0.2) -> Column:
     """True for a seeded ``share`` of the rows."""
     return uniform(a, b) >= F.lit(1.0 - share)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.functions.portable import uniform, with_hash_index
+from haulmark.functions.portable import hashed_uniform, uniform, with_hash_index
 from haulmark.operators.ranking import recommend, score_moves
 from haulmark.params import (BOOTSTRAP_ITERATIONS, MONTE_CARLO_ITERATIONS, RATE_RANGE, SPEED_RANGE,
                              Assumptions, scenario_columns)
@@ -70,7 +70,8 @@ def bootstrap_kpis(picks: DataFrame, catalogue: Column, confidence: Column,
     draws = (numbered.select("slot", size.alias("n"),
                              F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
              .select("replicate", "n", F.floor(
-                 uniform(F.col("replicate") * BOOTSTRAP_STREAM, F.col("slot")) * F.col("n"))
+                 hashed_uniform(F.lit(BOOTSTRAP_STREAM), F.col("replicate"), F.col("slot"))
+                 * F.col("n"))
                  .cast("bigint").alias("slot")))
     taken = draws.groupBy("replicate", "slot").agg(F.count(F.lit(1)).alias("times"))
     resampled = taken.join(numbered.drop("product_name"), "slot")

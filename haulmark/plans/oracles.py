@@ -592,7 +592,8 @@ add("kpi_point_gated", MOVES + ", kp AS (" + kpis("rec", "", _CAT, "count(*) FIL
     + ")", long("kp"))
 add("kpi_bootstrap", MOVES + f""", nb AS (SELECT *, row_number() OVER (ORDER BY md5(product_name))-1
   AS slot, count(*) OVER () AS total FROM rec),
-  dr AS (SELECT replicate, CAST(floor({U('replicate*11', 'slot')}*total) AS BIGINT) AS pick FROM nb,
+  dr AS (SELECT replicate, CAST(floor((('0x'||substr(md5('11:'||replicate||':'||slot),1,12))::BIGINT
+    +0.5)/281474976710656.0*total) AS BIGINT) AS pick FROM nb,
     range(1,501) t(replicate)),
   rs AS (SELECT * FROM dr JOIN nb ON nb.slot=dr.pick),
   kr AS ({kpis('rs', 'replicate, ', _CAT, 'count(DISTINCT product_name)')} GROUP BY replicate),
