@@ -55,12 +55,12 @@ def prepare(clean_rows: DataFrame, d: Dimensions, network: Network) -> DataFrame
         "transit_days": derive.transit_days(F.col("distance_km"), F.col("multiplier"), key)})
 
 
-def train(lines: DataFrame, out: str, trees: int = 100, rounds: int = 100
+def train(lines: DataFrame, out: str, trees: int = 100, rounds: int = 100, depth: int = 30
           ) -> tuple[DataFrame, models.PipelineModel]:
     """Fit all models, compare them by cross-validation and hold-out, pick one and save it."""
     rows = models.numbers_as_double(lines, models.LEAD_FEATURES).withColumn(
         "label", F.col("lead_time_days").cast("double"))
-    regressors = models.estimators(trees, rounds)
+    regressors = models.estimators(trees, rounds, depth=depth)
     hold, fitted = models.holdout_report(rows.where(~F.col("is_holdout")), rows.where("is_holdout"),
                                          models.LEAD_FEATURES, regressors)
     folds = models.cross_validate(rows, models.LEAD_FEATURES, regressors)
@@ -75,7 +75,8 @@ def train(lines: DataFrame, out: str, trees: int = 100, rounds: int = 100
 
 def run(raw: DataFrame, d: Dimensions, network: Network, out: str, a: Assumptions = Assumptions(),
         lane_min_orders: int = LANE_MIN_ORDERS, draws: int = MONTE_CARLO_ITERATIONS,
-        trees: int = 100, rounds: int = 100, fmt: str = "parquet") -> dict[str, str]:
+        trees: int = 100, rounds: int = 100, depth: int = 30, fmt: str = "parquet"
+        ) -> dict[str, str]:
     """Write all result tables below ``out`` and return their paths."""
     spark = raw.sparkSession
     division_factory = derive.modal_factory(d.product_factory, d.product_division)
@@ -92,7 +93,7 @@ def run(raw: DataFrame, d: Dimensions, network: Network, out: str, a: Assumption
                                                    f"{out}/prepared_orders")
     lines = results.read_table(spark, paths["prepared_orders"])
 
-    report, best = train(lines, out, trees, rounds)
+    report, best = train(lines, out, trees, rounds, depth)
     paths["model_metrics"] = f"{out}/model_metrics"
     held = models.numbers_as_double(lines.where("is_holdout"), models.LEAD_FEATURES).withColumn(
         "label", F.col("lead_time_days").cast("double"))

@@ -21,7 +21,7 @@ def proxy(rows):
     test = test.withColumn("label", F.col("transit_days").cast("double"))
     report, fitted = models.holdout_report(
         models.training_cells(train, "transit_days"), test, models.PROXY_FEATURES,
-        models.estimators(trees=10, rounds=10, weight="n"))
+        models.estimators(trees=10, rounds=10, weight="n", depth=8))
     return report.collect(), fitted, test
 
 
@@ -141,7 +141,7 @@ def test_batch_run_writes_every_table(spark, small, tmp_path):
                          W.mode_table(spark), W.region_table(spark, small),
                          W.state_table(spark, small).select("state", "lat", "lon"))
     paths = batch.run(raw, d, Q.NETWORK, str(tmp_path), W.ASSUMPTIONS, lane_min_orders=20, draws=5,
-                      trees=3, rounds=3)
+                      trees=3, rounds=3, depth=4)
     for name, path in paths.items():
         if name != "kpis":
             assert results.read_table(spark, path).count() > 0, name
@@ -161,7 +161,7 @@ def test_batch_run_on_text_ids(spark, small, tmp_path):
                          W.mode_table(spark), W.region_table(spark, small),
                          W.state_table(spark, small).select("state", "lat", "lon"))
     paths = batch.run(raw, d, Q.NETWORK, str(tmp_path), W.ASSUMPTIONS, lane_min_orders=20, draws=5,
-                      trees=2, rounds=2)
+                      trees=2, rounds=2, depth=4)
     prepared = results.read_table(spark, paths["prepared_orders"])
     assert prepared.where("is_holdout is null or fold is null").count() == 0
     share = prepared.where("is_holdout").count() / prepared.count()
