@@ -26,23 +26,23 @@ LINKS = "a bigint, b bigint"
 def connected(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of a link (a, b).
 
-    Runs until a round changes nothing. Links may repeat or join a node to itself.
+    Rounds go on until the edges are separate stars. Links may repeat or join a node to itself.
     """
     edges = staged(_large_star(links.select("a", "b")), "links")
-    mark = _mark(edges)
-    while True:
+    while not _are_stars(edges):
         edges = staged(_large_star(_small_star(edges)), "links")
-        now = _mark(edges)
-        if now == mark:
-            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and checksum of the edges: equal when nothing changed."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-                           ).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, or only larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"),
+                                         F.lit(1).alias("down")))
+    tangled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+        F.col("up") + F.col("down") > 1)
+    return tangled.isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Link every node's smaller neighbours, and itself, to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
 class Labels:
