@@ -8,10 +8,10 @@ pre-token each, go straight to its model.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 TABLE_LIMIT = 400_000
 
 
@@ -37,16 +37,20 @@ class ChunkIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha() and _is_latin(chunk[-2:]):
+        if chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha() and _is_latin(chunk[-2]):
             # a lone mark after a letter is a pre-token of its own
             found = self[chunk] = self[chunk[:-1]] + self[chunk[-1]]
             return found
         if chunk.isalpha() and chunk.islower() and _is_latin(chunk):
-            letters = chunk.encode().decode("latin-1").translate(byte_letters())
+            letters = chunk if chunk.isascii() else (
+                chunk.encode().decode("latin-1").translate(byte_letters()))
             ids = [t.id for t in self.model.tokenize(letters)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = self[chunk] = np.array(ids, "<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        found = self[chunk] = packed.tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
@@ -60,6 +64,8 @@ class ChunkIds(dict):
 
 
 def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
