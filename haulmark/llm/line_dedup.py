@@ -193,14 +193,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (cell, node, root, line), sorted by cell, the links across components of a cell."""
-    def links(rows: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    def links(rows: list[tuple[int, int, str, np.ndarray]]) -> list[tuple[int, int]]:
         if not rows:
             return []
         labels = Labels(len(rows))
-        roots = np.array([root for _, root, _ in rows])
+        roots = np.array([root for _, root, _, _ in rows])
         first = {root: i for i, root in reversed(list(enumerate(roots.tolist())))}
         labels.merge(np.array([first[r] for r in roots.tolist()]), np.arange(len(rows)))
-        signed = signatures([line for _, _, line in rows])
+        signed = np.stack([signature for _, _, _, signature in rows])
         sets: dict[int, set[str]] = {}
         found = []
         for i in range(1, len(rows)):
@@ -218,11 +218,13 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     now, rows, out = None, [], []
     for batch in batches:
-        for cell, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if cell != now:
-                out += links(rows)
-                now, rows = cell, []
-            rows.append(tuple(row))
+        for at in range(0, batch.num_rows, 2000):
+            columns = [c.to_pylist() for c in batch.slice(at, 2000).columns]
+            for cell, *row in zip(*columns, signatures(columns[-1])):
+                if cell != now:
+                    out += links(rows)
+                    now, rows = cell, []
+                rows.append(tuple(row))
     out += links(rows)
     columns = list(zip(*out)) or [(), ()]
     yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
