@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
-Lines of at least ``MIN_WORDS`` words take part; shorter ones repeat by chance and stay. Lines are stripped
-and equal ones share an id. Each distinct line gets one MinHash value per bin of a one-permutation
+Every line that is not empty takes part; one shorter than a shingle is a shingle of its own, so only its
+exact copies are dropped. Lines are stripped and equal ones share an id. Each distinct line gets one MinHash value per bin of a one-permutation
 hash over its ``SHINGLE``-character shingles, empty bins filled from the next; ``ROWS`` values make a band,
 and lines that share one of ``BANDS`` bands are candidates: at a similarity of 0.8 a pair is missed with
 a probability below 0.4 % (below 0.1 % at 0.82). Candidates are verified by the exact Jaccard
@@ -36,7 +36,7 @@ SHINGLE = 8
 ROWS = 3
 BANDS = 8
 SIMILARITY = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1  # every line that is not empty
 FILTER_BITS = 1 << 25
 BATCH_CHARS = 1 << 21
 

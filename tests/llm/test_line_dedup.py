@@ -117,3 +117,15 @@ def test_odd_rows(spark, odd_rows):
     assert by_id[7][0]["text"] == "" and by_id[7][0]["n_dropped_lines"] == 2
     assert all("\n" in r["text"] and not r["n_dropped_lines"] for r in by_id[6])
     assert line_dedup.deduplicated(odd_rows.limit(0)).count() == 0
+
+
+def test_short_lines_take_part(spark):
+    """Lines of few words, and of scripts without spaces, are dropped when they repeat."""
+    near = "one-long-word-of-many-characters-that-only-ends-"
+    texts = ["}", "Home\nAbout us", "About us\n\n}", "漢字のみの行で空白がありません", "x\n漢字のみの行で空白がありません",
+             near + "so", near + "as", "Homes"]
+    rows = line_dedup.deduplicated(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(
+        ["}", "Home\nAbout us", "", "漢字のみの行で空白がありません", "x", near + "so", "", "Homes"]))
+    assert sum(r["n_dropped_lines"] for r in rows) == 4
