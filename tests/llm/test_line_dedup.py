@@ -129,3 +129,23 @@ def test_short_lines_take_part(spark):
     assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(
         ["}", "Home\nAbout us", "", "漢字のみの行で空白がありません", "x", near + "so", "", "Homes"]))
     assert sum(r["n_dropped_lines"] for r in rows) == 4
+
+
+@pytest.mark.parametrize("shingles", [9, 18, 45, 900])
+def test_no_similar_pair_fails_the_bound(shingles):
+    """All pairs at 0.8 that share a band are linked, on lines of few shingles too."""
+    import pyarrow as pa
+    rnd = random.Random(3)
+    changed = shingles // 9
+    lines = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=shingles + 7))
+             for _ in range(2000)]
+    others = [a[:-changed] + "".join(rnd.choices("0123456789", k=changed)) for a in lines]
+    assert all(line_dedup.similar(line_dedup.shingles(a), line_dedup.shingles(b))
+               for a, b in zip(lines, others))
+    n = list(range(len(lines)))
+    batch = pa.record_batch({"a": n, "b": [i + len(n) for i in n], "x": lines, "y": others})
+    assert sum(r.num_rows for r in line_dedup._verify(iter([batch]))) == len(n)
+    cells = pa.record_batch({"cell": sorted(n + n), "node": [x for i in n for x in (i, i + len(n))],
+                             "root": [x for i in n for x in (i, i + len(n))],
+                             "line": [x for p in zip(lines, others) for x in p]})
+    assert sum(r.num_rows for r in line_dedup._verify_cells(iter([cells]))) == len(n)
