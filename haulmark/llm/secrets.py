@@ -7,7 +7,7 @@ before the shuffle, so a blob that a third of all files hold is no hot key.
 
 Findings of a blob are the spans of each kind: leftmost, not overlapping within the kind, in code
 points, end exclusive. Defined results: a null text is the empty blob, which has no spans. Spans are
-ordered by start, then by kind in the order of ``KINDS``.
+ordered by start, then by kind in the order of ``KINDS``. A pem span covers the key's body.
 """
 
 from __future__ import annotations
@@ -29,13 +29,20 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
 BASE_KINDS = ("assign", "access", "hex")
+# A key ends with its END line, before which no other such line stands. Without one it ends with its
+# base64 body: header lines, then long runs or runs alone on their line. Line ends may be escaped.
+_END = r"(?:[^-]|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_BREAK = r"(?:[ \t]*(?:\r?\n|\\r|\\n))"
+_BODY = (rf"(?:{_BREAK}[ \t]*[A-Z][A-Za-z-]*:[^\n\\]*+)*+"
+         rf"(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{{32,}}+={{0,2}}"
+         rf"|{_BREAK}++[ \t]*[A-Za-z0-9+/]++={{0,2}}(?={_BREAK}|[ \t]*(?:[\"']|\Z)))*+")
 # Published forms of keys and tokens, scanned besides the base kinds.
 MORE = {
-    "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "pem": rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{_END}|{_BODY})",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{36,}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    "url_login": r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@",
+    "url_login": r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]{3,}+@",
 }
 KINDS = BASE_KINDS + tuple(MORE)
 RULE_VERSION = hashlib.sha256("\n".join((ASSIGN, ACCESS, HEX, *MORE.values())).encode()

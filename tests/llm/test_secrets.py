@@ -68,3 +68,33 @@ def test_odd_rows(spark, odd_rows):
     rows = secrets.report(odd_rows, ledger).collect()
     assert len(rows) == odd_rows.count() and all(r["spans"] is not None for r in rows)
     assert secrets.scan_unseen(odd_rows.limit(0)).count() == 0
+
+
+def test_added_kinds_cover_the_whole_secret():
+    spans = lambda text, kind: [text[a:b] for k, a, b in secrets.find_spans(text) if k == kind]
+    pat = "github_pat_" + "1A" * 11 + "_" + "b2C" * 19 + "de"
+    login = f"https://{'u' * 80}:{pat}@"
+    assert len(pat) == 93 and spans(f"git clone {login}host/x", "url_login") == [login]
+    assert spans(f"at {pat}, ghp_{'a1' * 18}.", "github") == [pat, "ghp_" + "a1" * 18]
+    line = "MIIEpAIBAAKCAQEA+/" * 3
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    for sep in ("\n", "\r\n", "\\n", "\\r\\n", " ", "\n  "):
+        for header in ("", "Proc-Type: 4,ENCRYPTED" + sep + "DEK-Info: AES-128-CBC,0A" + sep + sep):
+            whole = sep.join([begin, header + line, line, "AQ==", end])
+            assert spans(f"a {whole} b {whole}", "pem") == [whole, whole]
+    for header in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n"):
+        cut = f"{begin}\n{header}{line}\n{line}\nAQ=="
+        assert spans(f"a {cut}\nand more text\n{end[:9]}", "pem") == [cut]
+        assert spans(f"a {cut}\n{cut}\n{end}", "pem") == [cut, f"{cut}\n{end}"]
+    assert spans(f"'{begin}\\n{line}\\nAQ==' is one", "pem") == [f"{begin}\\n{line}\\nAQ=="]
+    assert spans(f"The line {begin} opens a key", "pem") == [begin]
+
+
+def test_added_kinds_take_linear_time():
+    import time
+    begin = "-----BEGIN PRIVATE KEY-----"
+    now = time.process_time()
+    for text in (begin * 20_000, begin + "a-" * 300_000, begin + "\nab" * 300_000, "a://" * 200_000,
+                 "a://" + "b" * 600_000, "a://b:" + "c" * 600_000, "a" * 600_000):
+        secrets.find_spans(text)
+    assert time.process_time() - now < 20
