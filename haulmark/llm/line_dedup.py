@@ -21,7 +21,7 @@ No documents: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +116,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["doc_id", "key", "line", "node"])
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch]
+def _distinct_lines(batches: Iterator[pa.RecordBatch], sample: int = 1
                     ) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts of lines, each once per few batches; memory stays bounded."""
+    """Ids and texts of one line in ``sample`` by id, each once per few batches; memory stays bounded."""
     seen: set[int] = set()
     nodes, lines, size = [], [], 0
     for batch in batches:
@@ -126,7 +126,7 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch]
             seen.clear()
         for text in batch.column(0):
             for _, line, node in lines_of(text.as_py()):
-                if node in seen:
+                if node % sample or node in seen:
                     continue
                 seen.add(node)
                 nodes.append(node)
@@ -139,11 +139,14 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch]
         yield nodes, lines
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nodes, lines in _distinct_lines(batches):
-        yield pa.record_batch([pa.array(bands(lines).ravel()),
-                               pa.array(np.repeat(np.array(nodes, np.int64), BANDS))],
-                              names=["bucket", "node"])
+def _members(sample: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, lines in _distinct_lines(batches, sample):
+            yield pa.record_batch([pa.array(bands(lines).ravel()),
+                                   pa.array(np.repeat(np.array(nodes, np.int64), BANDS))],
+                                  names=["bucket", "node"])
+
+    return members
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +285,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between ids of distinct similar lines of ``docs`` (text)."""
     texts = docs.select("text")
     pair = "bucket bigint, node bigint"
-    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLE)) == 0)
-    compared = cells(texts.mapInArrow(_members, pair), some.mapInArrow(_members, pair))
+    compared = cells(texts.mapInArrow(_members(), pair), texts.mapInArrow(_members(SAMPLE), pair))
     found = staged(compared.repartition("cell").mapInArrow(
         _candidates, "cell bigint, node bigint, first bigint"), "candidates")
     lines = staged(_texts(docs, found.select("node").distinct()), "lines")

@@ -149,3 +149,24 @@ def test_no_similar_pair_fails_the_bound(shingles):
                              "root": [x for i in n for x in (i, i + len(n))],
                              "line": [x for p in zip(lines, others) for x in p]})
     assert sum(r.num_rows for r in line_dedup._verify_cells(iter([cells]))) == len(n)
+
+
+def test_large_bucket_of_one_document_is_cut(spark, monkeypatch):
+    """A bucket that a single document feeds is seen and dealt into cells of bounded size."""
+    from pyspark.sql import functions as F
+    original, largest = components.cells, []
+
+    def cut(members, sample):
+        out = original(members, sample, 64)
+        largest.append(out.groupBy("cell").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(line_dedup, "cells", cut)
+    rnd = random.Random(4)
+    docs = []
+    for i in range(3):
+        start = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=400))
+        docs.append((i, "\n".join(f"{start} {n}" for n in range(1000))))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert line_dedup.dropped_lines(frame).count() == 3 * 999
+    assert largest[0] < 400
