@@ -149,7 +149,7 @@ def _members(sample: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return members
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cell, node, first) of the nodes in cells with several."""
     rows = sorted_cells(batches)
     if rows is None:
@@ -175,9 +175,12 @@ def similar(a: set[str], b: set[str]) -> bool:
 
 
 def sketches(lines: list[str]) -> np.ndarray:
-    """For each line the set of ``SKETCH_BITS`` bits that its shingles hash to, then their number."""
-    owner, h, counts = _hashed(lines)
-    bits = np.zeros((len(lines), SKETCH_BITS), bool)
+    return sketched(*_hashed(lines))
+
+
+def sketched(owner: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each owner the set of ``SKETCH_BITS`` bits that its shingles hash to, then their number."""
+    bits = np.zeros((len(counts), SKETCH_BITS), bool)
     bits[owner, (h >> np.uint64(32)) % np.uint64(SKETCH_BITS)] = True
     return np.column_stack([np.packbits(bits, axis=1).view(np.uint64), counts.astype(np.uint64)])
 
@@ -192,7 +195,8 @@ def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart * (1 + SIMILARITY) <= (x[..., -1] + y[..., -1]) * (1 - SIMILARITY) + 1e-6
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], sketch: Callable = sketches,
+            parts: Callable = shingles) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, line of a, line of b), sorted by a, the links (a, b)."""
     known: tuple[int | None, set[str]] = (None, set())
     for batch in batches:
@@ -201,18 +205,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, x, y = (c.to_pylist() for c in part.columns)
             firsts = {node: line for node, line in zip(a, x)}
             place = {node: i for i, node in enumerate(firsts)}
-            of_a = sketches(list(firsts.values()))[[place[node] for node in a]]
+            of_a = sketch(list(firsts.values()))[[place[node] for node in a]]
             good = []
-            for i in np.flatnonzero(possible(of_a, sketches(y))).tolist():
+            for i in np.flatnonzero(possible(of_a, sketch(y))).tolist():
                 if known[0] != a[i]:
-                    known = (a[i], shingles(x[i]))
-                if similar(known[1], shingles(y[i])):
+                    known = (a[i], parts(x[i]))
+                if similar(known[1], parts(y[i])):
                     good.append(i)
             yield pa.record_batch([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)],
                                   names=["a", "b"])
 
 
-def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_cells(batches: Iterator[pa.RecordBatch], sketch: Callable = sketches,
+                  parts: Callable = shingles) -> Iterator[pa.RecordBatch]:
     """Of rows (cell, node, root, line), sorted by cell, the links across components of a cell."""
     def links(rows: list[tuple[int, int, str, np.ndarray]]) -> list[tuple[int, int]]:
         if not rows:
@@ -221,7 +226,7 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         roots = np.array([root for _, root, _, _ in rows])
         first = {root: i for i, root in reversed(list(enumerate(roots.tolist())))}
         labels.merge(np.array([first[r] for r in roots.tolist()]), np.arange(len(rows)))
-        drawn = np.stack([sketch for _, _, _, sketch in rows])
+        drawn = np.stack([row[3] for row in rows])
         sets: dict[int, set[str]] = {}
         found = []
         for i in range(1, len(rows)):
@@ -231,7 +236,7 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     continue
                 for k in (i, j):
                     if k not in sets:
-                        sets[k] = shingles(rows[k][2])
+                        sets[k] = parts(rows[k][2])
                 if similar(sets[i], sets[j]):
                     labels.merge(np.array([i]), np.array([j]))
                     found.append((rows[i][0], rows[j][0]))
@@ -241,7 +246,7 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             columns = [c.to_pylist() for c in batch.slice(at, 2000).columns]
-            for cell, *row in zip(*columns, sketches(columns[-1])):
+            for cell, *row in zip(*columns, sketch(columns[-1])):
                 if cell != now:
                     out += links(rows)
                     now, rows = cell, []
@@ -287,14 +292,19 @@ def line_links(docs: DataFrame) -> DataFrame:
     pair = "bucket bigint, node bigint"
     compared = cells(texts.mapInArrow(_members(), pair), texts.mapInArrow(_members(SAMPLE), pair))
     found = staged(compared.repartition("cell").mapInArrow(
-        _candidates, "cell bigint, node bigint, first bigint"), "candidates")
+        candidates, "cell bigint, node bigint, first bigint"), "candidates")
     lines = staged(_texts(docs, found.select("node").distinct()), "lines")
+    return verified_links(found, lines, _verify, _verify_cells)
+
 
+def verified_links(found: DataFrame, lines: DataFrame, verify: Callable, verify_cells: Callable
+                   ) -> DataFrame:
+    """The links (a, b) among candidates ``found`` (cell, node, first) with content ``lines`` (node, line)."""
     stars = found.where("node <> first").select(F.col("first").alias("a"),
                                                 F.col("node").alias("b")).distinct()
     wide = (stars.join(lines.toDF("b", "y"), "b").join(lines.toDF("a", "x"), "a")
             .select("a", "b", "x", "y"))
-    links = staged(wide.mapInArrow(_verify, "a bigint, b bigint"), "links")
+    links = staged(wide.mapInArrow(verify, "a bigint, b bigint"), "links")
 
     # Two steps towards the smallest neighbour settle nearly all cells; what they leave is compared.
     once = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
@@ -308,7 +318,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     ).where("low <> high and n > 2").select("cell")
     rest = (labelled.join(mixed, "cell", "left_semi").join(lines, "node")
             .select("cell", "node", "root", "line").repartition("cell").sortWithinPartitions("cell"))
-    return links.unionByName(staged(rest.mapInArrow(_verify_cells, "a bigint, b bigint"), "links"))
+    return links.unionByName(staged(rest.mapInArrow(verify_cells, "a bigint, b bigint"), "links"))
 
 
 def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -97,3 +97,33 @@ def test_registered():
     names = entry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert names["pipeline"] is pipeline.run
+
+
+def test_near_copies_equal_brute_force(spark, small):
+    """One document stays of each component of pairs at a five-word Jaccard similarity of 0.8."""
+    import random
+
+    import numpy as np
+
+    from haulmark.llm import components
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(3, 400))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rnd.randint(0, max(1, len(words) // 60))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(["other", "word"])
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    labels = components.Labels(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                labels.merge(np.array([i]), np.array([j]))
+    want = {i for i in range(len(sets)) if labels.root[i] == i}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["doc_id"] for r in pipeline.near_duplicates(spark, frame, small).collect()]
+    assert sorted(got) == sorted(want) and 60 <= len(want) < len(texts)
+    keyed = frame.withColumn("k", F.xxhash64("doc_id", "text"))
+    assert simhash.keepers(keyed, "k").count() > len(want)  # op3's rule keeps more
