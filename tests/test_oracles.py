@@ -6,18 +6,16 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import SMALL
-
 import __spark_entry__ as entry
 
 ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(small):
     con = duckdb.connect()
-    for f in os.listdir(SMALL):
-        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{f}'")
+    for f in os.listdir(small):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{small}/{f}'")
     return con
 
 
@@ -26,8 +24,8 @@ def test_names_match():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_oracle(spark, duck, name):
-    result = entry.queries()[name](spark, SMALL)
+def test_query_equals_oracle(spark, small, duck, name):
+    result = entry.queries()[name](spark, small)
     expected = duck.sql(ORACLES[name])
     assert sorted(result.columns) == sorted(expected.columns)
     columns = sorted(result.columns)
