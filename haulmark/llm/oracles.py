@@ -142,7 +142,52 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 FROM parts LEFT JOIN fits USING (page_id)
 """
 
+FILTER_AUDIT = rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM words GROUP BY text),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+failed AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+      WHEN 'A' THEN len(w) < 200
+      WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+      WHEN 'C' THEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text)
+      WHEN 'D' THEN regexp_matches(text, '[#$%&*|]')
+      ELSE coalesce(doc_id > first_id, false) END) AS fails,
+    (doc_id IN (SELECT doc_id FROM good))::INT AS good,
+    (doc_id IN (SELECT doc_id FROM toxic))::INT AS toxic
+  FROM words JOIN firsts USING (text)),
+counted AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[:step - 1] AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+judged AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails, list_contains(fails, f) AS fails_here,
+    len(list_filter(fails, lambda x: contains(before, x))) > 0 AS gone
+  FROM counted, steps),
+counts AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT gone AND NOT fails_here THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT gone AND fails_here THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND fails_here THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = [f] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails_here THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT gone AND fails_here THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost,
+  toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counts
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": FILTER_AUDIT,
     "op1_source_mix": SOURCE_MIX, "op4_quality_rules": QUALITY_RULES,
     "op8_license_scan": LICENSE_SCAN, "op9_url_rules": URL_SCAN,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import (licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
+from haulmark.llm import (filter_audit, licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
                           simhash, token_counts, url_rules)
 from haulmark.llm.text import n_words, text_of
 from haulmark.session import staged
@@ -142,3 +142,10 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     ledger = staged(secrets.scan_unseen(docs), "ledger")
     return secrets.report(docs, ledger).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What each of five filters removes at each step of every order, by source."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic")
+    return filter_audit.audit_documents(documents(spark, d).select("doc_id", "text", "source"), labels)
