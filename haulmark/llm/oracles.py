@@ -186,7 +186,67 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 FROM counts
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS t, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w
+  FROM documents),
+places AS (
+  SELECT t, pos, w[pos + 1] AS term FROM (SELECT t, w, unnest(range(len(w))) AS pos FROM texts)),
+counts AS (SELECT term, count(*) AS n FROM places GROUP BY term),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_LOWER}, '{_TERM}') AS w
+  FROM benchmark),
+windows AS (
+  SELECT item, w[s:s + 9] AS words
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM items WHERE len(w) > 0)),
+terms AS (
+  SELECT words, len(words) AS n, place, words[place + 1] AS term
+  FROM (SELECT words, unnest(range(len(words))) AS place FROM (SELECT DISTINCT words FROM windows))),
+ranked AS (
+  SELECT words, t.n, place, term, count(*) OVER (PARTITION BY words) AS held,
+    row_number() OVER (PARTITION BY words ORDER BY c.n, place) AS k
+  FROM terms t JOIN counts c USING (term)),
+anchors AS (SELECT * FROM ranked WHERE k <= 3 AND held >= ceil(0.8::DOUBLE * n)),
+seeds AS (
+  SELECT words, n, t, pos - place AS start FROM anchors JOIN places USING (term) WHERE k = 1),
+beside AS (  -- the least distance of each other anchor
+  SELECT s.words, s.t, s.start, a.k, min(abs(p.pos - a.place - s.start)) AS off
+  FROM seeds s JOIN anchors a ON a.words = s.words AND a.k > 1
+    JOIN places p ON p.t = s.t AND p.term = a.term AND abs(p.pos - a.place - s.start) <= 3
+  GROUP BY ALL),
+candidates AS (
+  SELECT s.words, s.n, s.t, s.start FROM seeds s LEFT JOIN beside b USING (words, t, start)
+  GROUP BY s.words, s.n, s.t, s.start
+  HAVING count(b.k) = (SELECT count(*) FROM anchors a WHERE a.words = s.words) - 1),
+placed AS (
+  SELECT c.words, c.n, c.t, c.start, count(DISTINCT x.place) AS near,
+    count(DISTINCT x.place) FILTER (p.pos = c.start + x.place) AS same
+  FROM candidates c JOIN terms x ON x.words = c.words
+    JOIN places p ON p.t = c.t AND p.term = x.term AND abs(p.pos - x.place - c.start) <= 3
+  GROUP BY ALL),
+matched AS (
+  SELECT words, n, t, start, same = n AS exact FROM placed
+  WHERE same = n OR near >= ceil(0.8::DOUBLE * n)),
+hits AS (
+  SELECT t, count(DISTINCT pos) AS n_hit
+  FROM (SELECT t, unnest(range(start, start + n)) AS pos FROM matched WHERE exact) GROUP BY t),
+named AS (
+  SELECT t, item, bool_or(exact) AS exact FROM matched JOIN windows USING (words) GROUP BY t, item),
+lists AS (
+  SELECT t, count(*) FILTER (exact) AS n_items, count(*) FILTER (NOT exact) AS n_near_items,
+    coalesce(string_agg(item, ',' ORDER BY item) FILTER (exact), '') AS items
+  FROM named GROUP BY t)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM texts LEFT JOIN hits USING (t) LEFT JOIN lists USING (t)
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_decontamination": DECONTAMINATION,
     "op11_filter_audit": FILTER_AUDIT,
     "op1_source_mix": SOURCE_MIX, "op4_quality_rules": QUALITY_RULES,
     "op8_license_scan": LICENSE_SCAN, "op9_url_rules": URL_SCAN,

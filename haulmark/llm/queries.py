@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import (filter_audit, licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
+from haulmark.llm import (decontamination, filter_audit, licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
                           simhash, token_counts, url_rules)
 from haulmark.llm.text import n_words, text_of
 from haulmark.session import staged
@@ -149,3 +149,14 @@ def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     """What each of five filters removes at each step of every order, by source."""
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic")
     return filter_audit.audit_documents(documents(spark, d).select("doc_id", "text", "source"), labels)
+
+
+@query
+def op13_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its words inside benchmark windows and the items they come from."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
+    return decontamination.scan(documents(spark, d).select("doc_id", "text"), items).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"))
