@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.llm import (decontamination, filter_audit, licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
-                          simhash, token_counts, url_rules)
+                          simhash, token_counts, tokenizer_alignment, url_rules)
 from haulmark.llm.text import n_words, text_of
 from haulmark.session import staged
 
@@ -151,6 +151,13 @@ def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     return filter_audit.audit_documents(documents(spark, d).select("doc_id", "text", "source"), labels)
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its aligned groups and links of two tokenizers."""
+    docs = documents(spark, d).select(F.col("doc_id").cast("bigint"), "text")
+    return tokenizer_alignment.aligned(docs).withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op13_decontamination(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its words inside benchmark windows and the items they come from."""
