@@ -6,9 +6,8 @@ these terms alone, a few words in a hundred. The lists are then intersected, the
 start that a posting implies (position less the term's offset in the window):
 
 1. the rarest term's postings propose (window, text, start);
-2. those whose text lacks one of the other anchors go;
-3. the others' lists are met at the offset-adjusted position, or up to ``SLACK`` words beside it;
-4. in the texts that are left, and only there, the remaining terms of the window are met the same way.
+2. the next anchors' lists are met at the offset-adjusted position, or up to ``SLACK`` words beside it;
+3. in the texts that are left, and only there, all terms of the window are met the same way.
 
 A window is an exact match where all its words stand in place. It is a proximity match, where it is no
 exact one, if at least ``NEAR_SHARE`` of its words stand within ``SLACK`` words of their place (inserted,
@@ -36,12 +35,11 @@ from haulmark.llm.text import text_of
 from haulmark.session import staged
 
 WINDOW = 10
-ANCHORS = 3
+ANCHORS = 2
 SLACK = 3
 NEAR_SHARE = 0.8
 # Fixed value: the characters that separate words once A-Z are lower-cased, all of ASCII but 0-9 and a-z.
 SEPARATORS = "".join(chr(c) for c in range(128) if chr(c) not in string.ascii_letters + string.digits)
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str = "text") -> Column:
@@ -68,10 +66,13 @@ def windows_of(items: DataFrame, window: int = WINDOW, text: str = "text",
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): how often each of ``terms`` stands in the corpus, where it does."""
+    """(term, n): how often each of the distinct ``terms`` stands in the corpus, where it does.
+
+    The corpus is counted before it meets the terms, so any number of them costs one pass.
+    """
     found = docs.select(F.explode(words_of(text)).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n"))
-    return found.join(terms, "term", "left_semi")
+    return found.join(terms, "term")
 
 
 def anchored(windows: DataFrame, counts: DataFrame, share: float, anchors: int = ANCHORS
@@ -91,25 +92,39 @@ def anchored(windows: DataFrame, counts: DataFrame, share: float, anchors: int =
             F.get("terms", F.lit(0)), anchors - F.size(chosen))).alias("anchors"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, term, pos) of every place of ``terms`` in the distinct texts."""
-    return (docs.select(text_key(text).alias("text_key"),
-                        F.posexplode(words_of(text)).alias("pos", "term"))
-            .join(terms, "term", "left_semi").distinct())
+def postings(docs: DataFrame, terms: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """(text_key, term, pos) of every place of ``terms``, or of all terms, in the distinct texts."""
+    # named before they are exploded: what stands beside a generator is computed for each of its rows
+    words = docs.select(text_key(text).alias("text_key"), words_of(text).alias("words"))
+    places = words.select("text_key", F.posexplode("words").alias("pos", "term"))
+    return (places if terms is None else places.join(terms, "term", "left_semi")).distinct()
 
 
-def _beside(proposed: DataFrame, index: DataFrame, k: int, slack: int) -> DataFrame:
-    """``proposed`` (text_key, win, start, anchors, off) whose anchor ``k`` stands at most ``slack``
+def _met(places: DataFrame, index: DataFrame, slack: int) -> DataFrame:
+    """``places`` (text_key, term, at, others) that have a posting at most ``slack`` words beside ``at``,
+    with the distance in ``off``, a row for each such posting.
+
+    Both sides are cut into stretches of positions, so a term that fills a text meets few rows.
+    """
+    if not slack:
+        return places.join(index.withColumnRenamed("pos", "at"), ["text_key", "term", "at"]).withColumn(
+            "off", F.lit(0))
+    width = 4 * slack + 1
+    near = [F.floor((F.col("at") + k) / width) for k in (-slack, slack)]
+    wanted = places.withColumn("stretch", F.explode(F.array_distinct(F.array(*near))))
+    held = index.withColumn("stretch", F.floor(F.col("pos") / width))
+    return (wanted.join(held, ["text_key", "term", "stretch"])
+            .withColumn("off", F.abs(F.col("pos") - F.col("at")).cast("int"))
+            .where(F.col("off") <= slack))
+
+
+def _beside(proposed: DataFrame, anchors: DataFrame, index: DataFrame, slack: int) -> DataFrame:
+    """``proposed`` (text_key, win, start, off) whose anchor (win, term, place) stands at most ``slack``
     words beside its place; ``off`` becomes the largest distance of any anchor so far."""
-    anchor = F.get("anchors", F.lit(k))
-    wanted = proposed.select(
-        "text_key", "win", "start", "anchors", "off", anchor["term"].alias("term"),
-        F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("shift")).withColumn(
-        "pos", F.col("start") + anchor["place"] + F.col("shift"))
-    met = wanted.join(index, ["text_key", "term", "pos"])
-    return met.groupBy("text_key", "win", "start").agg(
-        F.first("anchors").alias("anchors"),
-        F.greatest(F.first("off"), F.min(F.abs("shift"))).alias("off"))
+    wanted = proposed.withColumnRenamed("off", "before").join(anchors, "win").withColumn(
+        "at", F.col("start") + F.col("place"))
+    return _met(wanted, index, slack).groupBy("text_key", "win", "start").agg(
+        F.greatest(F.max("before"), F.min("off")).alias("off"))
 
 
 def _placed(candidates: DataFrame, windows: DataFrame, index: DataFrame, slack: int) -> DataFrame:
@@ -117,12 +132,10 @@ def _placed(candidates: DataFrame, windows: DataFrame, index: DataFrame, slack:
     ``slack`` words beside it."""
     places = candidates.join(windows.select("win", "words"), "win").select(
         "text_key", "win", "start", F.size("words").alias("n"),
-        F.posexplode("words").alias("place", "term"))
-    wanted = places.withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))) \
-        .withColumn("pos", F.col("start") + F.col("place") + F.col("shift"))
-    met = wanted.join(index, ["text_key", "term", "pos"])
+        F.posexplode("words").alias("place", "term")).withColumn(
+        "at", F.col("start") + F.col("place"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
-    return met.groupBy("text_key", "win", "start", "n").agg(
+    return _met(places, index, slack).groupBy("text_key", "win", "start", "n").agg(
         F.bit_count(F.bit_or(bit)).alias("found"))
 
 
@@ -136,32 +149,25 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int
         raise ValueError("a window has 1 to 62 words")
     of_items = staged(windows_of(items, window, text, item_id).distinct(), "windows")
     distinct = of_items.select("win", "words").dropDuplicates(["win"])
-    terms = distinct.select(F.explode("words").alias("term")).distinct()
+    terms = staged(distinct.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = term_counts(docs, terms, text)
     held = staged(anchored(distinct, counts, share if slack else 1.0), "anchored")
-    rare = held.select(F.explode("anchors.term").alias("term")).distinct()
+    rare = staged(held.select(F.explode("anchors.term").alias("term")).distinct(), "rare-terms")
     index = staged(postings(docs, rare, text), "postings")
 
-    first = F.get("anchors", F.lit(0))
-    seeds = held.select("win", "anchors", first["term"].alias("term"), first["place"].alias("place"))
-    proposed = seeds.join(index, "term").select(
-        "text_key", "win", "anchors", (F.col("pos") - F.col("place")).alias("start"),
-        F.lit(0).alias("off"))
-    if not slack:
-        proposed = proposed.where("start >= 0")
-    lists = index.select("text_key", F.col("term").alias("other")).distinct()
-    for k in range(1, ANCHORS):
-        proposed = proposed.withColumn("other", F.get("anchors", F.lit(k))["term"]).join(
-            lists, ["text_key", "other"], "left_semi").drop("other")
+    def anchor(k: int) -> DataFrame:
+        chosen = F.get("anchors", F.lit(k))
+        return staged(held.select("win", chosen["term"].alias("term"), chosen["place"].alias("place")),
+                      "anchor")
+
+    proposed = anchor(0).join(index, "term").select(
+        "text_key", "win", (F.col("pos") - F.col("place")).alias("start"), F.lit(0).alias("off"))
     for k in range(1, ANCHORS):
-        proposed = _beside(proposed, index, k, slack)
-    candidates = staged(proposed.select("text_key", "win", "start", "off"), "candidates")
-
-    texts = candidates.select("text_key").distinct()
-    full = staged(docs.select(text_key(text).alias("text_key"), F.col(text).alias("text"))
-                  .join(texts, "text_key", "left_semi")
-                  .select("text_key", F.posexplode(words_of("text")).alias("pos", "term"))
-                  .distinct(), "full-postings")
+        proposed = _beside(proposed, anchor(k), index, slack)
+    candidates = staged(proposed, "candidates")
+    texts = staged(candidates.select("text_key").distinct(), "texts")
+    full = staged(postings(docs.select(F.col(text).alias("text")).join(
+        texts, text_key("text") == F.col("text_key"), "left_semi")), "full-postings")
     exact = staged(_placed(candidates.where("off = 0"), held, full, 0)
                    .where("found = n").select("text_key", "win", "start", "n"), "exact")
     found = exact.withColumn("exact", F.lit(True))
@@ -190,8 +196,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = S
         F.sort_array(F.collect_list(F.when(~F.col("exact"), F.col("item")))).alias("near_items"))
     results = staged(lists.join(hits, "text_key", "left"), "results")
     none = F.array().cast("array<string>")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.coalesce(
-        F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"),
+                       F.size(words_of(text)).cast("bigint").alias("n_words"))
     return rows.join(results, "text_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))

@@ -209,7 +209,7 @@ ranked AS (
   SELECT words, t.n, place, term, count(*) OVER (PARTITION BY words) AS held,
     row_number() OVER (PARTITION BY words ORDER BY c.n, place) AS k
   FROM terms t JOIN counts c USING (term)),
-anchors AS (SELECT * FROM ranked WHERE k <= 3 AND held >= ceil(0.8::DOUBLE * n)),
+anchors AS (SELECT * FROM ranked WHERE k <= 2 AND held >= ceil(0.8::DOUBLE * n)),
 seeds AS (
   SELECT words, n, t, pos - place AS start FROM anchors JOIN places USING (term) WHERE k = 1),
 beside AS (  -- the least distance of each other anchor
