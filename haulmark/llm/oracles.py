@@ -66,12 +66,17 @@ judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM judged GROUP BY source),
-moments AS (SELECT avg(k / n) AS mean, coalesce(var_samp(k / n), 0) AS spread FROM hosts),
+moments AS (
+  SELECT coalesce(avg(k / n), 0) AS mean, coalesce(var_samp(k / n), 0) AS spread
+  FROM hosts WHERE k / n <= 0.5),
 prior AS (
   SELECT mean, CASE WHEN spread > 0 AND spread < mean * (1 - mean)
-    THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 1e6) ELSE 1.0 END AS strength
+    THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 100.0) ELSE 1.0 END AS strength
   FROM moments),
-bad AS (SELECT source FROM hosts, prior WHERE (k + mean * strength) / (n + strength) > 0.9)
+rates AS (SELECT source, n + strength AS weight, (k + mean * strength) / (n + strength) AS rate
+  FROM hosts, prior),
+bad AS (
+  SELECT source FROM rates WHERE rate - 3.0 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (
     SELECT 1 FROM bad b WHERE b.source IS NOT DISTINCT FROM j.source) AS kept

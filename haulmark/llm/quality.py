@@ -1,10 +1,13 @@
 """Quality rules for documents and for the hosts they come from.
 
 A document fails the base rules with too few words, or with too many words in five-word windows that
-repeat. Failures are counted by host; each host's failure rate is shrunk towards the corpus by a
-beta prior whose parameters are fitted to the hosts' rates (method of moments). A host whose shrunk
-rate exceeds ``MAX_HOST_RATE`` is rejected with all its documents, so the verdict falls only on hosts
-with next to nothing worth keeping; a host with few documents is pulled to the corpus rate.
+repeat. Failures are counted by host; each host's failure rate is shrunk by a beta prior whose parameters
+are fitted by the method of moments to the rates of the hosts that do not stand out (at most
+``MAX_HOST_RATE``), so a bad host cannot loosen the prior that judges it. The prior weighs at most
+``MAX_STRENGTH`` documents, so that with many alike hosts a host's own documents still count. A host is
+rejected with all its documents when its rate lies above ``MAX_HOST_RATE`` by ``MARGIN`` posterior standard
+deviations, that is, when most of its documents fail beyond doubt: a host with few documents is pulled to
+the others' rate, one with many that fails a little more often than the rest keeps its clean documents.
 
 Defined results: a null or empty text has no words and fails. A null host is a host of its own. With
 no documents there are no hosts and no verdicts. Equal documents get equal results, repeated rows
@@ -24,7 +27,9 @@ from pyspark.sql import types as T
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MAX_HOST_RATE = 0.9
+MAX_HOST_RATE = 0.5
+MAX_STRENGTH = 100.0
+MARGIN = 3.0
 MEASURES = T.StructType([T.StructField(name, T.LongType()) for name in (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 # The symbols counted, and the white space that separates words.
@@ -82,25 +87,30 @@ def measured(docs: DataFrame, text: str = "text", into: str = "_m") -> DataFrame
     return docs.withColumn(into, _measures(F.col(text)))
 
 
-def rejected_hosts(judged: DataFrame, host: str, failed: str,
-                   max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Hosts whose shrunk failure rate exceeds ``max_rate``, with the rate.
+def rejected_hosts(judged: DataFrame, host: str, failed: str, max_rate: float = MAX_HOST_RATE,
+                   fit_below: float = MAX_HOST_RATE) -> DataFrame:
+    """Hosts whose failure rate lies credibly above ``max_rate``, with the shrunk rate and its lower bound.
 
-    One row per host reaches the shuffle from each task; the prior's two moments, one row, go to the
-    driver.
+    The prior is fitted to hosts with a rate of at most ``fit_below``. One row per host reaches the
+    shuffle from each task; the prior's two moments, one row, go to the driver.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("bigint")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("spread"))
+    moments = hosts.where(rate <= fit_below).agg(F.avg(rate).alias("mean"),
+                                                 F.var_samp(rate).alias("spread"))
     # Without spread between hosts, or with more than a beta distribution can have, the prior weighs
     # one document.
     row = moments.first()
     mean, spread = row["mean"] or 0.0, row["spread"] or 0.0
     room = mean * (1 - mean)
-    strength = min(max(room / spread - 1, 1.0), 1e6) if 0 < spread < room else 1.0
+    strength = min(max(room / spread - 1, 1.0), MAX_STRENGTH) if 0 < spread < room else 1.0
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("shrunk_rate", shrunk).where(F.col("shrunk_rate") > max_rate)
+    deviation = F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate"))
+                       / (F.col("n_docs") + strength + 1))
+    return (hosts.withColumn("shrunk_rate", shrunk)
+            .withColumn("lower_rate", F.col("shrunk_rate") - MARGIN * deviation)
+            .where(F.col("lower_rate") > max_rate))
 
 
 def verdicts(judged: DataFrame, host: str, failed: str,
