@@ -1,6 +1,7 @@
 """Registered queries that fit models or group lanes.
 
-Fitted forests, boosted trees and k-means have no SQL equivalent; tests check their invariants. Every
+Linear models are solved from sums in ``normal_equations`` and have oracles. Fitted forests, boosted trees
+and k-means have no SQL equivalent; tests check their invariants. Every
 operator around them (splits, metrics, cross-validation, selection, residuals, standardisation,
 assignment, labels, silhouette) is also registered over a predictor or centres that SQL can follow.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from haulmark.functions.portable import fold, is_holdout
 from haulmark.functions.text import calendar_features
 from haulmark.operators import clusters, derive, lanes, models, moves
+from haulmark.operators import normal_equations as lsq
 from haulmark.plans.queries import BASE, NETWORK, cells, lines, query, tidy
 from haulmark.session import staged
 from haulmark.sources import warehouse as W
@@ -119,66 +121,97 @@ def temporal_holdout(spark, d):
         weight="n", ridge=True, depth=DEPTH))[0])
 
 
-# Nested feature sets: (name, numeric, categorical).
-ABLATION = (
-    ("Ship mode", [], ["ship_mode"]),
-    ("+ calendar", ["month", "weekday"], ["ship_mode"]),
-    ("+ order size", ["month", "weekday", "units"], ["ship_mode"]),
-    ("+ distance", ["month", "weekday", "units", "distance_km"], ["ship_mode"]),
-    ("+ region & factory", ["month", "weekday", "units", "distance_km"],
-     ["ship_mode", "region", "current_factory"]),
-)
+# Nested feature sets, (numeric, categorical) by name.
+_SIZE = ["month", "weekday", "units"]
+ABLATION = {
+    "Ship mode": ([], ["ship_mode"]),
+    "+ calendar": (["month", "weekday"], ["ship_mode"]),
+    "+ order size": (_SIZE, ["ship_mode"]),
+    "+ distance": ([*_SIZE, "distance_km"], ["ship_mode"]),
+    "+ region & factory": ([*_SIZE, "distance_km"], ["ship_mode", "region", "current_factory"]),
+}
+BASES = {"state": "distance_km", "region": "region_km"}
+STATE_OR_DISTANCE = {
+    "Ship mode + state dummies": ([], ["ship_mode", "state"]),
+    "Ship mode + distance": (["distance_km"], ["ship_mode"]),
+    "Ship mode + state + distance": (["distance_km"], ["ship_mode", "state"]),
+}
+
+
+def ablation_sets() -> dict[str, lsq.FeatureSet]:
+    """Every feature set on either distance basis, named ``basis|set``."""
+    return {f"{basis}|{name}": lsq.FeatureSet(
+        [column if c == "distance_km" else c for c in numeric], categorical)
+        for basis, column in BASES.items() for name, (numeric, categorical) in ABLATION.items()}
 
 
 @query
 def feature_ablation(spark, d):
-    """Cross-validated R2 of growing feature sets, on state and on region distances."""
-    rows = _training_lines(spark, d).withColumns(calendar_features(F.col("order_date")))
+    """Cross-validated R2 of growing feature sets, on state and on region distances, from one table of
+    sums per fold."""
+    rows = _marked(spark, d).withColumns(calendar_features(F.col("order_date")))
     # A bounded table, stored so that Spark knows its size before it plans the join of the lines.
     by_region = staged(rows.groupBy("region", "current_factory").agg(
         F.avg("distance_km").alias("region_km")), "region-km")
     rows = rows.join(by_region, ["region", "current_factory"])
-    out = []
-    for basis, column in (("state", "distance_km"), ("region", "region_km")):
-        for name, numeric, categorical in ABLATION:
-            if basis == "region" and "distance_km" not in numeric:
-                continue
-            features = models.Features([column if c == "distance_km" else c for c in numeric],
-                                       categorical)
-            keys = features.all()
-            grid = models.training_cells(models.numbers_as_double(rows, features),
-                                         "lead_time_days", keys, ["fold"])
-            out.append((basis, name, features, grid))
-
-    def one(basis, name, features, grid):
-        linear = {"Linear Regression": models.estimators(weight="n")["Linear Regression"]}
-        folds = models.cross_validate(staged(grid, "grid"), features, linear, cells=True)
-        return models.cv_summary(folds).select(
-            F.lit(basis).alias("distance_basis"), F.lit(name).alias("feature_set"), "cv_r2_mean",
-            "cv_r2_std")
-
-    found = models.in_parallel([lambda o=o: one(*o) for o in out])
-    both = models.union(found)
-    # Sets without a distance are the same on either basis.
-    shared = both.where(~F.col("feature_set").isin("+ distance", "+ region & factory"))
-    return tidy(both.unionByName(shared.withColumn("distance_basis", F.lit("region"))))
+    out = lsq.cross_validated(rows, ablation_sets(), "label", "fold", models.FOLDS)
+    return tidy(out.select(
+        F.substring_index("set", "|", 1).alias("distance_basis"),
+        F.substring_index("set", "|", -1).alias("feature_set"), "cv_r2_mean", "cv_r2_std"))
 
 
 @query
 def state_vs_distance(spark, d):
-    rows = _training_lines(spark, d)
-    sets = (("Ship mode + state dummies", [], ["ship_mode", "state"]),
-            ("Ship mode + distance", ["distance_km"], ["ship_mode"]),
-            ("Ship mode + state + distance", ["distance_km"], ["ship_mode", "state"]))
-
-    def one(name, numeric, categorical):
-        features = models.Features(numeric, categorical)
-        grid = staged(models.training_cells(rows, "lead_time_days", features.all(), ["fold"]), "grid")
-        linear = {"Linear Regression": models.estimators(weight="n")["Linear Regression"]}
-        folds = models.cross_validate(grid, features, linear, cells=True)
-        return models.cv_summary(folds).select(F.lit(name).alias("comparison"), "cv_r2_mean")
-
-    return tidy(models.union(models.in_parallel([lambda s=s: one(*s) for s in sets])))
+    sets = {name: lsq.FeatureSet(*s) for name, s in STATE_OR_DISTANCE.items()}
+    out = lsq.cross_validated(_marked(spark, d), sets, "label", "fold", models.FOLDS)
+    return tidy(out.select(F.col("set").alias("comparison"), "cv_r2_mean"))
+
+
+LINEAR_SETS = {"proxy features": lsq.FeatureSet(models.PROXY_NUMERIC, models.PROXY_CATEGORICAL),
+               "all features": lsq.FeatureSet(models.LEAD_NUMERIC, models.LEAD_CATEGORICAL)}
+
+
+@query
+def linear_cv(spark, d):
+    """Cross-validated metrics of the linear model on both feature sets."""
+    out = lsq.cross_validated(_marked(spark, d), LINEAR_SETS, "label", "fold", models.FOLDS)
+    return tidy(out.withColumnRenamed("set", "features"))
+
+
+def _linear(rows: DataFrame, sets: dict[str, lsq.FeatureSet], test: str, penalty: float = 0.0
+            ) -> DataFrame:
+    """Least squares on the rows where ``test`` is false, with the sums of those where it is true."""
+    whole = lsq.FeatureSet(sorted({c for s in sets.values() for c in s.numeric}),
+                           sorted({c for s in sets.values() for c in s.categorical}))
+    sums = lsq.moments(rows, whole, "label", test)
+    return lsq.solved(lsq.one_against(sums, sets), penalty)
+
+
+@query
+def linear_holdout(spark, d):
+    """Hold-out metrics of the linear model on both feature sets."""
+    out = lsq.scores(_linear(_marked(spark, d), LINEAR_SETS, "is_holdout"))
+    return tidy(out.select(F.col("set").alias("features"), "n", "r2", "rmse"))
+
+
+@query
+def ridge_temporal(spark, d):
+    """Ridge and plain least squares of the early lines, scored on the late ones."""
+    rows = models.temporal_split(_marked(spark, d))
+    sets = {"proxy": LINEAR_SETS["proxy features"]}
+    out = [lsq.scores(_linear(rows, sets, "is_late", penalty)).withColumn("model", F.lit(name))
+           for name, penalty in (("Linear Regression", 0.0), ("Ridge", 1.0))]
+    return tidy(models.union(out).select("model", "n", "r2", "rmse"))
+
+
+@query
+def linear_reallocation(spark, d):
+    """Every product at every factory, days predicted by least squares on the proxy features."""
+    proxy = LINEAR_SETS["proxy features"]
+    fitted = staged(_linear(_marked(spark, d), {"proxy": proxy}, "is_holdout"), "coefficients")
+    days = moves.factory_days(cells(spark, d), NETWORK, lsq.predictor(fitted, proxy))
+    return tidy(moves.simulate_reallocation(days, BASE.freight_cost_per_unit_per_1000km), 4,
+                whatif_profit=2)
 
 
 @query

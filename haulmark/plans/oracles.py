@@ -773,6 +773,113 @@ add("linear_distance_fit", MODEL, f"""SELECT {rounded('distance_km, prediction')
   SELECT distance_km, a+b*distance_km AS prediction FROM (SELECT DISTINCT distance_km FROM ml WHERE NOT h),
     (SELECT regr_intercept(y,distance_km) AS a, regr_slope(y,distance_km) AS b FROM ml WHERE NOT h))""")
 
+
+# ---- least squares: normal equations over lines, solved by a recursive query ------------------------
+
+def least_squares(source: str, part: str, sets: dict, cases: str, penalty: float = 0.0) -> str:
+    """CTEs up to ``fitted`` (s, k, names, beta, n, r2, rmse): for every set of features and case k the
+    solution over the lines of ``source`` (with y) whose part is not k, scored on those of part k."""
+    numeric = sorted({c for s in sets.values() for c in s[0]})
+    levels = sorted({c for s in sets.values() for c in s[1]})
+    one = "CAST(1 AS DOUBLE)"
+    named = ([("'(one)'", one)] + [(lit(c), f"CAST({c} AS DOUBLE)") for c in numeric]
+             + [(f"{lit(c + '=')}||{c}", one) for c in levels] + [("'(target)'", "CAST(y AS DOUBLE)")])
+    features = ", ".join(f"struct_pack(name:={n}, x:={x})" for n, x in named)
+    of_set = ", ".join(f"({lit(s)}, [{', '.join(lit(c) for c in ('(one)', '(target)', *a, *b))}])"
+                       for s, (a, b) in sets.items())
+    ridge = f"""list_transform(m0, lambda row, i: list_transform(row, lambda v, j: CASE
+      WHEN i=j AND i>1 THEN v+{penalty!r}*(v-row[1]*row[1]/m0[1][1]) ELSE v END))""" if penalty else "m0"
+    return f"""lf AS (SELECT CAST({part} AS INTEGER) AS part, [{features}] AS f FROM {source}),
+la AS (SELECT part, f, unnest(f) AS a FROM lf), lp2 AS (SELECT part, a, unnest(f) AS b FROM la),
+gram AS (SELECT part, a.name AS i, b.name AS j, sum(a.x*b.x) AS v FROM lp2 GROUP BY ALL),
+fs2(s, terms) AS (VALUES {of_set}),
+held AS (SELECT s, k, i, j, coalesce(sum(v) FILTER (part<>k),0) AS train,
+    coalesce(sum(v) FILTER (part=k),0) AS test FROM gram JOIN fs2 ON list_contains(terms, split_part(i,'=',1))
+    AND list_contains(terms, split_part(j,'=',1)), {cases} c(k) GROUP BY ALL),
+nm AS (SELECT s, k, list_sort(list(DISTINCT i)) AS names FROM held WHERE i<>'(target)' GROUP BY ALL),
+na AS (SELECT s, k, unnest(names) AS i, names FROM nm),
+nb AS (SELECT s, k, i, unnest(list_append(names,'(target)')) AS j FROM na),
+full2 AS (SELECT nb.s, nb.k, nb.i, nb.j, coalesce(train,0) AS train, coalesce(test,0) AS test
+  FROM nb LEFT JOIN held h ON h.s=nb.s AND h.k=nb.k AND h.i=nb.i AND h.j=nb.j),
+rw AS (SELECT s, k, i, list(train ORDER BY j='(target)', j) AS tr, list(test ORDER BY j='(target)', j) AS te
+  FROM full2 GROUP BY ALL),
+m0 AS (SELECT s, k, list(tr ORDER BY i) AS m0, list(te ORDER BY i) AS t FROM rw GROUP BY ALL),
+mm AS (SELECT s, k, t, {ridge} AS m FROM m0),
+md AS (SELECT *, list_transform(m, lambda row, i: row[i]) AS diag FROM mm),
+gj AS (SELECT s, k, 1 AS step, m, diag, CAST([] AS BOOLEAN[]) AS used FROM md
+  UNION ALL SELECT s, k, step+1, CASE WHEN m[step][step]>diag[step]*1e-10 THEN
+      list_transform(m, lambda row, i: CASE WHEN i=step THEN list_transform(row, lambda x: x/m[step][step])
+        ELSE list_transform(row, lambda x, j: x-row[step]/m[step][step]*m[step][j]) END)
+    ELSE m END, diag, list_append(used, m[step][step]>diag[step]*1e-10) FROM gj WHERE step<=len(m)),
+bt AS (SELECT gj.s, gj.k, names, t, list_transform(gj.m, lambda row, i:
+    CASE WHEN used[i] THEN row[len(row)] ELSE 0 END) AS beta
+  FROM gj JOIN md USING (s, k) JOIN nm USING (s, k) WHERE step=len(gj.m)+1),
+fitted AS (SELECT s, k, names, beta, n, 1-sse/nullif(yy-sy*sy/n,0) AS r2, sqrt(sse/n) AS rmse FROM (
+  SELECT s, k, names, beta, t[1][1] AS n, t[1][len(beta)+1] AS sy, yy, yy+list_sum(list_transform(t,
+    lambda row, i: beta[i]*(list_sum(list_transform(beta, lambda b, j: b*row[j]))-2*row[len(row)]))) AS sse
+  FROM bt JOIN (SELECT s, k, test AS yy FROM held WHERE i='(target)' AND j='(target)') USING (s, k)))"""
+
+
+def cv_of(sets: dict, source: str = "ml") -> str:
+    return least_squares(source, "fold", sets, "range(0,5)") + """,
+cl AS (SELECT s, avg(r2) AS cv_r2_mean, stddev_samp(r2) AS cv_r2_std, avg(rmse) AS cv_rmse_mean,
+  stddev_samp(rmse) AS cv_rmse_std FROM fitted GROUP BY s)"""
+
+
+RMODEL = "RECURSIVE " + MODEL
+_SIZE = ["month", "weekday", "units"]
+_GROWING = [("Ship mode", [], ["ship_mode"]), ("+ calendar", _SIZE[:2], ["ship_mode"]),
+            ("+ order size", _SIZE, ["ship_mode"]), ("+ distance", [*_SIZE, "km"], ["ship_mode"]),
+            ("+ region & factory", [*_SIZE, "km"], ["ship_mode", "region", "current_factory"])]
+_ABLATION = {f"{basis}|{name}": ([column if c == "km" else c for c in a], b)
+             for basis, column in (("state", "distance_km"), ("region", "region_km"))
+             for name, a, b in _GROWING}
+add("feature_ablation", RMODEL + """, rk AS (SELECT region, current_factory, avg(distance_km) AS region_km
+    FROM ml GROUP BY ALL),
+  mk AS (SELECT *, month(order_date) AS month, isodow(order_date)-1 AS weekday
+    FROM ml JOIN rk USING (region, current_factory)), """ + cv_of(_ABLATION, "mk"),
+    f"""SELECT split_part(s,'|',1) AS distance_basis, split_part(s,'|',2) AS feature_set,
+  {rounded('cv_r2_mean, cv_r2_std')} FROM cl""")
+add("state_vs_distance", RMODEL + ", " + cv_of({
+    "Ship mode + state dummies": ([], ["ship_mode", "state"]),
+    "Ship mode + distance": (["distance_km"], ["ship_mode"]),
+    "Ship mode + state + distance": (["distance_km"], ["ship_mode", "state"])}),
+    f"SELECT s AS comparison, {rounded('cv_r2_mean')} FROM cl")
+_PROXY = (["distance_km"], ["ship_mode", "region", "product_name", "current_factory"])
+_LINEAR = {"proxy features": _PROXY, "all features": (
+    ["ship_mode_rank", "region_rank", "units", "distance_km", "sales"],
+    ["product_name", "current_factory", "region", "ship_mode", "division"])}
+add("linear_cv", RMODEL + ", " + cv_of(_LINEAR), "SELECT s AS features, " + rounded(
+    "cv_r2_mean, cv_r2_std, cv_rmse_mean, cv_rmse_std") + " FROM cl")
+add("linear_holdout", RMODEL + ", " + least_squares("ml", "h", _LINEAR, "range(1,2)"),
+    f"SELECT s AS features, {rounded('n, r2, rmse')} FROM fitted")
+add("linear_reallocation", RMODEL + ", " + least_squares("ml", "h", {"proxy": _PROXY}, "range(1,2)") + f""",
+cf AS (SELECT map(names, beta) AS c FROM fitted),
+pf AS (SELECT product_name, current_factory, factory, units, gross_profit, greatest(units,1) AS w,
+    region, ship_mode, {km('flat', 'flon', 'lat', 'lon')} AS km FROM ol, fac),
+fd AS (SELECT product_name, current_factory, factory, factory=current_factory AS is_incumbent,
+  sum(w*(c['(one)']+coalesce(c['ship_mode='||ship_mode],0)+coalesce(c['region='||region],0)
+    +coalesce(c['product_name='||product_name],0)+coalesce(c['current_factory='||factory],0)
+    +c['distance_km']*km))/sum(w) AS days, sum(w*km)/sum(w) AS distance_km, sum(units) AS units,
+  sum(gross_profit) AS gross_profit FROM pf, cf GROUP BY 1,2,3,4),
+x AS (SELECT a.product_name, a.current_factory, a.factory AS candidate_factory,
+  i.distance_km AS current_distance_km, a.distance_km AS candidate_distance_km, i.days AS baseline_days,
+  a.days AS new_days, i.days-a.days AS days_reduced, a.gross_profit,
+  -a.units*(a.distance_km-i.distance_km)/1000*0.15 AS profit_impact,
+  a.gross_profit-a.units*(a.distance_km-i.distance_km)/1000*0.15 AS whatif_profit
+  FROM fd a JOIN fd i ON a.product_name=i.product_name AND i.is_incumbent AND NOT a.is_incumbent)""",
+    f"""SELECT product_name, current_factory, candidate_factory, {rounded(
+        'current_distance_km:4, candidate_distance_km:4, baseline_days:4, new_days:4, days_reduced:4, '
+        'gross_profit:4, profit_impact:4, whatif_profit:2')} FROM x""")
+_LATE = "RECURSIVE " + BASE + """, dl AS (SELECT *, lead_time_days AS y,
+    date_diff('day', DATE '1970-01-01', order_date) AS day FROM ol),
+  lt AS (SELECT *, day>(SELECT quantile_cont(day,0.8) FROM dl) AS late FROM dl), """
+for _model, _penalty in (("Linear Regression", 0.0), ("Ridge", 1.0)):
+    ORACLES["ridge_temporal"] = (ORACLES["ridge_temporal"] + " UNION ALL " if "ridge_temporal" in ORACLES
+                                 else "") + f"""SELECT * FROM (WITH {_LATE + least_squares(
+        'lt', 'late', {'proxy': _PROXY}, 'range(1,2)', _penalty)}
+  SELECT {lit(_model)} AS model, {rounded('n, r2, rmse')} FROM fitted)"""
+
 _MEASURES = ("order_count", "mean_lead", "p90_lead", "lead_std", "mean_distance", "mean_units")
 _Z = ", ".join(f"(lp.{m}-avg(lp.{m}) FILTER (WHERE order_count>=30) OVER ())"
                f"/stddev_samp(lp.{m}) FILTER (WHERE order_count>=30) OVER () AS z_{m}"
