@@ -241,28 +241,38 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Feat
     """Mean and deviation of the R2 lost when one feature is shuffled among the held-out rows.
 
     Rows are numbered by the hash of their key, and once per repeat by the hash of key and repeat;
-    a row's partner is the row with its number in the other order. All features and repeats are
-    scored in one job: no order is taken in a single task, and no loop runs jobs.
+    a row's partner is the row with its number in the other order. Only numbers are sorted: the features
+    cross the shuffle once to meet them and once per repeat to reach their partner. There every feature's
+    prediction is added to the row in place and errors are summed per repeat, so nothing is expanded by
+    feature. ``model`` is anything whose ``transform`` adds a ``prediction``.
     """
     names = features.all()
-    base = with_hash_index(test.select(*names, label, key.cast("string").alias("_key")),
-                           F.col("_key"), "_at")
-    shuffled = base.select(F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"),
-                           F.struct(*names).alias("other"), "_key")
-    partner = with_hash_index(shuffled, F.concat_ws("#", "_key", "repeat"), "_at", by=["repeat"])
-    paired = base.drop("_key").join(partner.select("repeat", "other", "_at"), "_at")
-
-    def variant(feature: str | None) -> Column:
-        return F.struct(F.lit(feature or "").alias("feature"), "repeat", label, *[
-            (F.col("other")[n] if n == feature else F.col(n)).alias(n) for n in names])
-
-    each = paired.select(F.explode(F.array(*[variant(n) for n in [None, *names]])).alias("v"))
-    scores = metrics(model.transform(each.select("v.*")), ["feature", "repeat"], label)
-    whole = scores.where("feature = ''").select("repeat", F.col("r2").alias("r2_whole"))
-    return (scores.where("feature <> ''").join(whole, "repeat").groupBy("feature")
-            .agg(F.avg(F.col("r2_whole") - F.col("r2")).alias("importance_mean"),
-                 F.coalesce(F.stddev_pop(F.col("r2_whole") - F.col("r2")), F.lit(0.0))
-                 .alias("importance_std")))
+    key_of = F.struct(*names).alias("own"), F.col(label).cast("double").alias("y"), key.cast(
+        "string").alias("_key")
+    base = with_hash_index(test.select(*key_of), F.col("_key"), "_at")
+    orders = base.select("_key", "_at", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    numbers = with_hash_index(orders, F.concat_ws("#", "_key", "repeat"), "_to", by=["repeat"]).select(
+        "repeat", "_at", "_to")
+    moved = base.select("_at", F.col("own").alias("other")).join(numbers, "_at").select(
+        "repeat", "other", F.col("_to").alias("_at"))
+    scored = base.select("_at", "own", "y").join(moved, "_at").select("repeat", "y", "own", "other")
+
+    variants = {"p_whole": None} | {f"p_{i}": n for i, n in enumerate(names)}
+    for column, changed in variants.items():
+        placed = scored.select("*", *[F.col("other" if n == changed else "own")[n].alias(n)
+                                      for n in names])
+        scored = model.transform(placed).select(*scored.columns, F.col("prediction").alias(column))
+
+    y = F.col("y")
+    sums = scored.groupBy("repeat").agg((F.var_pop(y) * F.count(F.lit(1))).alias("sst"), *[
+        F.sum((y - F.col(c)) * (y - F.col(c))).alias(c) for c in variants])
+    sst = F.nullif(F.col("sst"), F.lit(0.0))
+    lost = sums.select(F.explode(F.array(*[F.struct(
+        F.lit(n).alias("feature"), ((F.col(c) - F.col("p_whole")) / sst).alias("r2_lost"))
+        for c, n in variants.items() if n is not None])).alias("v")).select("v.*")
+    return lost.groupBy("feature").agg(
+        F.avg("r2_lost").alias("importance_mean"),
+        F.coalesce(F.stddev_pop("r2_lost"), F.lit(0.0)).alias("importance_std"))
 
 
 def temporal_split(rows: DataFrame, date: str = "order_date", share: float = 0.8) -> DataFrame:

@@ -217,6 +217,16 @@ def prediction(fitted: DataFrame, features: FeatureSet) -> Column:
     return sum(parts, weight(F.lit(ONE)))
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """A fit whose ``transform`` adds ``prediction``, like a fitted pipeline's."""
+    fitted: DataFrame
+    features: FeatureSet
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", prediction(self.fitted, self.features))
+
+
 def predictor(fitted: DataFrame, features: FeatureSet) -> Callable[[DataFrame], DataFrame]:
     """The fit as a function from a factory grid to ``predicted_days``."""
     def predict(grid: DataFrame) -> DataFrame:

@@ -194,6 +194,18 @@ def linear_holdout(spark, d):
     return tidy(out.select(F.col("set").alias("features"), "n", "r2", "rmse"))
 
 
+@query
+def linear_importance(spark, d):
+    """R2 of the linear model lost when one feature is shuffled among the held-out lines."""
+    features = LINEAR_SETS["all features"]
+    key = F.concat_ws("-", "order_id", "line_key", F.col("units").cast("bigint"), "lead_time_days")
+    rows = staged(_marked(spark, d).select(*features.all(), "label", "is_holdout", key.alias("key")),
+                  "marked")
+    fitted = staged(_linear(rows, {"all": features}, "is_holdout"), "coefficients")
+    return tidy(models.permutation_importance(
+        lsq.LinearModel(fitted, features), rows.where("is_holdout"), features, F.col("key")), 9)
+
+
 @query
 def ridge_temporal(spark, d):
     """Ridge and plain least squares of the early lines, scored on the late ones."""

@@ -871,6 +871,23 @@ x AS (SELECT a.product_name, a.current_factory, a.factory AS candidate_factory,
     f"""SELECT product_name, current_factory, candidate_factory, {rounded(
         'current_distance_km:4, candidate_distance_km:4, baseline_days:4, new_days:4, days_reduced:4, '
         'gross_profit:4, profit_impact:4, whatif_profit:2')} FROM x""")
+_N, _C = _LINEAR["all features"]
+_PART = {**{c: f"c['{c}']*{c}" for c in _N}, **{c: f"coalesce(c['{c}='||{c}],0)" for c in _C}}
+add("linear_importance", RMODEL + ", " + least_squares(
+    "ml", "h", {"all": _LINEAR["all features"]}, "range(1,2)") + f""",
+cf AS (SELECT map(names, beta) AS c FROM fitted),
+hp AS (SELECT order_id||'-'||line_key||'-'||CAST(units AS BIGINT)||'-'||lead_time_days AS key, y, c['(one)']+{'+'.join(_PART.values())} AS p,
+  {', '.join(f'{e} AS x_{n}' for n, e in _PART.items())} FROM ml, cf WHERE h),
+ha AS (SELECT *, row_number() OVER (ORDER BY md5(key)) AS pos FROM hp),
+hb AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY md5(key||'#'||r)) AS pos
+  FROM hp, range(1,6) t(r)),
+hj AS (SELECT r, ha.y, ha.p, {', '.join(f'ha.p-ha.x_{n}+hb.x_{n} AS q_{n}' for n in _PART)}
+  FROM ha JOIN hb USING (pos)),
+hl AS (SELECT r, unnest([{', '.join(
+    f"struct_pack(feature:={lit(n)}, lost:=(sum((y-q_{n})*(y-q_{n}))-sum((y-p)*(y-p)))/(var_pop(y)*count(*)))"
+    for n in _PART)}]) AS v FROM hj GROUP BY r)""", f"""SELECT feature,
+  {rounded('importance_mean:9, importance_std:9')} FROM (SELECT v.feature, avg(v.lost) AS importance_mean,
+    stddev_pop(v.lost) AS importance_std FROM hl GROUP BY 1)""")
 _LATE = "RECURSIVE " + BASE + """, dl AS (SELECT *, lead_time_days AS y,
     date_diff('day', DATE '1970-01-01', order_date) AS day FROM ol),
   lt AS (SELECT *, day>(SELECT quantile_cont(day,0.8) FROM dl) AS late FROM dl), """
