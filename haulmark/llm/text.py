@@ -33,3 +33,12 @@ def ascii_lower(text: Column) -> Column:
 def ascii_lower_short(text: Column) -> Column:
     """A-Z lower-cased and nothing else, for short strings."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits, as a struct of two longs, that name a document by id and text."""
+    return F.struct(F.xxhash64(doc_id, text).alias("hi"),
+                    F.xxhash64(F.lit(1), text, doc_id).alias("lo"))
+
+
+ROW_KEY = "struct<hi:bigint,lo:bigint>"

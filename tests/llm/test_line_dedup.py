@@ -18,7 +18,7 @@ def brute(docs):
     places = defaultdict(list)
     for doc_id, text in docs.items():
         for number, line in enumerate((text or "").split("\n")):
-            if len(line.split()) >= line_dedup.MIN_WORDS:
+            if line.strip():
                 places[line.strip()].append((doc_id, number))
     lines = list(places)
     by_shingle = defaultdict(list)
@@ -170,3 +170,46 @@ def test_large_bucket_of_one_document_is_cut(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert line_dedup.dropped_lines(frame).count() == 3 * 999
     assert largest[0] < 400
+
+
+def test_sketches_do_not_depend_on_the_batch():
+    """Contents of different slices are compared by their sketches."""
+    lines = near_lines(9, 30, 3)
+    whole = line_dedup.sketched(*line_dedup._line_hashes(lines))
+    one_by_one = np.concatenate([line_dedup.sketched(*line_dedup._line_hashes([x])) for x in lines])
+    assert (whole == one_by_one).all()
+    sets = [line_dedup.shingles(x) for x in lines]
+    assert whole[:, -1].tolist() == [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("shingles", [9, 18, 45])
+def test_banding_recall_of_short_lines(shingles):
+    """Pairs exactly at 0.8, of few shingles, share a band but for a fraction of a percent."""
+    rnd = random.Random(shingles)
+    a = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=shingles + 7)) for _ in range(4000)]
+    b = [x[:-(shingles // 9)] + "".join(rnd.choices("0123456789", k=shingles // 9)) for x in a]
+    found = (line_dedup.bands(a) == line_dedup.bands(b)).any(1)
+    assert found.mean() >= 0.995
+
+
+def test_colliding_ids_drop_nothing_that_does_not_repeat(spark, monkeypatch):
+    """Lines that share 64 bits of their name but not 128 are copies of their own kind only."""
+    original = line_dedup.xxhash.xxh3_128_digest
+
+    class Colliding:
+        xxh3_128_digest = staticmethod(lambda x: original(x)[:8] + bytes(8))
+
+    texts = ["first line of its own kind here", "another line that is quite different",
+             "first line of its own kind here", "a third one, again with other words"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    keyed = frame.selectExpr("doc_id", "named_struct('hi', doc_id, 'lo', doc_id) as key", "text")
+    monkeypatch.setattr(line_dedup, "xxhash", Colliding)
+    batch = next(line_dedup._occurrences(iter(keyed.toArrow().to_batches())))
+    assert set(batch.column(3).to_pylist()) == {0}
+    assert len(set(batch.column(4).to_pylist())) == 3
+    found = spark.createDataFrame([(0, c) for c in set(batch.column(4).to_pylist())],
+                                  "node bigint, check bigint")
+    links = spark.createDataFrame([(0, 5)], "a bigint, b bigint")
+    compared = found.limit(1).unionByName(spark.createDataFrame([(5, 9)], found.schema))
+    members = line_dedup.members_of(links, compared)
+    assert found.join(members, ["node", "check"], "left_semi").count() == 1

@@ -72,6 +72,22 @@ def test_run_equals_the_stages(spark, small, stages):
     assert got == Counter(map(tuple, stages[5].drop("sequence_id", "offset").collect()))
 
 
+CLASHING = ("_key", "_measures", "_host", "_copies", "_copy", "_gone", "_k", "_m", "_bad_host", "row",
+            "doc_key", "copy", "gone", "check", "host", "failed", "group", "offset", "until", "range")
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_clashing_columns_pass_through(spark, odd_rows, small, k):
+    """Columns named like internal ones come out of each stage as they went in."""
+    docs = odd_rows.where("length(text) < 1000 or text is null")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), F.coalesce("doc_id", F.lit(0))))
+    out = pipeline.STAGES[k][1](spark, docs, small)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert all(r[name] == f"{name} {r['doc_id'] or 0}" for name in CLASHING)
+
+
 def test_odd_rows_pass_every_stage(spark, odd_rows, small):
     docs = odd_rows
     for name, stage in pipeline.STAGES[1:]:  # the first drops most of them
@@ -95,7 +111,7 @@ def test_equal_rows_are_one_document(spark, odd_rows, small):
 
 def test_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert names["pipeline"] is pipeline.run
 
 
