@@ -2,8 +2,8 @@
 
 When all features are categories plus a distance between known places, the lines collapse into
 weighted cells (mean target, number of lines), so training cost follows the number of cells, not the
-number of lines. Least squares on the cells equals least squares on the lines. Trees weigh their splits
-by the lines, too, but a forest bags cells, and medians and modes that fill missing values count cells.
+number of lines. Least squares on the cells equals least squares on the lines, and missing values are filled
+with the lines' medians and modes. Trees weigh their splits by the lines, too, but a forest bags cells.
 """
 
 from __future__ import annotations
@@ -72,16 +72,39 @@ def estimators(trees: int = 100, rounds: int = 100, label: str = "label",
     return models
 
 
-def preprocessor(train: DataFrame, features: Features) -> list[object]:
+def weighted_modes(rows: DataFrame, columns: Sequence[str], weight: str | None = None) -> dict:
+    """The value with the largest total weight of each column, the smaller of equal ones, as text; None
+    where a column has no value. Combined by value in the tasks, a row per column reaches the driver."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    values = rows.select(w.alias("w"), F.explode(F.array(*[F.struct(
+        F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x"))
+    sums = values.where("x.v is not null").groupBy("x.c", "x.v").agg(F.sum("w").alias("w"))
+    best = sums.groupBy("c").agg(F.min_by("v", F.struct(-F.col("w"), "v")).alias("v")).collect()
+    return {c: None for c in columns} | {r["c"]: r["v"] for r in best}
+
+
+def weighted_medians(rows: DataFrame, columns: Sequence[str], weight: str) -> dict:
+    """The exact median of each number, every row counted ``weight`` times; None without a value.
+
+    Meant for cells, whose numbers have few distinct values.
+    """
+    n = F.col(weight).cast("bigint")
+    found = rows.where(n > 0).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5), n).alias(c)
+                                    for c in columns]).first()
+    return found.asDict()
+
+
+def preprocessor(train: DataFrame, features: Features, weight: str | None = None) -> list[object]:
     """Stages that impute, scale and encode; everything learned comes from ``train`` alone.
 
     Numbers: median, then standardised. Categories: most frequent value, then one-hot with unknown
-    values ignored.
+    values ignored. With ``weight``, rows are cells of that many lines and fill values are those of the
+    lines. Fill values are part of a SQL stage, so they are saved with the pipeline.
     """
     cats, nums = list(features.categorical), list(features.numeric)
     stages: list[object] = []
     if cats:
-        modes = train.agg(*[F.mode(c, deterministic=True).alias(c) for c in cats]).first()
+        modes = weighted_modes(train, cats, weight)
 
         def quoted(value: object) -> str:
             return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -94,9 +117,15 @@ def preprocessor(train: DataFrame, features: Features) -> list[object]:
             OneHotEncoder(inputCols=[f"{c}_i" for c in cats], outputCols=[f"{c}_v" for c in cats],
                           dropLast=True)]
     if nums:
+        if weight:
+            medians = weighted_medians(train, nums, weight)
+            filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), {medians[c] or 0.0!r}D) AS {c}_n"
+                               for c in nums)
+            stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
+        else:
+            stages.append(Imputer(strategy="median", relativeError=0.001, inputCols=nums,
+                                  outputCols=[f"{c}_n" for c in nums]))
         stages += [
-            Imputer(strategy="median", relativeError=0.001, inputCols=nums,
-                    outputCols=[f"{c}_n" for c in nums]),
             VectorAssembler(inputCols=[f"{c}_n" for c in nums], outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)]
     parts = [f"{c}_v" for c in cats] + (["scaled"] if nums else [])
@@ -114,7 +143,8 @@ def numbers_as_double(df: DataFrame, features: Features) -> DataFrame:
 
 
 def fit(train: DataFrame, features: Features, estimator: object) -> PipelineModel:
-    return Pipeline(stages=[*preprocessor(train, features), estimator]).fit(train)
+    weight = estimator.getWeightCol() if estimator.isDefined("weightCol") else None
+    return Pipeline(stages=[*preprocessor(train, features, weight), estimator]).fit(train)
 
 
 def training_cells(lines: DataFrame, target: str, keys: Sequence[str] = CELL_KEYS,

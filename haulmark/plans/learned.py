@@ -194,6 +194,23 @@ def linear_holdout(spark, d):
     return tidy(out.select(F.col("set").alias("features"), "n", "r2", "rmse"))
 
 
+@query
+def fill_values(spark, d):
+    """What missing values are filled with, learned on weighted cells of lines with planted gaps."""
+    def gap(column: str, every: int) -> F.Column:
+        return F.when(F.col("order_id") % every != 0, F.col(column)).alias(column)
+
+    rows = _marked(spark, d).select(gap("distance_km", 7), gap("units", 5), gap("ship_mode", 11),
+                                    gap("region", 13), "label")
+    grid = staged(models.training_cells(
+        rows, "label", ["distance_km", "units", "ship_mode", "region"]), "grid")
+    filled = (models.weighted_medians(grid, ["distance_km", "units"], "n")
+              | models.weighted_modes(grid, ["ship_mode", "region"], "n"))
+    return tidy(spark.createDataFrame(
+        [(k, v if isinstance(v, float) else None, v if isinstance(v, str) else None)
+         for k, v in filled.items()], "feature string, median double, mode string"))
+
+
 @query
 def linear_importance(spark, d):
     """R2 of the linear model lost when one feature is shuffled among the held-out lines."""

@@ -871,6 +871,12 @@ x AS (SELECT a.product_name, a.current_factory, a.factory AS candidate_factory,
     f"""SELECT product_name, current_factory, candidate_factory, {rounded(
         'current_distance_km:4, candidate_distance_km:4, baseline_days:4, new_days:4, days_reduced:4, '
         'gross_profit:4, profit_impact:4, whatif_profit:2')} FROM x""")
+_MODES = " UNION ALL ".join(f"""SELECT '{c}', CAST(NULL AS DOUBLE), v FROM (SELECT {c} AS v, row_number() OVER (
+  ORDER BY count(*) DESC, {c}) AS rn FROM ml WHERE order_id%{k}<>0 GROUP BY 1) WHERE rn=1"""
+                          for c, k in (("ship_mode", 11), ("region", 13)))
+_MEDIANS = " UNION ALL ".join(f"""SELECT '{c}' AS feature, {R(f'median({c})')} AS median,
+  CAST(NULL AS VARCHAR) AS mode FROM ml WHERE order_id%{k}<>0""" for c, k in (("distance_km", 7), ("units", 5)))
+add("fill_values", MODEL, f"SELECT * FROM ({_MEDIANS} UNION ALL {_MODES})")
 _N, _C = _LINEAR["all features"]
 _PART = {**{c: f"c['{c}']*{c}" for c in _N}, **{c: f"coalesce(c['{c}='||{c}],0)" for c in _C}}
 add("linear_importance", RMODEL + ", " + least_squares(

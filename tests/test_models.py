@@ -170,3 +170,26 @@ def test_batch_run_on_text_ids(spark, small, tmp_path):
     assert cells.where("is_holdout").agg(F.sum("lines")).first()[0] == prepared.where(
         "is_holdout").count()
     assert results.read_table(spark, paths["recommendations"]).count() == 25
+
+
+def test_cells_and_lines_are_filled_alike(spark, tmp_path):
+    """Medians and modes of weighted cells are those of the lines; the saved pipeline keeps them."""
+    lines = [(float(k), c, 1.0 + k) for k, c, n in (
+        (1, "x", 7), (2, "y", 1), (3, "y", 1), (9, "y", 2), (None, "z", 5), (4, None, 3))
+        for _ in range(n) for k in [k if k is not None else float("nan")]]
+    lines = [(None if a != a else a, c, 5.0 if y != y else y) for a, c, y in lines]
+    frame = spark.createDataFrame(lines, "a double, c string, label double")
+    features = models.Features(["a"], ["c"])
+    grid = models.training_cells(frame, "label", ["a", "c"])
+    values = sorted(a for a, _, _ in lines if a is not None)
+    middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    assert models.weighted_medians(grid, ["a"], "n") == {"a": middle}
+    assert models.weighted_modes(grid, ["c"], "n") == models.weighted_modes(frame, ["c"]) == {"c": "x"}
+    assert models.weighted_modes(grid.limit(0), ["c"], "n") == {"c": None}
+    fitted = models.fit(grid, features, models.estimators(weight="n")["Linear Regression"])
+    path = models.save_model(fitted, str(tmp_path / "model"))
+    gaps = spark.createDataFrame([(None, None)], "a double, c string")
+    whole = spark.createDataFrame([(middle, "x")], "a double, c string")
+    one = [m.transform(f).first()["prediction"] for m in (fitted, models.load_model(path))
+           for f in (gaps, whole)]
+    assert max(one) - min(one) < 1e-9
