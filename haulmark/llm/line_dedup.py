@@ -313,8 +313,8 @@ def _across(cells_at: np.ndarray, at: np.ndarray, labels: Labels, drawn: np.ndar
     """The links that join all similar contents which share a cell, in bulk.
 
     ``at`` are positions of contents, sorted by ``cells_at``. A stretch of rows is compared with the rows
-    before it in their cells. Of the pairs whose sketches allow it, first one for each content and other
-    component is tested, then twice as many, until every pair is tested or inside a component.
+    before it in their cells. Of the pairs whose sketches allow it, first one for each content is tested,
+    then twice as many, until every pair is tested or inside a component.
     """
     first = np.searchsorted(cells_at, cells_at, side="left")
     before = np.arange(len(at)) - first
@@ -329,10 +329,8 @@ def _across(cells_at: np.ndarray, at: np.ndarray, labels: Labels, drawn: np.ndar
                                for k in range(0, len(a), 8192)] or [np.zeros(0, bool)])
         a, b, most = a[fits], b[fits], 1
         while len(a):
-            code = a * len(drawn) + labels[b]
-            order = np.argsort(code, kind="stable")
-            code = code[order]
-            rank = np.arange(len(code)) - np.searchsorted(code, code, side="left")
+            order = np.argsort(a, kind="stable")
+            rank = np.arange(len(a)) - np.searchsorted(a[order], a[order], side="left")
             now = order[rank < most]
             good = test(a[now], b[now])
             x, y = a[now][good], b[now][good]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import (decontamination, filter_audit, licenses, line_dedup, mixing, order_minhash, packing, quality, secrets,
-                          simhash, token_counts, tokenizer_alignment, url_rules)
+from haulmark.llm import (decontamination, filter_audit, licenses, line_dedup, mixing, order_minhash,
+                          packing, quality, secrets, simhash, token_counts, tokenizer_alignment,
+                          url_rules)
 from haulmark.llm.text import n_words, text_of
 from haulmark.session import staged
 
