@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.portable import fold, is_holdout
 from haulmark.functions.text import calendar_features
-from haulmark.operators import clusters, derive, lanes, models, moves
+from haulmark.operators import clusters, derive, lanes, lloyd, models, moves
 from haulmark.operators import normal_equations as lsq
 from haulmark.plans.queries import BASE, NETWORK, cells, lines, query, tidy
 from haulmark.session import staged
@@ -260,7 +260,7 @@ def _clustered(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lane_clusters(spark, d):
     return tidy(_clustered(spark, d).select(*lanes.LANE_KEYS, "order_count", "cluster",
-                                            "selected_k", "silhouette_score"))
+                                            "selected_k", "silhouette_score", "euclidean_silhouette"))
 
 
 @query
@@ -375,3 +375,38 @@ def assigned_summary(spark, d):
 def assigned_silhouette(spark, d):
     eligible = _assigned(spark, d).where(F.col("order_count") >= ELIGIBLE)
     return tidy(clusters.silhouette(staged(eligible, "assigned")))
+
+
+@query
+def assigned_euclidean(spark, d):
+    """Both silhouettes of the assigned lanes, each computed from its own distance."""
+    eligible = staged(_assigned(spark, d).where(F.col("order_count") >= ELIGIBLE)
+                      .withColumn("centres", F.lit("first three lanes")), "assigned")
+    return tidy(clusters.silhouettes(eligible, lanes.LANE_KEYS, LANE_MEASURES, ["centres"]))
+
+
+LANE_MEASURES = [f"z_{c}" for c in clusters.CLUSTER_FEATURES]
+
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Standardised lanes, rounded so that every engine clusters the same numbers."""
+    profile = staged(lanes.lane_profile(lines(spark, d)), "lanes")
+    return staged(tidy(clusters.standardised(profile, ELIGIBLE).select(
+        *lanes.LANE_KEYS, "order_count", *LANE_MEASURES), 9), "scaled")
+
+
+@query
+def lloyd_scores(spark, d):
+    """The cheapest of ten starts for every k, with its cost and both silhouettes."""
+    report, _ = lloyd.fits(_scaled(spark, d), lanes.LANE_KEYS, LANE_MEASURES,
+                           F.col("order_count") >= ELIGIBLE)
+    return tidy(report)
+
+
+@query
+def lloyd_lanes(spark, d):
+    """Every lane with its cluster under the k of the best Euclidean silhouette."""
+    out = lloyd.lloyd_clusters(_scaled(spark, d), lanes.LANE_KEYS, LANE_MEASURES,
+                               F.col("order_count") >= ELIGIBLE)
+    return tidy(out.select(*lanes.LANE_KEYS, "order_count", "cluster", "selected_k",
+                           "silhouette_score", "euclidean_silhouette"))

@@ -938,3 +938,67 @@ add("assigned_silhouette", CLUSTERS + f""", pt AS (SELECT *, row_number() OVER (
     min(CASE WHEN own<>other THEN d/n END) AS b FROM pd GROUP BY 1)""",
     """SELECT round(avg(coalesce((b-a)/nullif(greatest(a,b),0),0)),6) AS silhouette_score,
   count(*) AS points FROM sp""")
+add("assigned_euclidean", CLUSTERS + f""", pt AS (SELECT *, row_number() OVER () AS id FROM ca
+    WHERE order_count>=30),
+  pd AS (SELECT a.id, a.cluster AS own, b.cluster AS other, sum({apart('a', 'b')}) AS d,
+    sum(sqrt({apart('a', 'b')})) AS e, count(*) AS n FROM pt a, pt b GROUP BY 1,2,3),
+  sp AS (SELECT id, max(CASE WHEN own=other THEN d/nullif(n-1,0) END) AS a,
+    min(CASE WHEN own<>other THEN d/n END) AS b, max(CASE WHEN own=other THEN e/nullif(n-1,0) END) AS ea,
+    min(CASE WHEN own<>other THEN e/n END) AS eb FROM pd GROUP BY 1)""",
+    """SELECT 'first three lanes' AS centres, count(*) AS points,
+  round(avg(coalesce((b-a)/nullif(greatest(a,b),0),0)),6) AS silhouette_score,
+  round(avg(coalesce((eb-ea)/nullif(greatest(ea,eb),0),0)),6) AS euclidean_silhouette FROM sp""")
+
+# Every start of every k in Lloyd steps: q holds the points, f the starts, c0 to c20 the centres.
+_ZS = [f"z_{m}" for m in _MEASURES]
+_AT = ", ".join(_ZS)
+
+
+def _first_points() -> str:
+    """Start 2i at the largest i-th measure, 2i+1 at the smallest; then the farthest point, seven times."""
+    begin = " UNION ALL ".join(
+        f"(SELECT {s} AS start, 0 AS cluster, {_AT} FROM q ORDER BY {_ZS[s // 2]} "
+        f"{'ASC' if s % 2 else 'DESC'}, id LIMIT 1)" for s in range(10))
+    more = "".join(f""", n{i} AS MATERIALIZED (SELECT start, q.id, min({apart('q', f'f{i - 1}')}) AS d
+    FROM q, f{i - 1} GROUP BY 1,2),
+  f{i} AS MATERIALIZED (SELECT * FROM f{i - 1} UNION ALL SELECT start, {i} AS cluster, {_AT} FROM (SELECT start, id,
+    row_number() OVER (PARTITION BY start ORDER BY d DESC, id) AS rn FROM n{i}) JOIN q USING (id) WHERE rn=1)"""
+                   for i in range(1, 8))
+    return f"f0 AS MATERIALIZED ({begin}){more}"
+
+
+def _nearest(centres: str, points: str) -> str:
+    return f"""SELECT k, start, {points}.id, min(struct_pack(d:={apart(points, centres)},
+    cluster:={centres}.cluster)) AS v FROM {points}, {centres} GROUP BY 1,2,3"""
+
+
+_STEPS = "".join(f""", a{i} AS MATERIALIZED ({_nearest(f'c{i}', 'q')}),
+  c{i + 1} AS MATERIALIZED (SELECT k, start, cluster, {', '.join(f'coalesce(m.{z},c{i}.{z}) AS {z}' for z in _ZS)}
+    FROM c{i} LEFT JOIN (SELECT k, start, v.cluster AS cluster, {', '.join(f'avg({z}) AS {z}' for z in _ZS)}
+      FROM a{i} JOIN q USING (id) GROUP BY 1,2,3) m USING (k, start, cluster))""" for i in range(20))
+LLOYD = CLUSTERS + f""", zr AS MATERIALIZED (SELECT {_LK}, order_count, row_number() OVER (ORDER BY {_LK}) AS id,
+    {', '.join(f'round({z},9) AS {z}' for z in _ZS)} FROM zl),
+  q AS MATERIALIZED (SELECT * FROM zr WHERE order_count>=30), {_first_points()},
+  c0 AS MATERIALIZED (SELECT k, f7.* FROM f7, range(2,9) t(k) WHERE cluster<k AND k<(SELECT count(*) FROM q))
+  {_STEPS}, la AS MATERIALIZED ({_nearest('c20', 'q')}),
+  lc AS (SELECT k, start, sum(v.d) AS cost FROM la GROUP BY 1,2),
+  lb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(cost,9), start) AS rn FROM lc)
+    WHERE rn=1),
+  lp2 AS MATERIALIZED (SELECT la.k, la.start, v.cluster AS cluster, q.* FROM la JOIN lb USING (k, start) JOIN q USING (id)),
+  ld AS (SELECT a.k, a.id, a.cluster AS own, b.cluster AS other, sum({apart('a', 'b')}) AS d,
+    sum(sqrt({apart('a', 'b')})) AS e, count(*) AS n FROM lp2 a JOIN lp2 b USING (k) GROUP BY 1,2,3,4),
+  lw AS (SELECT k, id, max(CASE WHEN own=other THEN d/nullif(n-1,0) END) AS a,
+    min(CASE WHEN own<>other THEN d/n END) AS b, max(CASE WHEN own=other THEN e/nullif(n-1,0) END) AS ea,
+    min(CASE WHEN own<>other THEN e/n END) AS eb FROM ld GROUP BY 1,2),
+  ls AS MATERIALIZED (SELECT k, count(*) AS points, avg(coalesce((b-a)/nullif(greatest(a,b),0),0)) AS silhouette_score,
+    avg(coalesce((eb-ea)/nullif(greatest(ea,eb),0),0)) AS euclidean_silhouette FROM lw GROUP BY 1),
+  lt AS (SELECT * FROM ls JOIN lb USING (k) ORDER BY round(euclidean_silhouette,9) DESC, k LIMIT 1),
+  lk AS (SELECT c20.* FROM c20 JOIN lt USING (k, start)),
+  ln AS ({_nearest('lk', 'zr')})"""
+add("lloyd_scores", LLOYD, """SELECT CAST(k AS INTEGER) AS k, start, round(cost,6) AS cost, points,
+  round(silhouette_score,6) AS silhouette_score, round(euclidean_silhouette,6) AS euclidean_silhouette
+  FROM ls JOIN lb USING (k)""")
+add("lloyd_lanes", LLOYD, f"""SELECT {_LK}, order_count, CAST(coalesce(v.cluster,0) AS INTEGER) AS cluster,
+  CAST(coalesce((SELECT k FROM lt),1) AS INTEGER) AS selected_k,
+  round((SELECT silhouette_score FROM lt),6) AS silhouette_score,
+  round((SELECT euclidean_silhouette FROM lt),6) AS euclidean_silhouette FROM zr LEFT JOIN ln USING (id)""")
