@@ -37,43 +37,50 @@ class FeatureSet:
         return [*self.numeric, *self.categorical]
 
 
-def _entries(features: FeatureSet) -> Column:
-    """The row's features that are not 0 by nature, as array<struct<name, x>>, the intercept first."""
-    def entry(name: Column, x: Column) -> Column:
-        return F.struct(name.alias("name"), x.cast("double").alias("x"))
-
-    levels = [F.when(F.col(c).isNotNull(), entry(F.concat(F.lit(f"{c}="), F.col(c).cast("string")),
-                                                 F.lit(1.0))) for c in features.categorical]
-    numbers = [entry(F.lit(c), F.col(c)) for c in features.numeric]
-    return F.array_compact(F.array(entry(F.lit(ONE), F.lit(1.0)), *numbers, *levels))
-
-
 def moments(rows: DataFrame, features: FeatureSet, target: str, part: str) -> DataFrame:
     """(part, i, j, v): sums over rows of the product of features ``i`` and ``j``, ``i`` named before
     ``j`` in the row, and of features with the target.
 
-    Rows are counted by their features first, so lines that agree in them are expanded once.
+    Rows are summed per combination of categories first, with the sums of the products of all numbers in
+    the same row; a number of any precision makes no cell of its own. Only these cells are expanded.
     """
     y = F.col(target).cast("double")
+    nums = {c: F.col(c).cast("double") for c in features.numeric}
     known = y.isNotNull()
-    for c in features.numeric:
-        known = known & F.col(c).isNotNull()
-    cells = rows.where(known).groupBy(F.col(part).alias("part"), *features.all()).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    narrow = cells.select("part", "n", "s", "q", _entries(features).alias("x"))
+    for x in nums.values():
+        known = known & x.isNotNull()
+    sums = {(ONE, ONE): F.count(F.lit(1)).cast("double"), (ONE, TARGET): F.sum(y),
+            (TARGET, TARGET): F.sum(y * y)}
+    names = list(nums)
+    for at, a in enumerate(names):
+        sums |= {(ONE, a): F.sum(nums[a]), (a, TARGET): F.sum(nums[a] * y)}
+        sums |= {(a, b): F.sum(nums[a] * nums[b]) for b in names[at:]}
+    cells = rows.where(known).groupBy(F.col(part).alias("part"), *features.categorical).agg(
+        F.struct(*[v.alias(f"v{k}") for k, v in enumerate(sums.values())]).alias("sums"))
+    at_pair = {pair: F.col("sums")[f"v{k}"] for k, pair in enumerate(sums)}
 
     def product(i: Column, j: Column, v: Column) -> Column:
         return F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
 
-    def of(a: Column, at: Column) -> Column:
-        later = F.slice("x", at + 1, F.size("x"))
-        return F.concat(
-            F.transform(later, lambda b: product(a["name"], b["name"], F.col("n") * a["x"] * b["x"])),
-            F.array(product(a["name"], F.lit(TARGET), F.col("s") * a["x"])))
+    levels = F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
+        for c in features.categorical]).cast("array<string>"))
+    held = cells.select("part", "sums", levels.alias("levels"))
+    one = at_pair[ONE, ONE]
 
-    products = F.concat(F.flatten(F.transform("x", of)),
-                        F.array(product(F.lit(TARGET), F.lit(TARGET), F.col("q"))))
-    return (narrow.select("part", F.explode(products).alias("p"))
+    def of(level: Column, at: Column) -> Column:
+        later = F.slice("levels", at + 1, F.size("levels"))
+        return F.concat(
+            F.array(product(F.lit(ONE), level, one)),
+            F.array(*[product(F.lit(a), level, at_pair[ONE, a]) for a in names])
+            if names else F.array().cast("array<struct<i:string,j:string,v:double>>"),
+            F.transform(later, lambda other: product(level, other, one)),
+            F.array(product(level, F.lit(TARGET), at_pair[ONE, TARGET])))
+
+    products = F.concat(
+        F.array(*[product(F.lit(a), F.lit(b), v) for (a, b), v in at_pair.items()]),
+        F.flatten(F.transform("levels", of)))
+    return (held.select("part", F.explode(products).alias("p"))
             .groupBy("part", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
             .agg(F.sum("p.v").alias("v")))
 

@@ -113,3 +113,11 @@ def test_nulls_and_empty(spark):
     assert each[1]["n"] == 3 and each[2]["n"] == 0 and each[2]["r2"] is None
     empty = lsq.cross_validated(frame.limit(0), s, "y", "fold", 3)
     assert empty.count() == 0
+
+
+def test_numbers_make_no_cells(spark):
+    """Lines meet one grouped sum by part and categories; numbers are summed there, whatever their values."""
+    frame = spark.createDataFrame(sample())
+    plan = lsq.moments(frame, SETS["all"], "y", "fold")._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert [k.split("#")[0] for k in keys[-1].split(", ")] == ["fold", "c", "d"]
