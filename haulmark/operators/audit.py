@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.quantiles import exact_quantiles
 from haulmark.functions.text import lead_days, normalize_product_name
-from haulmark.operators.clean import (FINANCE, clean_orders, collapse_copies, is_blank, is_header,
-                                      type_orders)
+from haulmark.operators.clean import (FINANCE, clean_orders, collapse_copies, finish_orders, is_blank,
+                                      is_header, type_orders)
 from haulmark.operators.derive import resolve_factory
 from haulmark.params import IQR_FACTOR
 from haulmark.sources.orders import CORRUPT, SOURCE_COLUMNS, missing_columns
 
 LONG_LEAD_DAYS = 365  # fixed value: threshold of the long-lead share
 SYNTHETIC_PRODUCT = "^Product_"  # fixed value: pattern of a made-up product name
+# What the audit and the fences read of typed rows.
+TYPED = ("_header", "_blank", "copies", "product_name", "division", "ship_mode", "region", "state",
+         "order_date", "ship_date", "bad_order_date", "bad_ship_date", "bad_finance", "cost_missing", "valid",
+         *FINANCE)
 
 
 def lead_summary(order_lines: DataFrame) -> DataFrame:
@@ -31,18 +35,36 @@ def lead_summary(order_lines: DataFrame) -> DataFrame:
         .alias("long_lead_pct"))
 
 
-def audit_summary(raw: DataFrame, ship_modes: DataFrame, regions: DataFrame, places: DataFrame,
-                  product_factory: DataFrame, division_factory: DataFrame) -> DataFrame:
-    """One row with every cleaning count.
+def typed_rows(raw: DataFrame) -> DataFrame:
+    """All rows without their copies, typed, with the flags ``_header`` and ``_blank``: what the audit counts
+    and, of neither flag, what cleaning finishes.
 
     The raw rows are shuffled once, to collapse copies. Headers and blank rows are flagged before
-    that and collapse to one row each. Everything else is counted per combination of categories,
-    then per product, then in total, which also yields the number of products in the same pass.
+    that and collapse to one row each.
     """
     raw = raw.drop(CORRUPT)
-    content = list(raw.columns)
-    flagged = raw.withColumns({"_header": is_header(), "_blank": is_blank(content)})
-    rows = type_orders(collapse_copies(flagged))
+    flagged = raw.withColumns({"_header": is_header(), "_blank": is_blank(list(raw.columns))})
+    return type_orders(collapse_copies(flagged))
+
+
+def finished_rows(rows: DataFrame) -> DataFrame:
+    """The cleaned order lines among :func:`typed_rows`."""
+    return finish_orders(rows.where(~F.col("_header") & ~F.col("_blank")).drop("_header", "_blank"))
+
+
+def audit_summary(raw: DataFrame, ship_modes: DataFrame, regions: DataFrame, places: DataFrame,
+                  product_factory: DataFrame, division_factory: DataFrame) -> DataFrame:
+    """One row with every cleaning count."""
+    return summary_of(typed_rows(raw), ship_modes, regions, places, product_factory, division_factory)
+
+
+def summary_of(rows: DataFrame, ship_modes: DataFrame, regions: DataFrame, places: DataFrame,
+               product_factory: DataFrame, division_factory: DataFrame) -> DataFrame:
+    """The audit of :func:`typed_rows`.
+
+    Rows are counted per combination of categories, then per product, then in total, which also yields
+    the number of products in the same pass.
+    """
     data = ~F.col("_header") & ~F.col("_blank")
     valid = data & F.col("valid")
     lead = F.when(valid, lead_days(F.col("order_date"), F.col("ship_date")))

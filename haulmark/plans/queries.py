@@ -177,15 +177,16 @@ def iqr_fence_finance(spark, d):
 def audit_record(spark, d):
     """Summary, missing columns, assertions and fence in one nested row, read back as columns."""
     raw = W.raw_order_lines(spark, d).drop("city")
-    rows = staged(clean.clean_orders(raw).select("state", "lead_time_days", *clean.FINANCE), "clean")
+    typed = staged(audit.typed_rows(raw).select(*audit.TYPED), "typed")  # copies collapse once, for both
+    rows = audit.finished_rows(typed).select("state", "lead_time_days", *clean.FINANCE)
     seen = rows.groupBy("state").agg(F.count(F.lit(1)).alias("observed"))
     expected = W.state_table(spark, d).select(F.col("state"), F.lit(0).cast("bigint")
                                               .alias("expected"))
     pinned = audit.pinned_assertions(expected, seen, ["state"]).withColumnRenamed("state", "key")
     divisions, explicit = W.product_divisions(spark, d), W.explicit_map(spark, NETWORK)
-    summary = audit.audit_summary(raw, W.mode_table(spark), W.region_table(spark, d),
-                                  W.state_table(spark, d), explicit,
-                                  derive.modal_factory(explicit, divisions))
+    summary = audit.summary_of(typed, W.mode_table(spark), W.region_table(spark, d),
+                               W.state_table(spark, d), explicit,
+                               derive.modal_factory(explicit, divisions))
     bounds = audit.fence_bounds(rows, clean.FINANCE, FENCE_FACTOR)
     record = audit.audit_record(raw, summary, pinned,
                                 audit.fence_counts(rows, bounds, clean.FINANCE))

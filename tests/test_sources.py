@@ -167,3 +167,15 @@ def test_raw_defects_match_their_rules(spark, small):
     orders = W.table(spark, small, "orders").count()
     assert raw.where(clean.is_header()).count() == len(range(0, orders, 1000))
     assert clean.rejected_rows(clean.type_orders(clean.dedup_orders(raw))).count() > 0
+
+
+def test_audit_and_cleaning_share_collapsed_rows(spark, small):
+    """Copies collapse once: the typed rows give the cleaned lines and, by their columns in TYPED, the audit."""
+    from haulmark.operators import audit, clean
+    raw = W.raw_order_lines(spark, small)
+    typed = audit.typed_rows(raw)
+    a, b = [sorted(map(str, f.select("row_id", "state", "lead_time_days", "cost_imputed", "product_name",
+                                     *clean.FINANCE).collect()))
+            for f in (audit.finished_rows(typed), clean.clean_orders(raw))]
+    assert a == b and len(a) > 5000
+    assert not {*audit.TYPED} - {*typed.columns}
