@@ -64,7 +64,7 @@ def with_hash_index(df: DataFrame, key: Column, index: str, tie: list[Column] |
     """
     by = by or []
     digest = F.md5(key.cast("string"))
-    marked = df.withColumn("_h", digest).withColumn("_r", F.substring("_h", 1, digits))
+    marked = df.withColumns({"_h": F.unhex(digest), "_r": F.substring(digest, 1, digits)})
     counts = marked.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_r", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_o"))

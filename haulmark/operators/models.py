@@ -4,6 +4,9 @@ When all features are categories plus a distance between known places, the lines
 weighted cells (mean target, number of lines), so training cost follows the number of cells, not the
 number of lines. Least squares on the cells equals least squares on the lines, and missing values are filled
 with the lines' medians and modes. Trees weigh their splits by the lines, too, but a forest bags cells.
+
+With other numbers among the features, the linear model reads the lines. Trees see a number only through its
+bins, so they, too, are fitted on weighted cells, of lines that agree in categories and bins.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler,
-                                StringIndexer, VectorAssembler)
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import (Imputer, OneHotEncoder, QuantileDiscretizer, SQLTransformer,
+                                StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (GBTRegressor, LinearRegression, LinearRegressionModel,
+                                   RandomForestRegressor)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.portable import with_hash_index
 from haulmark.operators.moves import sample_std
+from haulmark.operators.normal_equations import LinearModel
 from haulmark.params import SELECTION_TOLERANCE
+from haulmark.session import staged
 
 # Feature sets, seed and the order of models from simple to complex.
 PROXY_CATEGORICAL = ("ship_mode", "region", "product_name", "current_factory")
@@ -33,6 +40,10 @@ SEED = 42
 FOLDS = 5
 TIERS = {"Linear Regression": 0, "Ridge": 0, "Random Forest": 1, "Gradient Boosting": 2}
 CELL_KEYS = (*PROXY_CATEGORICAL, *PROXY_NUMERIC)
+BINS = 32  # fixed value: bins of a number in Spark's trees, their default
+BIN_ERROR = 0.001  # fixed value: accuracy of the ranks between bins
+BAGGED = 1 << 20  # fixed values: cells are dealt into parts up to so many rows in all,
+PARTS = 64  # and so many a cell, for forests to bag
 
 
 @dataclass(frozen=True)
@@ -142,9 +153,93 @@ def numbers_as_double(df: DataFrame, features: Features) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in features.numeric})
 
 
+def _weight(estimator: object) -> str | None:
+    return estimator.getWeightCol() if estimator.isDefined("weightCol") else None
+
+
+def _is_tree(estimator: object) -> bool:
+    return isinstance(estimator, (RandomForestRegressor, GBTRegressor))
+
+
+def binned_stages(prepared: PipelineModel, train: DataFrame, features: Features) -> list[object]:
+    """``prepared``, which imputes, scales and encodes, for trees: numbers of more than ``BINS`` values are cut
+    at their quantiles instead of scaled, which leaves the order that trees go by."""
+    cats, nums = list(features.categorical), list(features.numeric)
+    kept, bins = list(prepared.stages[:3 if cats else 0]), {c: f"{c}_n" for c in nums}
+    if nums:
+        imputer = prepared.stages[len(kept)]
+        filled = imputer.transform(train)
+        values = filled.agg(*[F.approx_count_distinct(f"{c}_n", 0.01).alias(c) for c in nums]).first()
+        wide = [c for c in nums if values[c] > BINS]
+        kept.append(imputer)
+        if wide:
+            bins |= {c: f"{c}_bin" for c in wide}
+            kept.append(QuantileDiscretizer(
+                numBucketsArray=[BINS] * len(wide), inputCols=[f"{c}_n" for c in wide],
+                outputCols=[f"{c}_bin" for c in wide], relativeError=BIN_ERROR, handleInvalid="keep"
+            ).fit(filled))
+    return [*kept, VectorAssembler(inputCols=[*[f"{c}_v" for c in cats], *bins.values()],
+                                   outputCol="features")]
+
+
+def binned_cells(stages: Sequence[object], train: DataFrame, features: Features, label: str) -> DataFrame:
+    """Lines reduced to cells of equal ``stages[-1]`` inputs: the mean label, ``n`` lines and the features.
+
+    At most the product of the levels and bins, however many lines there are. Where cells are few, the lines
+    of each are dealt into parts by their hash, so that a forest has enough rows to bag.
+    """
+    encoder = 3 if features.categorical else 0
+    keys = [f"{c}_f" for c in features.categorical] + list(
+        stages[-1].getInputCols()[len(features.categorical):])
+    placed = PipelineModel([*stages[:min(encoder, 1)], *stages[encoder:-1]]).transform(train)
+    y = F.col(label).cast("double")
+    known = placed.where(y.isNotNull())
+    count = known.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
+    parts = min(PARTS, max(1, BAGGED // max(1, count)))
+    part = F.pmod(F.xxhash64(*features.all(), y), F.lit(parts)).alias("part")
+    cells = staged(known.groupBy(*keys, part).agg(
+        F.avg(y).alias(label), F.count(F.lit(1)).cast("double").alias("n")), "binned")
+    # A small table comes back in few partitions, but training a forest on it needs every core.
+    cells = cells.repartition(train.sparkSession.sparkContext.defaultParallelism, *keys, "part")
+    return PipelineModel([*stages[min(encoder, 1):encoder], stages[-1]]).transform(cells).select(
+        "features", label, "n")
+
+
+def fit_all(train: DataFrame, features: Features, models: Mapping[str, object], label: str = "label"
+            ) -> dict[str, PipelineModel]:
+    """Every estimator fitted on ``train``. Those without a weight share what is learned of the lines.
+
+    Boosted trees on cells are those of the lines in the same bins: their predictions are constant in a cell. A
+    forest bags cells or their parts, a million or more where there are as many lines. Its least number of lines in
+    a leaf is kept as a least weight.
+    """
+    on_lines = [n for n, m in models.items() if _weight(m) is None]
+    trees = [n for n in on_lines if _is_tree(models[n])]
+    if on_lines:
+        prepared = Pipeline(stages=preprocessor(train, features)).fit(train)
+        encoded = prepared.transform(train)
+    if trees:
+        stages = binned_stages(prepared, train, features)
+        cells = binned_cells(stages, train, features, label)
+        lines = cells.agg(F.sum("n")).first()[0] or 0.0
+
+    def one(name: str) -> PipelineModel:
+        m = models[name]
+        if name in trees:
+            least = m.getMinInstancesPerNode()
+            more = {m.weightCol: "n", m.minInstancesPerNode: 1}
+            if least > 1:  # below half a line less, so that rounding refuses no leaf of just as many
+                more[m.minWeightFractionPerNode] = min(0.49, (least - 0.5) / max(lines, 1.0))
+            return PipelineModel([*stages, m.copy(more).fit(cells)])
+        if name in on_lines:
+            return PipelineModel([*prepared.stages, m.fit(encoded)])
+        return Pipeline(stages=[*preprocessor(train, features, _weight(m)), m]).fit(train)
+
+    return dict(zip(models, in_parallel([lambda n=n: one(n) for n in models]), strict=True))
+
+
 def fit(train: DataFrame, features: Features, estimator: object) -> PipelineModel:
-    weight = estimator.getWeightCol() if estimator.isDefined("weightCol") else None
-    return Pipeline(stages=[*preprocessor(train, features, weight), estimator]).fit(train)
+    return fit_all(train, features, {"": estimator}, estimator.getLabelCol())[""]
 
 
 def training_cells(lines: DataFrame, target: str, keys: Sequence[str] = CELL_KEYS,
@@ -195,12 +290,45 @@ def holdout_report(train: DataFrame, test: DataFrame, features: Features,
                    ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """``(model, r2, rmse, mae, tier)`` on the held-out lines, best R2 first, and the models."""
     require_features(train, features, label)
-    names = list(models)
-    fitted = dict(zip(names, in_parallel(
-        [lambda m=models[n]: fit(train, features, m) for n in names]), strict=True))
+    fitted = fit_all(train, features, models, label)
     rows = [metrics(m.transform(test), label=label).withColumn("model", F.lit(n))
             .withColumn("interpretability_tier", F.lit(TIERS[n])) for n, m in fitted.items()]
-    return union(rows).orderBy(F.desc("r2"), "model"), fitted
+    # A row per model, stored so that sorting and choosing score the lines once.
+    return staged(union(rows), "report").orderBy(F.desc("r2"), "model"), fitted
+
+
+def _scored_lines(fitted: Mapping[tuple[str, int], PipelineModel], cells: DataFrame, lines: DataFrame,
+                  features: Features, label: str) -> DataFrame:
+    """(model, fold, r2, rmse, mae) of models by (name, fold) over ``lines``: the distinct cells of features are
+    scored, and the lines meet all predictions of their cell in one scan."""
+    keys, names = features.all(), list(dict.fromkeys(n for n, _ in fitted))
+    columns = [f"p_{i}" for i in range(len(names))]
+
+    def of_fold(k: int) -> DataFrame:
+        scored = cells.where(F.col("fold") == k).select(*keys, "fold").distinct()
+        for column, name in zip(columns, names, strict=True):
+            kept = scored.columns
+            scored = fitted[name, k].transform(scored).select(*kept, F.col("prediction").alias(column))
+        return scored
+
+    # Stored so that Spark knows the size of a table that follows the cells, not the lines.
+    by_cell = staged(union([of_fold(k) for k in dict.fromkeys(k for _, k in fitted)]), "predictions")
+    right = by_cell.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*keys, "fold"])], *columns)
+    same = reduce(lambda x, z: x & z, [lines[c].eqNullSafe(right[f"_{i}"])
+                                       for i, c in enumerate([*keys, "fold"])])
+    y = F.col(label).cast("double")
+    errors = {c: y - F.col(c) for c in columns}
+    n = F.count(F.lit(1))
+    sums = lines.join(right, same, "left").groupBy("fold").agg(
+        n.alias("n"), (F.var_pop(y) * n).alias("sst"),
+        *[F.sum(e * e).alias(f"sse_{c}") for c, e in errors.items()],
+        *[F.avg(F.abs(e)).alias(f"mae_{c}") for c, e in errors.items()])
+    each = sums.select("fold", F.explode(F.array(*[F.struct(
+        F.lit(name).alias("model"),
+        (F.lit(1.0) - F.col(f"sse_{c}") / F.nullif(F.col("sst"), F.lit(0.0))).alias("r2"),
+        F.sqrt(F.col(f"sse_{c}") / F.col("n")).alias("rmse"), F.col(f"mae_{c}").alias("mae"))
+        for name, c in zip(names, columns, strict=True)])).alias("m"))
+    return each.select("m.*", "fold")
 
 
 def cross_validate(rows: DataFrame, features: Features, models: Mapping[str, object],
@@ -209,16 +337,22 @@ def cross_validate(rows: DataFrame, features: Features, models: Mapping[str, obj
     """``(model, fold, r2, rmse[, mae])``: each fold scored by a fit on the others.
 
     ``rows`` carries a ``fold`` column. With ``cells``, rows are weighted cells and give R2 and RMSE
-    only; with ``lines``, fits use ``rows`` and the folds of the lines are scored.
+    only; with ``lines``, fits use ``rows``, their cells, and the folds of the lines are scored.
     """
-    def one(name: str, k: int) -> DataFrame:
+    def one(name: str, k: int) -> tuple[PipelineModel, DataFrame | None]:
         model = fit(rows.where(F.col("fold") != k), features, models[name])
-        scored = model.transform((rows if lines is None else lines).where(F.col("fold") == k))
-        out = (cell_metrics(scored) if cells and lines is None
-               else metrics(scored, label=label))
-        return out.withColumns({"model": F.lit(name), "fold": F.lit(k)})
+        if lines is not None:
+            return model, None
+        scored = model.transform(rows.where(F.col("fold") == k))
+        out = cell_metrics(scored) if cells else metrics(scored, label=label)
+        return model, out.withColumns({"model": F.lit(name), "fold": F.lit(k)})
 
-    return union(in_parallel([lambda n=n, k=k: one(n, k) for n in models for k in range(folds)]))
+    pairs = [(n, k) for n in models for k in range(folds)]
+    done = in_parallel([lambda n=n, k=k: one(n, k) for n, k in pairs])
+    if lines is not None:
+        fitted = {pair: model for pair, (model, _) in zip(pairs, done, strict=True)}
+        return _scored_lines(fitted, rows, lines.where(F.col("fold").between(0, folds - 1)), features, label)
+    return union([scored for _, scored in done])
 
 
 def cv_summary(per_fold: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -266,6 +400,30 @@ def residual_std(scored: DataFrame, key: str = "product_name", label: str = "lab
                        .alias("residual_std"), F.col("n").alias("holdout_count"))
 
 
+def _with_parts(model: object, rows: DataFrame, features: Features) -> DataFrame | None:
+    """``rows`` with ``own``, what each feature adds to the prediction, and ``prediction``; None for a
+    model that does not add up by feature."""
+    if isinstance(model, LinearModel):
+        parts, intercept = model.parts()
+        encoded = rows
+    elif isinstance(model, PipelineModel) and isinstance(model.stages[-1], LinearRegressionModel):
+        fitted, cats, nums = model.stages[-1], list(features.categorical), list(features.numeric)
+        weights, at, parts = fitted.coefficients.toArray().tolist(), 0, {}
+        for c, levels in zip(cats, model.stages[1].labelsArray if cats else [], strict=True):
+            known = F.array(*[F.lit(w) for w in weights[at:at + len(levels)]], F.lit(0.0))
+            parts[c] = F.coalesce(F.get(known, F.col(f"{c}_i").cast("int")), F.lit(0.0))
+            at += len(levels)
+        scaled = vector_to_array("scaled") if nums else None
+        parts |= {c: scaled[k] * weights[at + k] for k, c in enumerate(nums)}
+        intercept = F.lit(fitted.intercept)
+        encoded = PipelineModel(model.stages[:-1]).transform(rows)
+    else:
+        return None
+    own = F.array(*[parts[c] for c in features.all()])
+    return (encoded.withColumn("own", own).withColumn("intercept", intercept)
+            .withColumn("prediction", F.aggregate("own", F.col("intercept"), lambda a, x: a + x)))
+
+
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Features, key: Column,
                            repeats: int = 5, label: str = "label") -> DataFrame:
     """Mean and deviation of the R2 lost when one feature is shuffled among the held-out rows.
@@ -274,24 +432,33 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Feat
     a row's partner is the row with its number in the other order. Only numbers are sorted: the features
     cross the shuffle once to meet them and once per repeat to reach their partner. There every feature's
     prediction is added to the row in place and errors are summed per repeat, so nothing is expanded by
-    feature. ``model`` is anything whose ``transform`` adds a ``prediction``.
+    feature. ``model`` is anything whose ``transform`` adds a ``prediction``; of a linear one, each row is
+    scored once, and what a feature adds to the prediction is exchanged in its place.
     """
     names = features.all()
-    key_of = F.struct(*names).alias("own"), F.col(label).cast("double").alias("y"), key.cast(
-        "string").alias("_key")
-    base = with_hash_index(test.select(*key_of), F.col("_key"), "_at")
+    y = F.col(label).cast("double")
+    named = test.withColumn("_key", key.cast("string"))
+    added = _with_parts(model, named, features)
+    linear = added is not None
+    if not linear:
+        added = model.transform(named.withColumn("own", F.struct(*names)))
+    rows = added.select("own", y.alias("y"), "_key", F.col("prediction").alias("p_whole"))
+    base = staged(with_hash_index(rows, F.col("_key"), "_at"), "numbered")
     orders = base.select("_key", "_at", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     numbers = with_hash_index(orders, F.concat_ws("#", "_key", "repeat"), "_to", by=["repeat"]).select(
         "repeat", "_at", "_to")
     moved = base.select("_at", F.col("own").alias("other")).join(numbers, "_at").select(
         "repeat", "other", F.col("_to").alias("_at"))
-    scored = base.select("_at", "own", "y").join(moved, "_at").select("repeat", "y", "own", "other")
+    scored = base.select("_at", "own", "y", "p_whole").join(moved, "_at").select(
+        "repeat", "y", "p_whole", "own", "other")
 
     variants = {"p_whole": None} | {f"p_{i}": n for i, n in enumerate(names)}
-    for column, changed in variants.items():
-        placed = scored.select("*", *[F.col("other" if n == changed else "own")[n].alias(n)
-                                      for n in names])
-        scored = model.transform(placed).select(*scored.columns, F.col("prediction").alias(column))
+    for i, n in enumerate(names):
+        if linear:
+            scored = scored.withColumn(f"p_{i}", F.col("p_whole") - F.col("own")[i] + F.col("other")[i])
+            continue
+        placed = scored.select("*", *[F.col("other" if n == c else "own")[c].alias(c) for c in names])
+        scored = model.transform(placed).select(*scored.columns, F.col("prediction").alias(f"p_{i}"))
 
     y = F.col("y")
     sums = scored.groupBy("repeat").agg((F.var_pop(y) * F.count(F.lit(1))).alias("sst"), *[

@@ -208,20 +208,25 @@ def coefficients(fitted: DataFrame) -> DataFrame:
         "set", "case", F.col("c.names").alias("name"), F.col("c.beta").alias("beta"))
 
 
+def _parts(fitted: DataFrame, features: FeatureSet) -> tuple[dict[str, Column], Column]:
+    held = fitted.agg(F.first(F.map_from_arrays("names", "beta")).alias("m")).scalar()
+
+    def weight(name: Column) -> Column:
+        return F.coalesce(F.try_element_at(held, name), F.lit(0.0))
+
+    parts = {c: weight(F.lit(c)) * F.col(c).cast("double") for c in features.numeric}
+    parts |= {c: weight(F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in features.categorical}
+    return parts, weight(F.lit(ONE))
+
+
 def prediction(fitted: DataFrame, features: FeatureSet) -> Column:
     """The prediction for any row with the features, from a fit of one set and case.
 
     The coefficients are one map in a scalar subquery, so rows are scored where they are. A level
     without a coefficient adds nothing.
     """
-    held = fitted.agg(F.first(F.map_from_arrays("names", "beta")).alias("m")).scalar()
-
-    def weight(name: Column) -> Column:
-        return F.coalesce(F.try_element_at(held, name), F.lit(0.0))
-
-    parts = [weight(F.lit(c)) * F.col(c).cast("double") for c in features.numeric]
-    parts += [weight(F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in features.categorical]
-    return sum(parts, weight(F.lit(ONE)))
+    parts, intercept = _parts(fitted, features)
+    return sum(parts.values(), intercept)
 
 
 @dataclass(frozen=True)
@@ -233,6 +238,10 @@ class LinearModel:
     def transform(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("prediction", prediction(self.fitted, self.features))
 
+    def parts(self) -> tuple[dict[str, Column], Column]:
+        """What each feature adds to a row's prediction, and the intercept."""
+        return _parts(self.fitted, self.features)
+
 
 def predictor(fitted: DataFrame, features: FeatureSet) -> Callable[[DataFrame], DataFrame]:
     """The fit as a function from a factory grid to ``predicted_days``."""

@@ -25,14 +25,16 @@ FOLD_STREAM = 5  # fixed value: key of the fold draw
 DEPTH = 8
 
 
-def _training_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines with hold-out side, fold and proxy transit days, staged for repeated scans."""
+def _training_lines(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
+    """Order lines with hold-out side, fold and proxy transit days, staged for repeated scans; with
+    ``columns`` these alone."""
     a, b = F.col("order_id"), F.col("line_key")
     modes = W.mode_table(spark).select("ship_mode", "multiplier")
     marked = lines(spark, d).join(modes, "ship_mode").withColumns({
         "is_holdout": is_holdout(a, b), "fold": fold(a * FOLD_STREAM, b),
         "transit_days": derive.transit_days(F.col("distance_km"), F.col("multiplier"), a, b)})
-    return staged(marked.drop("lat", "lon", "ship_date", "cost", "gross_profit"), "training")
+    kept = marked.drop("lat", "lon", "ship_date", "cost", "gross_profit")
+    return staged(kept.select(*columns) if columns else kept, "training")
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,23 +60,27 @@ def observed_model_metrics(spark, d):
 
 
 def _lead_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _training_lines(spark, d).withColumn("label", F.col("lead_time_days").cast("double"))
-    return models.numbers_as_double(rows, models.LEAD_FEATURES)
+    rows = _training_lines(spark, d, ["order_id", "line_key", "is_holdout", "lead_time_days",
+                                      *models.LEAD_FEATURES.all()])
+    return models.numbers_as_double(rows.withColumn("label", F.col("lead_time_days").cast("double")),
+                                    models.LEAD_FEATURES)
 
 
 @query
 def model_metrics(spark, d):
-    """The full feature set, line by line."""
+    """The full feature set: least squares line by line, trees on the lines' weighted cells of bins."""
     train, test = _split(_lead_rows(spark, d))
     return tidy(models.holdout_report(train, test, models.LEAD_FEATURES,
                                           models.estimators(depth=DEPTH))[0])
 
 
 def _cv(spark: SparkSession, d: str) -> DataFrame:
-    """Fits on cells, scored on the lines of the fold left out."""
-    lines = _training_lines(spark, d).withColumn("label", F.col("lead_time_days").cast("double"))
+    """Fits on cells, scored on the lines of the fold left out; a row per model and fold, stored."""
+    lines = _training_lines(spark, d, [*models.CELL_KEYS, "fold", "lead_time_days"]).withColumn(
+        "label", F.col("lead_time_days").cast("double"))
     grid = staged(models.training_cells(lines, "lead_time_days", extra=["fold"]), "grid")
-    return models.cross_validate(grid, models.PROXY_FEATURES, models.estimators(weight="n", depth=DEPTH), lines=lines)
+    return staged(models.cross_validate(grid, models.PROXY_FEATURES, models.estimators(
+        weight="n", depth=DEPTH), lines=lines), "folds")
 
 
 @query

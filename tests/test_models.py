@@ -193,3 +193,72 @@ def test_cells_and_lines_are_filled_alike(spark, tmp_path):
     one = [m.transform(f).first()["prediction"] for m in (fitted, models.load_model(path))
            for f in (gaps, whole)]
     assert max(one) - min(one) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Lines with a number of its own each, categories and gaps, in five folds."""
+    x, k = (F.col("id") * 7919 % 3001).cast("double"), F.col("id") % 3
+    rows = spark.range(3000).select("id", x.alias("x"), F.when(F.col("id") % 50 != 0, F.concat(
+        F.lit("k"), k)).alias("k"), (F.col("id") % 5).cast("int").alias("fold"),
+        (F.when(x < 900, 1.0).otherwise(5.0) + 2 * k + (F.col("id") % 11) / 10).alias("label"))
+    return rows, models.Features(["x"], ["k"])
+
+
+def test_trees_learn_from_cells_of_bins(mixed, monkeypatch):
+    """Trees are fitted on at most levels times bins cells, whose errors are those of the lines."""
+    rows, features = mixed
+    chosen = models.estimators(trees=5, rounds=10, depth=5)
+    prepared = models.Pipeline(stages=models.preprocessor(rows, features)).fit(rows)
+    stages = models.binned_stages(prepared, rows, features)
+    cells = models.binned_cells(stages, rows, features, "label")
+    assert cells.select("features").distinct().count() <= 3 * (models.BINS + 1)
+    assert cells.agg(F.sum("n")).first()[0] == 3000
+    monkeypatch.setattr(models, "BAGGED", 1)
+    assert models.binned_cells(stages, rows, features, "label").count() <= 3 * (models.BINS + 1)
+    monkeypatch.undo()
+    report, fitted = models.holdout_report(rows, rows, features, chosen)
+    r2 = {r.model: r.r2 for r in report.collect()}
+    assert r2["Gradient Boosting"] > 0.9 and r2["Random Forest"] > 0.9 and r2["Linear Regression"] < 0.9
+    on_lines = models.Pipeline(stages=[models.PipelineModel(stages), chosen["Gradient Boosting"]]).fit(rows)
+    a, b = [[r.prediction for r in m.transform(rows).orderBy("id").collect()]
+            for m in (fitted["Gradient Boosting"], on_lines)]
+    assert max(abs(x - y) for x, y in zip(a, b)) < 1e-6
+
+
+class Opaque:
+    """A model that hides how it adds up."""
+    def __init__(self, model):
+        self.transform = model.transform
+
+
+def test_linear_importance_scores_each_row_once(mixed):
+    """What features add is exchanged as if each changed row were scored; unknown values included."""
+    rows, features = mixed
+    model = models.fit(rows.where("k is null or k <> 'k2'"), features, models.estimators()["Linear Regression"])
+    a, b = [sorted(models.permutation_importance(m, rows, features, F.col("id"), 2).collect())
+            for m in (model, Opaque(model))]
+    assert [r.feature for r in a] == [r.feature for r in b] == ["k", "x"]
+    assert all(x[1:] == pytest.approx(y[1:], abs=1e-9) for x, y in zip(a, b))
+    once = models._with_parts(model, rows, features)
+    assert all(r.prediction == pytest.approx(r.intercept + sum(r.own)) for r in once.limit(50).collect())
+
+
+def test_folds_are_scored_by_cell(spark):
+    """Lines take the prediction of their cell: the metrics of scoring each line, nulls included."""
+    lines = spark.range(600).select(
+        F.when(F.col("id") % 4 != 0, F.col("id") % 4 * 1.0).alias("x"),
+        F.when(F.col("id") % 3 != 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"),
+        (F.col("id") % 5).cast("int").alias("fold"),
+        F.when(F.col("id") % 97 != 0, F.col("id") % 13 * 1.0).alias("label"))
+    features = models.Features(["x"], ["k"])
+    grid = models.training_cells(lines, "label", ["x", "k"], extra=["fold"])
+    linear = {"Linear Regression": models.estimators(weight="n")["Linear Regression"]}
+    out = models.cross_validate(grid, features, linear, folds=2, lines=lines)
+    assert "predictions" in "".join(out.inputFiles())
+    got = {r.fold: r for r in out.collect()}
+    for k in (0, 1):
+        model = models.fit(grid.where(F.col("fold") != k), features, linear["Linear Regression"])
+        want = models.metrics(model.transform(lines.where(F.col("fold") == k))).first()
+        assert [got[k][m] for m in ("r2", "rmse", "mae")] == pytest.approx(
+            [want[m] for m in ("r2", "rmse", "mae")], rel=1e-9, abs=1e-9)
