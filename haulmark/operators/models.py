@@ -442,20 +442,22 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Feat
     linear = added is not None
     if not linear:
         added = model.transform(named.withColumn("own", F.struct(*names)))
-    rows = added.select("own", y.alias("y"), "_key", F.col("prediction").alias("p_whole"))
+    rows = added.select("own", y.alias("y"), "_key", F.col("prediction").alias("p_whole"),
+                        *(["intercept"] if linear else []))
     base = staged(with_hash_index(rows, F.col("_key"), "_at"), "numbered")
     orders = base.select("_key", "_at", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     numbers = with_hash_index(orders, F.concat_ws("#", "_key", "repeat"), "_to", by=["repeat"]).select(
         "repeat", "_at", "_to")
     moved = base.select("_at", F.col("own").alias("other")).join(numbers, "_at").select(
         "repeat", "other", F.col("_to").alias("_at"))
-    scored = base.select("_at", "own", "y", "p_whole").join(moved, "_at").select(
-        "repeat", "y", "p_whole", "own", "other")
+    scored = base.drop("_key").join(moved, "_at").drop("_at")
 
     variants = {"p_whole": None} | {f"p_{i}": n for i, n in enumerate(names)}
     for i, n in enumerate(names):
         if linear:
-            scored = scored.withColumn(f"p_{i}", F.col("p_whole") - F.col("own")[i] + F.col("other")[i])
+            # Added up anew: a value that lacks makes the whole prediction null, not the one without it.
+            scored = scored.withColumn(f"p_{i}", reduce(lambda a, x: a + x, [
+                F.col("other" if j == i else "own")[j] for j in range(len(names))], F.col("intercept")))
             continue
         placed = scored.select("*", *[F.col("other" if n == c else "own")[c].alias(c) for c in names])
         scored = model.transform(placed).select(*scored.columns, F.col("prediction").alias(f"p_{i}"))

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulmark.operators import clusters, lanes, models, moves
+from haulmark.operators import normal_equations as lsq
 from haulmark.plans import batch, learned
 from haulmark.plans import queries as Q
+from haulmark.session import staged
 from haulmark.sources import dims, results
 from haulmark.sources import warehouse as W
 
@@ -244,6 +246,19 @@ def test_linear_importance_scores_each_row_once(mixed):
     assert all(r.prediction == pytest.approx(r.intercept + sum(r.own)) for r in once.limit(50).collect())
 
 
+def test_linear_importance_with_gaps(spark, mixed):
+    """A row without a number counts where the number of its partner takes the place."""
+    rows = mixed[0].withColumn("z", (F.col("id") % 7).cast("double"))
+    features = lsq.FeatureSet(["x", "z"], ["k"])
+    fitted = lsq.solved(lsq.one_against(lsq.moments(
+        rows.withColumn("late", F.col("fold") == 0), features, "label", "late"), {"s": features}))
+    model = lsq.LinearModel(staged(fitted, "fitted"), features)
+    gaps = rows.withColumn("x", F.when(F.col("id") % 6 != 0, F.col("x")))
+    a, b = [sorted(models.permutation_importance(m, gaps, features, F.col("id"), 2).collect())
+            for m in (model, Opaque(model))]
+    assert len(a) == 3 and all(x[1:] == pytest.approx(y[1:], abs=1e-9) for x, y in zip(a, b))
+
+
 def test_folds_are_scored_by_cell(spark):
     """Lines take the prediction of their cell: the metrics of scoring each line, nulls included."""
     lines = spark.range(600).select(
