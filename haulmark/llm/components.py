@@ -107,12 +107,19 @@ def cells(members: DataFrame, sample: DataFrame, block: int = BLOCK) -> DataFram
 
 def sorted_cells(batches: Iterator[pa.RecordBatch]
                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """A partition's rows (cell, node) by cell: the nodes, and per row its cell, the position of its
-    node and the last row of its cell. The same node twice in a cell counts once."""
+    """A partition's rows (cell, node) by cell, without those that have a cell to themselves: the nodes,
+    and per row its cell, the position of its node and the last row of its cell. The same node twice in
+    a cell counts once."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
         return None
     cell, node = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(cell)  # most rows are alone, and only the others are worth a second sort
+    cell, node = cell[order], node[order]
+    shared = np.zeros(len(cell), bool)
+    shared[1:] = cell[1:] == cell[:-1]
+    shared[:-1] |= shared[1:]
+    cell, node = cell[shared], node[shared]
     values, at = np.unique(node, return_inverse=True)
     order = np.lexsort((at, cell))
     cell, at = cell[order], at[order]

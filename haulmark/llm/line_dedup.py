@@ -47,7 +47,7 @@ SIMILARITY = 0.8
 FILTER_BITS = 1 << 25
 BATCH_CHARS = 1 << 15  # arrays of this size stay in the cache
 OUT_CHARS = 1 << 21
-SKETCH_BITS = 1024
+SKETCH_BITS = 4096
 CELL_ROWS = 4096  # rows of whole cells that are looked at together
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
@@ -135,23 +135,33 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line; one in ``SAMPLE`` by name has its band keys in ``buckets``, once per few batches."""
+    seen: set[bytes] = set()
     for batch in batches:
-        at, numbers, names = [], [], []
+        if len(seen) > 1_000_000:
+            seen.clear()
+        at, numbers, names, sampled, some = [], [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            for number, _, name in lines_of(text):
+            for number, line, name in lines_of(text):
+                if name[-1] % SAMPLE == 0 and name not in seen:
+                    seen.add(name)
+                    sampled.append(len(at))
+                    some.append(line)
                 at.append(i)
                 numbers.append(number)
                 names.append(name)
+        sizes = np.zeros(len(at) + 1, np.int32)
+        sizes[np.array(sampled, np.int64) + 1] = BANDS
+        buckets = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)),
+                                           pa.array(bands(some).ravel()))
         at = pa.array(at, pa.int64())
         yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at),
-                               pa.array(numbers, pa.int32()), *map(pa.array, halves(names))],
-                              names=["doc_id", "key", "line", "node", "check"])
+                               pa.array(numbers, pa.int32()), *map(pa.array, halves(names)), buckets],
+                              names=["doc_id", "key", "line", "node", "check", "buckets"])
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch], sample: int = 1
-                    ) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Names and texts of one line in ``sample`` by name, each once per few batches; memory stays
-    bounded."""
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Names and texts of the lines, each once per few batches; memory stays bounded."""
     seen: set[bytes] = set()
     names, lines, size = [], [], 0
     for batch in batches:
@@ -159,7 +169,7 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], sample: int = 1
             seen.clear()
         for text in batch.column(0).to_pylist():
             for _, line, name in lines_of(text):
-                if name[-1] % sample or name in seen:
+                if name in seen:
                     continue
                 seen.add(name)
                 names.append(name)
@@ -172,14 +182,11 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], sample: int = 1
         yield names, lines
 
 
-def _members(sample: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, lines in _distinct_lines(batches, sample):
-            yield pa.record_batch([pa.array(bands(lines).ravel()),
-                                   pa.array(np.repeat(halves(names)[0], BANDS))],
-                                  names=["bucket", "node"])
-
-    return members
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for names, lines in _distinct_lines(batches):
+        yield pa.record_batch([pa.array(bands(lines).ravel()),
+                               pa.array(np.repeat(halves(names)[0], BANDS))],
+                              names=["bucket", "node"])
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,12 +413,11 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min_by(F.struct("check", "line"), "check").alias("held")).select("node", "held.*")
 
 
-def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between ids of distinct similar lines of ``docs`` (text), and (node, check) of the
-    lines that were compared."""
-    texts = docs.select("text")
-    pair = "bucket bigint, node bigint"
-    compared = cells(texts.mapInArrow(_members(), pair), texts.mapInArrow(_members(SAMPLE), pair))
+    lines that were compared. Large buckets show in the ``buckets`` of ``found``, the occurrences."""
+    sample = found.select(F.explode("buckets").alias("bucket"), "node")
+    compared = cells(docs.select("text").mapInArrow(_members, "bucket bigint, node bigint"), sample)
     found = staged(compared.repartition("cell").mapInArrow(
         candidates, "cell bigint, node bigint, first bigint"), "candidates")
     lines = staged(_texts(docs, found.select("node").distinct()), "lines")
@@ -455,15 +461,15 @@ def _drops(docs: DataFrame, text: str) -> DataFrame:
     """(doc_id, key, line) of every line that repeats an earlier line of its component, once per row."""
     keyed = _keyed(docs, text)
     found = staged(keyed.mapInArrow(
-        _occurrences, f"doc_id bigint, key {ROW_KEY}, line int, node bigint, check bigint"),
-        "occurrences")
-    roots = members_of(*line_links(keyed))
+        _occurrences, f"doc_id bigint, key {ROW_KEY}, line int, node bigint, check bigint, "
+        "buckets array<bigint>"), "occurrences")
+    roots = members_of(*line_links(keyed, found))
     own = F.when(F.col("root").isNull(), F.col("check"))
     wanted = staged(
         found.groupBy("node", "check").agg(F.count(F.lit(1)).alias("n"))
         .join(roots, ["node", "check"], "left").where("n > 1 or root is not null")
         .select("node", "check", F.coalesce("root", "node").alias("root"), own.alias("own")), "nodes")
-    placed = staged(found.join(wanted, ["node", "check"])
+    placed = staged(found.drop("buckets").join(wanted, ["node", "check"])
                     .select("root", "own", F.struct("doc_id", "key", "line").alias("at")), "repeated")
     keepers = placed.groupBy("root", "own").agg(F.min("at").alias("keeper")).select(
         F.col("root").alias("r"), F.col("own").alias("o"), "keeper")

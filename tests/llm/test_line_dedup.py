@@ -213,3 +213,48 @@ def test_colliding_ids_drop_nothing_that_does_not_repeat(spark, monkeypatch):
     compared = found.limit(1).unionByName(spark.createDataFrame([(5, 9)], found.schema))
     members = line_dedup.members_of(links, compared)
     assert found.join(members, ["node", "check"], "left_semi").count() == 1
+
+
+def test_sketches_reject_most_pairs_below_the_bound():
+    """Of long lines at 0.74 nearly all pairs fail by their sketches, at 0.81 none."""
+    rnd = random.Random(12)
+    for changed, passing in ((52, 0.1), (70, 0.01)):
+        a = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=357)) for _ in range(300)]
+        b = [x[:-changed] + "".join(rnd.choices("0123456789", k=changed)) for x in a]
+        drawn = [line_dedup.sketched(*line_dedup._line_hashes(x)) for x in (a, b)]
+        assert line_dedup.possible(*drawn).mean() <= passing
+    b = [x[:-36] + "".join(rnd.choices("0123456789", k=36)) for x in a]
+    assert min(map(jaccard, a, b)) >= 0.8
+    drawn = [line_dedup.sketched(*line_dedup._line_hashes(x)) for x in (a, b)]
+    assert line_dedup.possible(*drawn).all()
+
+
+def test_occurrences_hold_the_bands_of_a_sample():
+    """One line in 16 by name has its band keys in one of its rows, read in the same pass."""
+    import pyarrow as pa
+    lines = near_lines(11)
+    texts = ["\n".join(lines[i:i + 7]) for i in range(0, len(lines), 7)] + [None, "", " \n"]
+    batch = pa.record_batch({"doc_id": range(len(texts)), "key": range(len(texts)),
+                             "text": texts})
+    rows = [r for b in line_dedup._occurrences(iter([batch, batch])) for r in b.to_pylist()]
+    assert len(rows) == 2 * len(lines)
+    want = {}
+    for line in lines:
+        _, _, name = next(line_dedup.lines_of(line))
+        if name[-1] % components.SAMPLE == 0:
+            want[line_dedup.halves([name])[0][0]] = line_dedup.bands([line])[0].tolist()
+    held = [(r["node"], r["buckets"]) for r in rows if r["buckets"]]
+    assert len(held) == len(want) > 10 and dict(held) == want
+    none = pa.record_batch({"doc_id": [1], "key": [1], "text": pa.array([None], pa.string())})
+    assert [b.num_rows for b in line_dedup._occurrences(iter([none]))] == [0]
+
+
+def test_rows_alone_in_their_cell_are_left_out():
+    import pyarrow as pa
+    for cell, node in (([], []), ([5], [1]), ([7, 5, 7, 9, 5, 5], [1, 2, 3, 4, 6, 2]), ([1, 2], [3, 3])):
+        batch = pa.record_batch([pa.array(cell, pa.int64()), pa.array(node, pa.int64())],
+                                names=["cell", "node"])
+        got = [tuple(r.values()) for b in line_dedup.candidates(iter([batch])) for r in b.to_pylist()]
+        assert got == ([(5, 2, 2), (5, 6, 2), (7, 1, 1), (7, 3, 1)] if len(cell) == 6 else [])
+        values = components.sorted_cells(iter([batch]))[0].tolist()
+        assert values == ([1, 2, 3, 6] if len(cell) == 6 else [])
