@@ -58,7 +58,10 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: five-word shingles, similarity 0.8."""
+    """Keep one document of each group of near copies: five-word shingles, similarity 0.8.
+
+    Candidates come from SimHash fingerprints and, beyond their radius, from MinHash bands.
+    """
     keyed = _keyed(docs)
     kept = near_docs.keepers(keyed, "doc_key")
     return _once(keyed).join(kept, "doc_key", "left_semi").select("row.*")

@@ -382,7 +382,7 @@ def _verify_cells(batches: Iterator[pa.RecordBatch], hashes: Callable = _line_ha
         yield links(held)
 
 
-def _filter_of(nodes: DataFrame) -> bytes:
+def filter_of(nodes: DataFrame) -> bytes:
     """A bit for each node's hash value, at most ``FILTER_BITS`` of them (4 MB)."""
     slot = F.pmod(F.col("node"), F.lit(FILTER_BITS))
     words = (nodes.select(F.shiftright(slot, 5).cast("int").alias("word"),
@@ -394,16 +394,20 @@ def _filter_of(nodes: DataFrame) -> bytes:
     return table.tobytes()
 
 
+def may_hold(table: bytes, node: np.ndarray) -> np.ndarray:
+    """Which nodes have their bit set in a table of ``filter_of``."""
+    slot = node % FILTER_BITS
+    return (np.frombuffer(table, np.uint32)[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, check, line) of the lines with the given ids, one per id."""
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes))
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(nodes))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(held.value, np.uint32)
         for names, lines in _distinct_lines(batches):
             node, check = halves(names)
-            slot = node % FILTER_BITS
-            keep = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
+            keep = np.flatnonzero(may_hold(held.value, node))
             yield pa.record_batch([pa.array(node[keep]), pa.array(check[keep]),
                                    pa.array([lines[i] for i in keep], pa.string())],
                                   names=["node", "check", "line"])

@@ -1,12 +1,18 @@
-"""Near-duplicate documents: MinHash bands over word shingles, exact Jaccard, union-find.
+"""Near-duplicate documents: SimHash and MinHash bands over word shingles, exact Jaccard, union-find.
 
 Documents link at a Jaccard similarity of 0.8 or more of their sets of ``SHINGLE``-word shingles; one of
 fewer words is a shingle of its own. Shingles are 64-bit hashes of lower-cased words; documents with the
-same set, told by 128 bits, are reduced to one before anything is compared. Each set gets ``ROWS * BANDS`` independent MinHash
-values; sets that share one of ``BANDS`` bands are candidates, which a pair at 0.8 fails to be with a
-probability below 0.04 %. Verification is that of ``line_dedup``: buckets of any size are
-compared in cells of bounded size, every link by the exact similarity. A 64-bit SimHash cannot give the
-candidates: at 0.8 its fingerprints differ in about 10 bits, and keys for that radius hold most pairs.
+same set, told by 128 bits, are reduced to one before anything is compared. Candidates come from two sides:
+
+* ``simhash``: sets whose 64-bit fingerprints link, directly or through others, at its ``MAX_DISTANCE`` of 4
+  or fewer bits, found by its Golay keys.
+* Bands: each set gets ``ROWS * BANDS`` independent MinHash values; sets that share one of ``BANDS`` bands
+  are candidates, which a pair at 0.8 fails to be with a probability below 0.04 %. They bring the pairs
+  that are farther apart: at 0.8 the fingerprints differ in about 10 bits, and keys for that radius hold
+  most pairs.
+
+Verification is that of ``line_dedup``: buckets of any size, the SimHash groups among them, are compared in
+cells of bounded size, every link by the exact similarity. Fingerprints alone link nothing.
 
 Defined results: a null or empty text, or one without words, has no shingles; all such are one component.
 No documents: no rows.
@@ -18,12 +24,13 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm import line_dedup
+from haulmark.llm import line_dedup, simhash
 from haulmark.llm.components import SAMPLE, cells
 from haulmark.session import staged
 
@@ -69,15 +76,17 @@ def _node(hashes: np.ndarray) -> tuple[int, int]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        nodes, keys, prints = [], [], []
         for text in batch.column(2):
             hashes = shingle_hashes(text.as_py())
             nodes.append(_node(hashes))
             keys.append(bands(hashes) if len(hashes) else [])
+            prints.append(simhash.majority(hashes))
         halves = np.array(nodes, np.int64).reshape(-1, 2)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(halves[:, 0]),
-                               pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-                              names=["doc_id", "key", "node", "check", "buckets"])
+                               pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())),
+                               pa.array(prints, pa.int64())],
+                              names=["doc_id", "key", "node", "check", "buckets", "fingerprint"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +106,45 @@ def _elements(held: bytes) -> set[int]:
     return set(np.frombuffer(held, np.uint64).tolist())
 
 
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """(bucket, node): sets of ``nodes`` (node, fingerprint) in one SimHash component share a bucket."""
+    groups = simhash.roots(nodes.select(F.col("fingerprint").alias("node"))).select(
+        F.col("node").alias("fingerprint"), F.xxhash64(F.lit("simhash"), "root").alias("bucket"))
+    return nodes.join(groups, "fingerprint").select("bucket", "node")
+
+
+def band_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node): sets of ``nodes`` (node, buckets) with an equal band share a bucket."""
+    return nodes.select(F.explode("buckets").alias("bucket"), "node")
+
+
+def _among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is one of ``keys``, and few others, by a filter of fixed size."""
+    held = docs.sparkSession.sparkContext.broadcast(
+        line_dedup.filter_of(keys.select(F.xxhash64("key").alias("node"))))
+
+    @F.pandas_udf("boolean")
+    def among(hashed: pd.Series) -> pd.Series:
+        return pd.Series(line_dedup.may_hold(held.value, hashed.to_numpy()))
+
+    return docs.where(among(F.xxhash64("key")))
+
+
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between the distinct sets of ``signed``, whose texts ``docs`` (key, text) holds, and
     (node, check) of the sets that were compared."""
     nodes = staged(signed.groupBy("node").agg(
-        F.min_by(F.struct("check", "key", "buckets"), F.struct("check", "key")).alias("one"))
+        F.min_by(F.struct("check", "key", "buckets", "fingerprint"),
+                 F.struct("check", "key")).alias("one"))
         .select("node", "one.*"), "nodes")
-    members = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    near = staged(simhash_groups(nodes.where(F.size("buckets") > 0)), "simhash-groups")
+    members = band_buckets(nodes).unionByName(near)
     found = staged(cells(members, members.where(F.pmod("node", F.lit(SAMPLE)) == 0))
                    .repartition("cell").mapInArrow(line_dedup.candidates,
                                                    "cell bigint, node bigint, first bigint"),
                    "candidates")
     wanted = nodes.select("key", "node", "check").join(found.select("node"), "node", "left_semi")
-    sets = staged(docs.join(wanted, "key").select("node", "check", "text")
+    sets = staged(_among(docs, wanted).join(wanted, "key").select("node", "check", "text")
                   .mapInArrow(_sets, "node bigint, check bigint, line binary")
                   .dropDuplicates(["node"]), "sets")
     how = {"hashes": _set_hashes, "parts": _elements}
@@ -124,8 +159,8 @@ def keepers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     keyed = docs.select("doc_id", F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.select(key).schema[0].dataType.simpleString()
     rows = staged(keyed.mapInArrow(
-        _signed, f"doc_id bigint, key {kind}, node bigint, check bigint, buckets array<bigint>"),
-        "signed")
+        _signed, f"doc_id bigint, key {kind}, node bigint, check bigint, buckets array<bigint>, "
+        "fingerprint bigint"), "signed")
     roots = line_dedup.members_of(*links(keyed.select("key", "text"), rows))
     best = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     of_node = rows.groupBy("node", "check").agg(F.min(best).alias("best"))

@@ -40,6 +40,7 @@ SHINGLE = 4
 SEED = 42
 MAX_DISTANCE = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and bits
+MEMBERS = 2048  # fingerprints whose buckets, about 64 each, are one batch
 GENERATOR = 0b101011100011  # fixed value: generator polynomial of the binary Golay code
 
 
@@ -53,14 +54,17 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *ends[:-1].tolist()][:max(1, len(words) - SHINGLE + 1)]
     stops = (ends[min(SHINGLE, len(words)) - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int64)
-    majority = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(majority.view(np.int64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 @lru_cache(maxsize=1)
@@ -132,8 +136,8 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "node") -> Dat
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         node = batch.column(0).to_numpy()
-        for start in range(0, len(node), 20_000):
-            part = node[start:start + 20_000]
+        for start in range(0, len(node), MEMBERS):
+            part = node[start:start + MEMBERS]
             at, bucket = buckets(part)
             yield pa.record_batch([pa.array(bucket), pa.array(part[at])], names=["bucket", "node"])
 
@@ -147,8 +151,8 @@ def linked(nodes: DataFrame) -> DataFrame:
     distinct = staged(nodes.select("node").distinct(), "fingerprints")
     schema = "bucket bigint, node bigint"
     some = distinct.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLE)) == 0)
-    return linked_in_cells(cells(distinct.mapInArrow(_members, schema),
-                                 some.mapInArrow(_members, schema)), near)
+    return staged(linked_in_cells(cells(distinct.mapInArrow(_members, schema),
+                                        some.mapInArrow(_members, schema)), near), "links")
 
 
 def roots(rows: DataFrame) -> DataFrame:

@@ -143,3 +143,42 @@ def test_near_copies_equal_brute_force(spark, small):
     assert sorted(got) == sorted(want) and 60 <= len(want) < len(texts)
     keyed = frame.withColumn("k", F.xxhash64("doc_id", "text"))
     assert simhash.keepers(keyed, "k").count() > len(want)  # op3's rule keeps more
+
+
+def test_near_dedup_takes_candidates_from_simhash(spark, small, monkeypatch):
+    """Without bands, near copies within 4 bits go; of one group of all, those at Jaccard 0.8 alone."""
+    import random
+
+    from haulmark.llm import near_docs
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        copy = list(words)
+        copy[rnd.randrange(400)] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def dropped():
+        kept = pipeline.near_duplicates(spark, frame, small).collect()
+        return set(range(len(texts))) - {r["doc_id"] for r in kept}
+
+    prints = [simhash.majority(near_docs.shingle_hashes(t)) & (1 << 64) - 1 for t in texts]
+    near = {i for i in range(1, len(texts), 2) if (prints[i] ^ prints[i - 1]).bit_count() <= 4}
+    assert 10 < len(near) < 40
+    original = near_docs.band_buckets
+    monkeypatch.setattr(near_docs, "band_buckets", lambda nodes: original(nodes).limit(0))
+    assert dropped() == near
+    monkeypatch.setattr(near_docs, "simhash_groups",
+                        lambda nodes: nodes.select(F.lit(1).cast("bigint").alias("bucket"), "node"))
+    assert dropped() == set(range(1, len(texts), 2))
+
+
+def test_texts_are_fetched_for_candidates_alone(spark):
+    from haulmark.llm import near_docs
+    from haulmark.llm.text import row_key
+    docs = spark.range(5000).select(row_key("id", F.lit("x")).alias("key"), "id")
+    wanted = docs.where("id % 500 = 7")
+    found = {r["id"] for r in near_docs._among(docs, wanted).collect()}
+    assert {r["id"] for r in wanted.collect()} <= found and len(found) < 50
+    assert near_docs._among(docs, wanted.limit(0)).count() == 0
