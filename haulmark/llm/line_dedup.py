@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.components import SAMPLE, Labels, cells, connected, sorted_cells
 from haulmark.llm.text import ROW_KEY, row_key
-from haulmark.session import staged
+from haulmark.session import staged, staged_texts
 
 SHINGLE = 8
 ROWS = 3
@@ -422,9 +422,9 @@ def line_links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     lines that were compared. Large buckets show in the ``buckets`` of ``found``, the occurrences."""
     sample = found.select(F.explode("buckets").alias("bucket"), "node")
     compared = cells(docs.select("text").mapInArrow(_members, "bucket bigint, node bigint"), sample)
-    found = staged(compared.repartition("cell").mapInArrow(
+    found = staged_texts(compared.repartition("cell").mapInArrow(
         candidates, "cell bigint, node bigint, first bigint"), "candidates")
-    lines = staged(_texts(docs, found.select("node").distinct()), "lines")
+    lines = staged_texts(_texts(docs, found.select("node").distinct()), "lines")
     return (verified_links(found, lines.select("node", "line"), _verify, _verify_cells),
             lines.select("node", "check"))
 
@@ -464,7 +464,7 @@ def members_of(links: DataFrame, compared: DataFrame) -> DataFrame:
 def _drops(docs: DataFrame, text: str) -> DataFrame:
     """(doc_id, key, line) of every line that repeats an earlier line of its component, once per row."""
     keyed = _keyed(docs, text)
-    found = staged(keyed.mapInArrow(
+    found = staged_texts(keyed.mapInArrow(
         _occurrences, f"doc_id bigint, key {ROW_KEY}, line int, node bigint, check bigint, "
         "buckets array<bigint>"), "occurrences")
     roots = members_of(*line_links(keyed, found))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm import line_dedup, simhash
 from haulmark.llm.components import SAMPLE, cells
-from haulmark.session import staged
+from haulmark.session import staged, staged_texts
 
 SHINGLE = 5
 ROWS = 5
@@ -144,7 +144,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
                                                    "cell bigint, node bigint, first bigint"),
                    "candidates")
     wanted = nodes.select("key", "node", "check").join(found.select("node"), "node", "left_semi")
-    sets = staged(_among(docs, wanted).join(wanted, "key").select("node", "check", "text")
+    sets = staged_texts(_among(docs, wanted).join(wanted, "key").select("node", "check", "text")
                   .mapInArrow(_sets, "node bigint, check bigint, line binary")
                   .dropDuplicates(["node"]), "sets")
     how = {"hashes": _set_hashes, "parts": _elements}
@@ -158,7 +158,7 @@ def keepers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     last, then the smallest key."""
     keyed = docs.select("doc_id", F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.select(key).schema[0].dataType.simpleString()
-    rows = staged(keyed.mapInArrow(
+    rows = staged_texts(keyed.mapInArrow(
         _signed, f"doc_id bigint, key {kind}, node bigint, check bigint, buckets array<bigint>, "
         "fingerprint bigint"), "signed")
     roots = line_dedup.members_of(*links(keyed.select("key", "text"), rows))

@@ -182,3 +182,18 @@ def test_texts_are_fetched_for_candidates_alone(spark):
     found = {r["id"] for r in near_docs._among(docs, wanted).collect()}
     assert {r["id"] for r in wanted.collect()} <= found and len(found) < 50
     assert near_docs._among(docs, wanted.limit(0)).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    from haulmark.session import TEXT_ROWS, staged_texts
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+
+    frame = spark.range(2500, numPartitions=1).mapInArrow(sizes, "n bigint")
+    found = [r["n"] for r in staged_texts(frame, "sizes").collect()]
+    assert sum(found) == 2500 and max(found) <= TEXT_ROWS and spark.conf.get(key) == before
