@@ -5,8 +5,9 @@ weighted cells (mean target, number of lines), so training cost follows the numb
 number of lines. Least squares on the cells equals least squares on the lines, and missing values are filled
 with the lines' medians and modes. Trees weigh their splits by the lines, too, but a forest bags cells.
 
-With other numbers among the features, the linear model reads the lines. Trees see a number only through its
-bins, so they, too, are fitted on weighted cells, of lines that agree in categories and bins.
+With other numbers among the features, the linear model is fitted on a few weighted rows per combination of
+categories that have the lines' sums, squares and products. Trees see a number only through its bins, so they, too,
+are fitted on weighted cells, of lines that agree in categories and bins.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Imputer, OneHotEncoder, QuantileDiscretizer, SQLTransformer,
                                 StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (GBTRegressor, LinearRegression, LinearRegressionModel,
                                    RandomForestRegressor)
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +45,11 @@ BINS = 32  # fixed value: bins of a number in Spark's trees, their default
 BIN_ERROR = 0.001  # fixed value: accuracy of the ranks between bins
 BAGGED = 1 << 20  # fixed values: cells are dealt into parts up to so many rows in all,
 PARTS = 64  # and so many a cell, for forests to bag
+# Up to this depth a forest's nodes are summed in groups of so many MB, which stay in the
+# processors' caches; the groups of deeper forests are Spark's, as every group is a pass over the cells.
+SHALLOW, GROUP_MB = 10, 8
+SKETCH = 12  # fixed value: size of a sketch of distinct values, exact up to far more than ``BINS`` of them
+ALIASED = 1e-12  # fixed value: share of a number's variance below which others explain it
 
 
 @dataclass(frozen=True)
@@ -169,7 +175,8 @@ def binned_stages(prepared: PipelineModel, train: DataFrame, features: Features)
     if nums:
         imputer = prepared.stages[len(kept)]
         filled = imputer.transform(train)
-        values = filled.agg(*[F.approx_count_distinct(f"{c}_n", 0.01).alias(c) for c in nums]).first()
+        values = filled.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(
+            F.col(f"{c}_n") + 0.0), F.lit(SKETCH))).alias(c) for c in nums]).first()
         wide = [c for c in nums if values[c] > BINS]
         kept.append(imputer)
         if wide:
@@ -182,27 +189,85 @@ def binned_stages(prepared: PipelineModel, train: DataFrame, features: Features)
                                    outputCol="features")]
 
 
+def _placed(stages: Sequence[object], rows: DataFrame, features: Features
+            ) -> tuple[list[str], DataFrame, PipelineModel]:
+    """The inputs of ``stages[-1]`` before categories are encoded, ``rows`` with them, and what encodes them."""
+    at = 3 if features.categorical else 0
+    keys = [f"{c}_f" for c in features.categorical] + list(
+        stages[-1].getInputCols()[len(features.categorical):])
+    return (keys, PipelineModel([*stages[:min(at, 1)], *stages[at:-1]]).transform(rows),
+            PipelineModel([*stages[min(at, 1):at], stages[-1]]))
+
+
 def binned_cells(stages: Sequence[object], train: DataFrame, features: Features, label: str) -> DataFrame:
     """Lines reduced to cells of equal ``stages[-1]`` inputs: the mean label, ``n`` lines and the features.
 
     At most the product of the levels and bins, however many lines there are. Where cells are few, the lines
     of each are dealt into parts by their hash, so that a forest has enough rows to bag.
     """
-    encoder = 3 if features.categorical else 0
-    keys = [f"{c}_f" for c in features.categorical] + list(
-        stages[-1].getInputCols()[len(features.categorical):])
-    placed = PipelineModel([*stages[:min(encoder, 1)], *stages[encoder:-1]]).transform(train)
+    keys, placed, encoder = _placed(stages, train, features)
     y = F.col(label).cast("double")
     known = placed.where(y.isNotNull())
-    count = known.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
+
+    def dealt(parts: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(*features.all(), y), F.lit(parts)).alias("part")
+        return staged(known.groupBy(*keys, part).agg(
+            F.avg(y).alias(label), F.count(F.lit(1)).cast("double").alias("n")), "binned")
+
+    cells = dealt(1)
+    count = cells.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
     parts = min(PARTS, max(1, BAGGED // max(1, count)))
-    part = F.pmod(F.xxhash64(*features.all(), y), F.lit(parts)).alias("part")
-    cells = staged(known.groupBy(*keys, part).agg(
-        F.avg(y).alias(label), F.count(F.lit(1)).cast("double").alias("n")), "binned")
+    if parts > 1:
+        cells = dealt(parts)
     # A small table comes back in few partitions, but training a forest on it needs every core.
     cells = cells.repartition(train.sparkSession.sparkContext.defaultParallelism, *keys, "part")
-    return PipelineModel([*stages[min(encoder, 1):encoder], stages[-1]]).transform(cells).select(
-        "features", label, "n")
+    return encoder.transform(cells).select("features", label, "n")
+
+
+def moment_rows(prepared: PipelineModel, train: DataFrame, features: Features, label: str) -> DataFrame:
+    """A few rows of weight ``n`` per combination of categories, with the lines' sums, squares and products of
+    numbers and label, and with the features of ``prepared``; least squares on them is that on the lines.
+
+    The lines' covariance in a combination is L L' (Cholesky); its rows are the mean plus and minus each column of
+    L, scaled by the root of the number of columns that are not 0. That is two rows a number at most, and never
+    twice the lines. A combination with a label that is no number keeps that as its label, for the fit to refuse.
+    """
+    encoder = 3 if features.categorical else 0
+    cats, nums = [f"{c}_f" for c in features.categorical], [f"{c}_n" for c in features.numeric]
+    filled = PipelineModel([*prepared.stages[:min(encoder, 1)],
+                            *prepared.stages[encoder:encoder + (1 if nums else 0)]]).transform(train)
+    y = F.col(label).cast("double")
+    names = [*nums, label]
+    values = [*[F.col(c) for c in nums], y]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    rows = filled.groupBy(*cats).agg(
+        F.count(F.lit(1)).cast("double").alias("lines"),
+        F.max(F.when(y.isNull() | F.isnan(y), F.lit(1))).alias("unknown"),
+        *[F.avg(v).alias(f"mean_{i}") for i, v in enumerate(values)],
+        *[F.covar_pop(values[i], values[j]).alias(f"c_{i}_{j}") for i, j in pairs])
+    for j in range(len(names)):  # column by column: what the earlier ones explain is taken away
+        left = {i: reduce(lambda a, k, i=i: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j),
+                          F.col(f"c_{i}_{j}")) for i in range(j, len(names))}
+        kept = left[j] > F.col(f"c_{j}_{j}") * ALIASED
+        rows = rows.withColumn(f"l_{j}_{j}", F.when(kept, F.sqrt(left[j])).otherwise(0.0))
+        rows = rows.withColumns({f"l_{i}_{j}": F.when(F.col(f"l_{j}_{j}") > 0, v / F.col(f"l_{j}_{j}"))
+                                 .otherwise(0.0) for i, v in left.items() if i > j})
+    columns = [F.struct(*[(F.col(f"l_{i}_{j}") if i >= j else F.lit(0.0)).alias(f"v{i}")
+                          for i in range(len(names))]) for j in range(len(names))]
+    some = F.array_compact(F.array(*[F.when(F.col(f"l_{j}_{j}") > 0, x) for j, x in enumerate(columns)]))
+    none = F.array(F.struct(*[F.lit(0.0).alias(f"v{i}") for i in range(len(names))]))
+    rows = rows.withColumn("some", some).withColumn("rank", F.size("some"))
+    signs = F.when(F.col("rank") > 0, F.array(F.lit(1.0), F.lit(-1.0))).otherwise(F.array(F.lit(1.0)))
+    rows = rows.withColumn("sign", F.explode(signs)).withColumn(
+        "l", F.explode(F.when(F.col("rank") > 0, F.col("some")).otherwise(none)))
+    scale = F.col("sign") * F.sqrt(F.greatest(F.col("rank"), F.lit(1)).cast("double"))
+    at = [F.col(f"mean_{i}") + scale * F.col(f"l.v{i}") for i in range(len(names))]
+    points = staged(rows.select(
+        *cats, *[x.alias(c) for c, x in zip(nums, at)], F.when(F.col("unknown").isNull(), at[-1]).alias(label),
+        (F.col("lines") / F.greatest(F.lit(1), F.col("rank") * 2)).alias("n")), "moments")
+    return PipelineModel([*prepared.stages[min(encoder, 1):encoder],
+                          *prepared.stages[encoder + (1 if nums else 0):]]).transform(points).select(
+                              "features", label, "n")
 
 
 def fit_all(train: DataFrame, features: Features, models: Mapping[str, object], label: str = "label"
@@ -228,9 +293,16 @@ def fit_all(train: DataFrame, features: Features, models: Mapping[str, object],
         if name in trees:
             least = m.getMinInstancesPerNode()
             more = {m.weightCol: "n", m.minInstancesPerNode: 1}
+            if isinstance(m, RandomForestRegressor) and m.getMaxDepth() <= SHALLOW:
+                # Each row's node is kept, so that a pass looks at one split of a tree; a copy on disk for every
+                # few passes would be many times the input.
+                more |= {m.maxMemoryInMB: GROUP_MB, m.cacheNodeIds: True, m.checkpointInterval: -1}
             if least > 1:  # below half a line less, so that rounding refuses no leaf of just as many
                 more[m.minWeightFractionPerNode] = min(0.49, (least - 0.5) / max(lines, 1.0))
             return PipelineModel([*stages, m.copy(more).fit(cells)])
+        if name in on_lines and isinstance(m, LinearRegression) and m.getLoss() == "squaredError":
+            rows = moment_rows(prepared, train, features, label)
+            return PipelineModel([*prepared.stages, m.copy({m.weightCol: "n"}).fit(rows)])
         if name in on_lines:
             return PipelineModel([*prepared.stages, m.fit(encoded)])
         return Pipeline(stages=[*preprocessor(train, features, _weight(m)), m]).fit(train)
@@ -291,12 +363,53 @@ def holdout_report(train: DataFrame, test: DataFrame, features: Features,
     """``(model, r2, rmse, mae, tier)`` on the held-out lines, best R2 first, and the models."""
     require_features(train, features, label)
     fitted = fit_all(train, features, models, label)
+    trees = {n: m for n, m in fitted.items() if _is_tree(models[n]) and _weight(models[n]) is None}
     rows = [metrics(m.transform(test), label=label).withColumn("model", F.lit(n))
-            .withColumn("interpretability_tier", F.lit(TIERS[n])) for n, m in fitted.items()]
+            for n, m in fitted.items() if n not in trees]
+    if trees:
+        rows.append(_binned_metrics(trees, test, features, label))
+    tier = F.create_map(*[F.lit(x) for n in fitted for x in (n, TIERS[n])])
+    rows = [r.withColumn("interpretability_tier", tier[F.col("model")]) for r in rows]
     # A row per model, stored so that sorting and choosing score the lines once.
     return staged(union(rows), "report").orderBy(F.desc("r2"), "model"), fitted
 
 
+def _metrics_of(scored: DataFrame, columns: Mapping[str, str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(model, r2, rmse, mae) of several models' predictions in the same rows, by their ``columns``, per group."""
+    y, n = F.col(label).cast("double"), F.count(F.lit(1))
+    errors = {c: y - F.col(c) for c in columns.values()}
+    sums = scored.groupBy(*by).agg(
+        n.alias("n"), (F.var_pop(y) * n).alias("sst"),
+        *[F.sum(e * e).alias(f"sse_{c}") for c, e in errors.items()],
+        *[F.avg(F.abs(e)).alias(f"mae_{c}") for c, e in errors.items()])
+    each = sums.select(*by, F.explode(F.array(*[F.struct(
+        F.lit(name).alias("model"),
+        (F.lit(1.0) - F.col(f"sse_{c}") / F.nullif(F.col("sst"), F.lit(0.0))).alias("r2"),
+        F.sqrt(F.col(f"sse_{c}") / F.col("n")).alias("rmse"), F.col(f"mae_{c}").alias("mae"))
+        for name, c in columns.items()])).alias("m"))
+    return each.select("m.*", *by)
+
+
+def _binned_metrics(fitted: Mapping[str, PipelineModel], test: DataFrame, features: Features, label: str
+                    ) -> DataFrame:
+    """(r2, rmse, mae, model) of trees on bins over ``test``: the distinct cells are scored, in dense vectors as a
+    tree looks into them at every node, and the lines meet all predictions of their cell."""
+    stages = next(iter(fitted.values())).stages[:-1]
+    keys, placed, encoder = _placed(stages, test, features)
+    columns = {n: f"p_{i}" for i, n in enumerate(fitted)}
+    # Cells take few bytes, but scoring them needs every core; neighbours in order go the same ways in the trees.
+    scored = encoder.transform(placed.select(*keys).distinct().repartition(
+        test.sparkSession.sparkContext.defaultParallelism, *keys).sortWithinPartitions(*keys))
+    scored = scored.select(*keys, array_to_vector(vector_to_array("features")).alias("features"))
+    for name, column in columns.items():
+        kept = scored.columns
+        scored = fitted[name].stages[-1].transform(scored).select(*kept, F.col("prediction").alias(column))
+    by_cell = staged(scored.drop("features"), "predictions")
+    # Filled values are never null.
+    return _metrics_of(placed.select(*keys, label).join(by_cell, keys, "left"), columns, label).select(
+        "r2", "rmse", "mae", "model")
+
+
 def _scored_lines(fitted: Mapping[tuple[str, int], PipelineModel], cells: DataFrame, lines: DataFrame,
                   features: Features, label: str) -> DataFrame:
     """(model, fold, r2, rmse, mae) of models by (name, fold) over ``lines``: the distinct cells of features are
@@ -316,19 +429,7 @@ def _scored_lines(fitted: Mapping[tuple[str, int], PipelineModel], cells: DataFr
     right = by_cell.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*keys, "fold"])], *columns)
     same = reduce(lambda x, z: x & z, [lines[c].eqNullSafe(right[f"_{i}"])
                                        for i, c in enumerate([*keys, "fold"])])
-    y = F.col(label).cast("double")
-    errors = {c: y - F.col(c) for c in columns}
-    n = F.count(F.lit(1))
-    sums = lines.join(right, same, "left").groupBy("fold").agg(
-        n.alias("n"), (F.var_pop(y) * n).alias("sst"),
-        *[F.sum(e * e).alias(f"sse_{c}") for c, e in errors.items()],
-        *[F.avg(F.abs(e)).alias(f"mae_{c}") for c, e in errors.items()])
-    each = sums.select("fold", F.explode(F.array(*[F.struct(
-        F.lit(name).alias("model"),
-        (F.lit(1.0) - F.col(f"sse_{c}") / F.nullif(F.col("sst"), F.lit(0.0))).alias("r2"),
-        F.sqrt(F.col(f"sse_{c}") / F.col("n")).alias("rmse"), F.col(f"mae_{c}").alias("mae"))
-        for name, c in zip(names, columns, strict=True)])).alias("m"))
-    return each.select("m.*", "fold")
+    return _metrics_of(lines.join(right, same, "left"), dict(zip(names, columns, strict=True)), label, ["fold"])
 
 
 def cross_validate(rows: DataFrame, features: Features, models: Mapping[str, object],

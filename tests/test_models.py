@@ -277,3 +277,43 @@ def test_folds_are_scored_by_cell(spark):
         want = models.metrics(model.transform(lines.where(F.col("fold") == k))).first()
         assert [got[k][m] for m in ("r2", "rmse", "mae")] == pytest.approx(
             [want[m] for m in ("r2", "rmse", "mae")], rel=1e-9, abs=1e-9)
+
+
+def test_moment_rows_fit_as_lines(spark, mixed):
+    """A few weighted rows per combination of categories give the least squares of the lines, gaps included."""
+    lines = mixed[0].select("id", "k", "label", (F.col("id") % 7).cast("double").alias("z"),
+                            F.when(F.col("id") % 40 != 0, F.col("x")).alias("x"), F.lit(2.0).alias("same"))
+    features = models.Features(["x", "z", "same"], ["k"])
+    m = models.estimators()["Linear Regression"]
+    prepared = models.Pipeline(stages=models.preprocessor(lines, features)).fit(lines)
+    rows = models.moment_rows(prepared, lines, features, "label")
+    assert rows.count() <= 3 * 2 * 4 and rows.agg(F.sum("n")).first()[0] == pytest.approx(3000)
+    on_lines = models.PipelineModel([*prepared.stages, m.fit(prepared.transform(lines))])
+    fitted = models.fit(lines, features, m)
+    a, b = [[r.prediction for r in f.transform(lines).orderBy("id").collect()] for f in (on_lines, fitted)]
+    assert max(abs(x - y) for x, y in zip(a, b)) < 1e-9
+    assert fitted.stages[-1].getWeightCol() == "n"
+    few = lines.where("id < 3")
+    assert models.moment_rows(prepared, few, features, "label").count() == 3
+    unknown = lines.withColumn("label", F.when(F.col("id") != 7, F.col("label")))
+    with pytest.raises(Exception, match="Labels MUST NOT be"):
+        models.fit(unknown, features, m)
+
+
+def test_tree_metrics_score_each_cell_once(mixed):
+    """Lines take their cell's prediction: the metrics of scoring each line, unknown values and gaps included."""
+    rows, features = mixed
+    train = rows.where("k is null or k <> 'k2'")
+    test = rows.withColumn("x", F.when(F.col("id") % 30 != 0, F.col("x") * 1.5))
+    chosen = models.estimators(trees=3, rounds=3, depth=4)
+    report, fitted = models.holdout_report(train, test, features, chosen)
+    got = {r.model: r for r in report.collect()}
+    for name, model in fitted.items():
+        want = models.metrics(model.transform(test)).first()
+        assert [got[name][c] for c in ("r2", "rmse", "mae")] == pytest.approx(
+            [want[c] for c in ("r2", "rmse", "mae")], rel=1e-9)
+    assert {n: r.interpretability_tier for n, r in got.items()} == {n: models.TIERS[n] for n in chosen}
+    scored = models._binned_metrics({"Random Forest": fitted["Random Forest"]}, test, features, "label")
+    assert "predictions" in "".join(scored.inputFiles())
+    assert fitted["Random Forest"].stages[-1].getCacheNodeIds()
+    assert fitted["Random Forest"].stages[-1].getMaxMemoryInMB() == models.GROUP_MB
